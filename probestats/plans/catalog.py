@@ -411,7 +411,7 @@ def mean_auc_wide(spark, d):
 @query
 def bootstrap_ci(spark, d):
     out = folds.bootstrap_ci(t.performance(spark, d), n_resamples=500)
-    return out.select("k", "model", r("mean_auc_boot"), r("ci95_low"), r("ci95_high"))
+    return out.select("k", "model", r("mean_auc_boot", 10), r("ci95_low", 10), r("ci95_high", 10))
 
 
 @query

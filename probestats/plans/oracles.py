@@ -402,7 +402,7 @@ a AS (SELECT k, model, list(auc ORDER BY fold) AS v FROM (SELECT k, model, fold,
 d AS (SELECT k, model, rep, v[{_draw(8, "'42'", 'k', 'model', 'rep', 'd')} % len(v) + 1] AS x
       FROM (SELECT *, unnest(range(1, len(v) + 1)) AS d FROM (SELECT *, unnest(range(1, 501)) AS rep FROM a))),
 b AS (SELECT k, model, rep, avg(x) AS x FROM d GROUP BY ALL)
-SELECT k, model, round(avg(x), 6) AS mean_auc_boot, round(quantile_cont(x, 0.025), 6) AS ci95_low, round(quantile_cont(x, 0.975), 6) AS ci95_high
+SELECT k, model, round(avg(x), 10) AS mean_auc_boot, round(quantile_cont(x, 0.025), 10) AS ci95_low, round(quantile_cont(x, 0.975), 10) AS ci95_high
 FROM b GROUP BY ALL"""
 
 # --- performance tables ----------------------------------------------------------------------------
