@@ -9,16 +9,19 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 
-def _hex_digits(seed: int, parts: tuple[Column, ...], digits: int) -> Column:
-    text = F.concat_ws(":", F.lit(str(seed)), *[p.cast("string") for p in parts])
-    return F.conv(F.substring(F.md5(text), 1, digits), 16, 10).cast("bigint")
+CELL_DIGITS = 4
 
 
-def draw32(seed: int, *parts: Column) -> Column:
-    """Uniform integer in [0, 2**32)."""
-    return _hex_digits(seed, parts, 8)
+def draw_key(seed: int, *parts: Column) -> Column:
+    """Uniform text of hex digits: sorting by it shuffles the rows."""
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), *[p.cast("string") for p in parts]))
+
 
+def draw_cell(key: Column) -> Column:
+    """The first digits of a draw key: equally likely cells that sort like the keys."""
+    return F.substring(key, 1, CELL_DIGITS)
 
-def draw52(seed: int, *parts: Column) -> Column:
-    """Uniform integer in [0, 2**52): wide enough to order very many rows, exact as a double."""
-    return _hex_digits(seed, parts, 13)
+
+def draw32(seed: int, *parts: Column) -> Column:
+    """Uniform integer in [0, 2**32)."""
+    return F.conv(F.substring(draw_key(seed, *parts), 1, 8), 16, 10).cast("bigint")

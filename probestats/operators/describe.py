@@ -54,11 +54,13 @@ def density_histogram(
 def range_histogram(rows: DataFrame, value: str, *, by: Sequence[str] = ("cohort", "dataset"), bins: int = 100) -> DataFrame:
     """Counts in equal bins between each group's smallest and largest value."""
     usable = rows.select(*by, finite_or_null(F.col(value).cast("double")).alias("_v")).where(F.col("_v").isNotNull())
-    ends = usable.groupBy(*by).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+    ends = usable.groupBy(*by).agg(
+        F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.count(F.lit(1)).alias("_n")
+    )
     # a single value gets a range of width 1 around it
     half = F.when(F.col("_lo") == F.col("_hi"), 0.5).otherwise(0.0)
-    ends = ends.select(*by, (F.col("_lo") - half).alias("low"), (F.col("_hi") + half).alias("high"))
-    binned = join_lookup(usable, ends, by)
+    ends = ends.select(*by, (F.col("_lo") - half).alias("low"), (F.col("_hi") + half).alias("high"), "_n")
+    binned = join_lookup(usable, ends, by, size="_n")
     counts = binned.groupBy(*by, "low", "high", _bin(F.col("_v"), F.col("low"), F.col("high"), bins).alias("bin")).agg(
         F.count(F.lit(1)).alias("n")
     )
@@ -71,7 +73,7 @@ def box_stats(rows: DataFrame, value: str, by: Sequence[str], *, whisker: float
     box = exact_quantiles(rows, by, value, {"q1": 0.25, "median": 0.5, "q3": 0.75})
     reach = F.lit(whisker) * (F.col("q3") - F.col("q1"))
     data = rows.where(F.col(value).isNotNull()).select(*by, F.col(value).alias("_v"))
-    inside = join_lookup(data, box, by)
+    inside = join_lookup(data, box, by, size="n")
     ends = inside.groupBy(*by).agg(
         F.min(F.when(F.col("_v") >= F.col("q1") - reach, F.col("_v"))).alias("_lo"),
         F.max(F.when(F.col("_v") <= F.col("q3") + reach, F.col("_v"))).alias("_hi"),

@@ -6,12 +6,13 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from probestats.functions.draws import draw32
+from probestats.functions.draws import draw32, draw_cell, draw_key
 from probestats.functions.keys import split_genes, strip, strip_zeros
 from probestats.functions.tails import hypergeometric_tail, neg_log10
 from probestats.operators.align import keep_first
 from probestats.operators.fdr import bh_fdr
 from probestats.operators.ordered import join_lookup, row_ranks
+from probestats.operators.stage import stage
 
 BROADCAST_DRAWS = 5_000_000
 
@@ -191,7 +192,8 @@ def permutation_enrichment(
     spark = annotated.sparkSession
     selected = select_top(annotated, top_n)
     features = _with_profile(annotated)
-    keyed = row_ranks(features.withColumn("_order", F.conv(F.substring(F.md5("CpG"), 1, 13), 16, 10).cast("bigint")), [], "_order", ["CpG"])
+    shuffled = features.withColumn("_draw", draw_key(seed, F.col("CpG")))
+    keyed = row_ranks(shuffled, [], "_draw", ["CpG"], cells=[draw_cell(F.col("_draw"))])
     indexed = keyed.select((F.col("row_rank") - 1).alias("idx"), "profile")
     sizes = features.groupBy("profile").agg(F.count(F.lit(1)).alias("_n"))
     chosen = features.join(F.broadcast(selected.select("CpG")), "CpG", "left_semi").groupBy("profile").agg(
@@ -235,4 +237,5 @@ def permutation_enrichment(
         F.sqrt(F.greatest(variance, F.lit(0.0))).alias("sd_perm"),
         ((reach + 1) / F.lit(n_perm + 1.0)).alias("p_emp"),
     )
-    return bh_fdr(table, "p_emp", name="fdr_emp").orderBy("fdr_emp", "p_emp", F.col("x_obs").desc(), "term")
+    # one row per term; written, so that the q-values do not repeat the permutations
+    return bh_fdr(stage(table, "permutations"), "p_emp", name="fdr_emp").orderBy("fdr_emp", "p_emp", F.col("x_obs").desc(), "term")

@@ -26,16 +26,18 @@ def bh_fdr(
     keys = list(by)
     filled = tests.withColumn("_p", F.coalesce(F.col(p), F.lit(1.0)))
     levels = running_totals(filled.select(*keys, "_p"), keys, "_p", {"n": F.lit(1)}, hot_rows=hot_rows).select(
-        *keys, CELL, "_p", (F.col("_p") * F.col("n_total") / F.col("n_cum")).alias("_raw")
+        *keys, CELL, "_p", "n", (F.col("_p") * F.col("n_total") / F.col("n_cum")).alias("_raw")
     )
     later = W.partitionBy(*keys).orderBy(F.col(CELL).desc()).rowsBetween(W.unboundedPreceding, -1)
     tails = levels.groupBy(*keys, CELL).agg(F.min("_raw").alias("_least")).select(
         *keys, CELL, F.min("_least").over(later).alias("_tail")
     )
-    down = W.partitionBy(*keys, CELL).orderBy(F.col("_p").desc())
+    down = W.partitionBy(*keys, CELL).orderBy(F.col("_p").desc()).rowsBetween(W.unboundedPreceding, W.currentRow)
     q = F.least(F.min("_raw").over(down), F.col("_tail"), F.lit(1.0))
-    lookup = levels.join(tails, [*keys, CELL]).select(*keys, "_p", F.greatest(q, F.lit(0.0)).alias(name))
-    return join_lookup(filled, lookup, [*keys, "_p"], hot_rows=hot_rows).drop("_p")
+    lookup = levels.join(tails, [*keys, CELL]).select(
+        *keys, "_p", F.col("n").alias("_n"), F.greatest(q, F.lit(0.0)).alias(name)
+    )
+    return join_lookup(filled, lookup, [*keys, "_p"], size="_n", hot_rows=hot_rows).drop("_p")
 
 
 def ks_table(stats: DataFrame, *, keys: Sequence[str] = ("feature_pos",)) -> DataFrame:

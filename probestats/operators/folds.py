@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from probestats.functions.draws import draw32, draw52
+from probestats.functions.draws import draw32, draw_cell, draw_key
 from probestats.operators.ordered import row_ranks
 
 
@@ -14,15 +14,16 @@ def assign_folds(
     samples: DataFrame, *, label: str = "label", key: str = "sample_id", n_splits: int = 5, seed: int = 42
 ) -> DataFrame:
     """Stratified shuffled folds: each label is dealt out in hash order, so sizes differ by at most one."""
-    shuffled = samples.withColumn("_draw", draw52(seed, F.col(key)))
-    ranked = row_ranks(shuffled, [label], "_draw", [key])
+    shuffled = samples.withColumn("_draw", draw_key(seed, F.col(key)))
+    ranked = row_ranks(shuffled, [label], "_draw", [key], cells=[draw_cell(F.col("_draw"))])
     return ranked.withColumn("fold", ((F.col("row_rank") - 1) % n_splits + 1).cast("int")).drop("_draw", "row_rank")
 
 
 def capped_sample(rows: DataFrame, n: int, keys: Sequence[str], *, seed: int = 42) -> DataFrame:
     """Exactly ``n`` rows (or all, if fewer) without replacement, the same ones on every run."""
-    shuffled = rows.withColumn("_draw", draw52(seed, *[F.col(k) for k in keys]))
-    return row_ranks(shuffled, [], "_draw", list(keys), limit=n).drop("_draw", "row_rank")
+    shuffled = rows.withColumn("_draw", draw_key(seed, *[F.col(k) for k in keys]))
+    cells = [draw_cell(F.col("_draw"))]
+    return row_ranks(shuffled, [], "_draw", list(keys), limit=n, cells=cells).drop("_draw", "row_rank")
 
 
 def _at(sorted_means: Column, n: int, q: float) -> Column:

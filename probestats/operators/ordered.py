@@ -18,30 +18,38 @@ CELLS_PER_OCTAVE = 16_384
 CELL = "_cell"
 
 
-def hot_keys(rows: DataFrame, keys: Sequence[str], *, hot_rows: int | None = None) -> DataFrame:
-    """Keys with more rows than one task should hold.
+def _hot_limit(sizes: DataFrame, size: str, hot_rows: int | None) -> Column:
+    total = sizes.agg(F.sum(size)).scalar()
+    return F.greatest(F.lit(float(HOT_ROWS if hot_rows is None else hot_rows)), total / MAX_HOT_KEYS)
+
+
+def hot_keys(
+    rows: DataFrame, keys: Sequence[str], *, count: Column | None = None, hot_rows: int | None = None
+) -> DataFrame:
+    """Keys with more rows than one task should hold (``count`` sums up how many a row stands for).
 
     The limit is at least total / MAX_HOT_KEYS rows, so there are fewer than MAX_HOT_KEYS such keys
     whatever the data: the result may be broadcast.
     """
-    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-    total = sizes.agg(F.sum("_rows"))
-    limit = F.greatest(F.lit(float(HOT_ROWS if hot_rows is None else hot_rows)), total.scalar() / MAX_HOT_KEYS)
-    return sizes.where(F.col("_rows") > limit).select(*keys)
+    sizes = rows.groupBy(*keys).agg((F.count(F.lit(1)) if count is None else count).alias("_rows"))
+    return sizes.where(F.col("_rows") > _hot_limit(sizes, "_rows", hot_rows)).select(*keys)
 
 
 def value_cell(value: Column) -> Column:
     """A whole number that never falls as the value grows, with equal ratios cut equally fine."""
     magnitude = F.least(F.log2(F.abs(value.cast("double"))), F.lit(1030.0))
     step = F.floor((magnitude + F.lit(1100.0)) * CELLS_PER_OCTAVE) + 1
-    return F.when(value == 0, F.lit(0).cast("bigint")).when(value > 0, step).otherwise(-step)
+    zero = F.lit(0).cast("bigint")
+    return F.when(value.isNull() | (value == 0), zero).when(value > 0, step).otherwise(-step)
 
 
-def with_cell(rows: DataFrame, keys: Sequence[str], value: str, *, hot_rows: int | None = None) -> DataFrame:
+def with_cell(
+    rows: DataFrame, keys: Sequence[str], value: str, *, count: Column | None = None, hot_rows: int | None = None
+) -> DataFrame:
     """Add the cell column: one cell for an ordinary key, many for a hot one or for no key at all."""
     if not keys:
         return rows.withColumn(CELL, value_cell(F.col(value)))
-    hot = hot_keys(rows.select(*keys), keys, hot_rows=hot_rows).withColumn("_hot", F.lit(True))
+    hot = hot_keys(rows, keys, count=count, hot_rows=hot_rows).withColumn("_hot", F.lit(True))
     return (
         rows.join(F.broadcast(hot), list(keys), "left")
         .withColumn(CELL, F.when(F.col("_hot"), value_cell(F.col(value))).otherwise(F.lit(0).cast("bigint")))
@@ -52,7 +60,7 @@ def with_cell(rows: DataFrame, keys: Sequence[str], value: str, *, hot_rows: int
 def _cell_offsets(rows: DataFrame, keys: Sequence[str], sums: Mapping[str, Column]) -> DataFrame:
     """Per cell: its own sums (``_in_*``), those of earlier cells (``_off_*``) and of the key (``_tot_*``)."""
     per_cell = rows.groupBy(*keys, CELL).agg(*[c.alias(n) for n, c in sums.items()])
-    before = W.partitionBy(*keys).orderBy(CELL)
+    before = W.partitionBy(*keys).orderBy(CELL).rowsBetween(W.unboundedPreceding, W.currentRow)
     whole = W.partitionBy(*keys)
     return per_cell.select(
         *keys,
@@ -74,13 +82,16 @@ def running_totals(
     """One row per distinct (keys, value): each weight summed there, up to there and over the key.
 
     Equal values are summed before anything is shuffled. Output: keys, value, cell, and for each weight
-    ``w``, ``w_cum`` (this value included) and ``w_total``. Keys must not be NULL; NULL values are left out.
+    ``w``, ``w_cum`` (this value included) and ``w_total``. Weights are whole numbers, keys not NULL; a NULL
+    value comes first.
     """
     names = list(weights)
-    levels = rows.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(*[F.sum(c).alias(n) for n, c in weights.items()])
-    celled = with_cell(levels, keys, value, hot_rows=hot_rows)
+    levels = rows.groupBy(*keys, value).agg(*[F.sum(c).alias(n) for n, c in weights.items()])
+    # counting with the weights lets Spark reuse the shuffled levels for this pass as well
+    count = sum((F.sum(n) for n in names[1:]), F.sum(names[0]))
+    celled = with_cell(levels, keys, value, count=count, hot_rows=hot_rows)
     offsets = _cell_offsets(celled, keys, {n: F.sum(n) for n in names})
-    inside = W.partitionBy(*keys, CELL).orderBy(value)
+    inside = W.partitionBy(*keys, CELL).orderBy(value).rowsBetween(W.unboundedPreceding, W.currentRow)
     return celled.join(offsets, [*keys, CELL]).select(
         *keys,
         CELL,
@@ -110,7 +121,7 @@ def row_ranks(
     if cells is None:
         celled = with_cell(rows, keys, order, hot_rows=hot_rows)
     else:
-        celled = rows.withColumn(CELL, F.struct(*cells))
+        celled = rows.withColumn(CELL, F.struct(*cells) if len(cells) > 1 else cells[0])
     offsets = _cell_offsets(celled, keys, {"n": F.count(F.lit(1))}).drop("_in_n", "_tot_n")
     if limit is not None:
         offsets = offsets.where(F.col("_off_n") < limit)
@@ -168,7 +179,7 @@ def exact_quantiles(
     levels = celled.join(targets, [*keys, CELL]).groupBy(*keys, CELL, "_off_c", "_tot_c", "_v").agg(
         F.count(F.lit(1)).alias("_c")
     )
-    inside = W.partitionBy(*keys, CELL).orderBy("_v")
+    inside = W.partitionBy(*keys, CELL).orderBy("_v").rowsBetween(W.unboundedPreceding, W.currentRow)
     picked = levels.select(
         *keys, "_v", "_c", (F.sum("_c").over(inside) + F.col("_off_c")).alias("_upto"), n.alias("_n")
     )
@@ -184,13 +195,30 @@ def exact_quantiles(
     return picked.groupBy(*keys).agg(*aggregates)
 
 
-def join_lookup(rows: DataFrame, lookup: DataFrame, keys: Sequence[str], *, hot_rows: int | None = None) -> DataFrame:
-    """Inner join to a table with one row per key, when a key may hold a large share of ``rows``.
+def join_lookup(
+    rows: DataFrame, lookup: DataFrame, keys: Sequence[str], *, size: str | None = None, hot_rows: int | None = None
+) -> DataFrame:
+    """Inner join to a table with one row per key, when one key may hold a large share of ``rows``.
 
-    Rows of hot keys meet a broadcast of their few lookup rows where they are; only the rest is shuffled.
+    ``size`` names the lookup's column that tells how many rows each key has (dropped from the result);
+    without it they are counted. Rows of hot keys meet a broadcast of their few lookup rows, and are spread
+    evenly, by their own hash, over the tasks of the join that serves all the others.
     """
     keys = list(keys)
-    hot = F.broadcast(hot_keys(rows.select(*keys), keys, hot_rows=hot_rows))
-    hot_lookup = F.broadcast(lookup.join(hot, keys, "left_semi"))
-    common = rows.join(hot, keys, "left_anti").join(lookup, keys)
-    return common.unionByName(rows.join(hot_lookup, keys))
+    if size is None:
+        counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
+        lookup, size = lookup.join(counts, keys), "_rows"
+    carried = [c for c in lookup.columns if c not in (*keys, size)]
+    found = lookup.select(*keys, size, F.struct(F.lit(True).alias("_there"), *carried).alias("_found"))
+    hot = found.where(F.col(size) > _hot_limit(lookup, size, hot_rows))
+    marked = rows.join(F.broadcast(hot.select(*keys, F.col("_found").alias("_hot"))), keys, "left")
+    spread = F.when(F.col("_hot").isNull(), F.lit(0).cast("bigint")).otherwise(
+        F.pmod(F.xxhash64(*rows.columns), F.lit(1 << 20)) + 1
+    )
+    joined = marked.withColumn("_salt", spread).join(
+        found.select(*keys, "_found").withColumn("_salt", F.lit(0).cast("bigint")), [*keys, "_salt"], "left"
+    )
+    hit = F.coalesce("_hot", "_found")
+    return joined.withColumn("_hit", hit).where(F.col("_hit").isNotNull()).select(
+        *rows.columns, *[F.col("_hit")[c].alias(c) for c in carried]
+    )

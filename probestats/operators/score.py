@@ -36,10 +36,10 @@ def block_mean(
 def median_normalize(rows: DataFrame, *, value: str = "sq_err", sample: Sequence[str] = SAMPLE) -> DataFrame:
     """Divide by the sample's median; a median of 0 and infinite results become NULL."""
     medians = exact_quantiles(rows, sample, value, {"_median": 0.5}).select(
-        *sample, F.nullif(F.col("_median"), F.lit(0.0)).alias("_median")
+        *sample, F.nullif(F.col("_median"), F.lit(0.0)).alias("_median"), F.col("n").alias("_n")
     )
     scaled = finite_or_null(F.try_divide(F.col(value), F.col("_median")))
-    return join_lookup(rows, medians, sample).withColumn(value, scaled).drop("_median")
+    return join_lookup(rows, medians, sample, size="_n").withColumn(value, scaled).drop("_median")
 
 
 def control_baseline(controls: DataFrame, *, value: str = "sq_err") -> DataFrame:

@@ -39,19 +39,18 @@ def ks_statistic(
     data = rows.where(F.col(cohort).isin(cases, controls)).select(
         *keys, usable.alias("_v"), (F.col(cohort) == cases).cast("int").alias("_case")
     )
-    steps = running_totals(
-        data, keys, "_v", {"case": F.col("_case"), "ctrl": 1 - F.col("_case")}, hot_rows=hot_rows
-    )
+    known = F.col("_v").isNotNull().cast("int")
+    weights = {"case": F.col("_case") * known, "ctrl": (1 - F.col("_case")) * known}
+    steps = running_totals(data, keys, "_v", weights, hot_rows=hot_rows)
     gap = F.abs(F.col("case_cum") * F.col("ctrl_total") - F.col("ctrl_cum") * F.col("case_total"))
     tested = steps.groupBy(*keys).agg(
         F.max("case_total").alias("n_case"), F.max("ctrl_total").alias("n_ctrl"), F.max(gap).alias("gap")
     )
-    everything = data.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).drop("_rows")
     both = F.col("n_case") * F.col("n_ctrl") > 0
-    return everything.join(tested, keys, "left").select(
+    return tested.select(
         *keys,
-        F.coalesce("n_case", F.lit(0)).alias("n_case"),
-        F.coalesce("n_ctrl", F.lit(0)).alias("n_ctrl"),
+        "n_case",
+        "n_ctrl",
         F.when(both, F.col("gap")).alias("gap"),
         F.when(both, F.col("gap") / (F.col("n_case").cast("double") * F.col("n_ctrl"))).alias("d"),
     )
@@ -118,12 +117,12 @@ def ks_pvalue(
     tasks = tasks or stats.sparkSession.sparkContext.defaultParallelism
     walked = (
         stats.where(exact)
-        .select(*key)
-        .distinct()
+        .groupBy(*key)
+        .agg(F.count(F.lit(1)).alias("_n"))
         .repartition(tasks, *key)
         .withColumn("p_ks", _exact_tail(*[F.col(c) for c in key]))
     )
-    done = join_lookup(stats.where(exact), walked, key).select(*stats.columns, "p_ks")
+    done = join_lookup(stats.where(exact), walked, key, size="_n").select(*stats.columns, "p_ks")
     return done.unionByName(stats.where(~F.coalesce(exact, F.lit(False))).withColumn("p_ks", limit_p))
 
 

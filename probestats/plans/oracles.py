@@ -322,14 +322,17 @@ top AS (SELECT feature_pos FROM kp ORDER BY round(p_ks, 9), feature_pos LIMIT 10
 ts AS (SELECT * FROM s WHERE feature_pos IN (FROM top)), {_boxes('ts', 'cohort, feature_pos', 'score')}"""
 
 
-def _draw(digits: int, *parts: str) -> str:
-    text = " || ':' || ".join(parts)
-    return f"('0x' || substr(md5({text}), 1, {digits}))::BIGINT"
+def _key(*parts: str) -> str:
+    return "md5(" + " || ':' || ".join(parts) + ")"
+
+
+def _draw(*parts: str) -> str:
+    return f"('0x' || substr({_key(*parts)}, 1, 8))::BIGINT"
 
 
 _SQL["capped_sample"] = f"""
 SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem
-ORDER BY {_draw(13, "'42'", 'l_orderkey', 'l_linenumber', 'l_partkey', 'l_suppkey')}, l_orderkey, l_linenumber, l_partkey, l_suppkey
+ORDER BY {_key("'42'", 'l_orderkey', 'l_linenumber', 'l_partkey', 'l_suppkey')}, l_orderkey, l_linenumber, l_partkey, l_suppkey
 LIMIT 12000"""
 
 # --- folds, ranking, evaluation --------------------------------------------------------------------
@@ -337,7 +340,7 @@ LIMIT 12000"""
 FOLDS = f"""
 fo AS (
   SELECT vec_id AS sample_id, CASE WHEN label < 5 THEN 1 ELSE 0 END::BIGINT AS label,
-         (row_number() OVER (PARTITION BY label < 5 ORDER BY {_draw(13, "'42'", 'vec_id')}, vec_id) - 1) % 5 + 1 AS fold
+         (row_number() OVER (PARTITION BY label < 5 ORDER BY {_key("'42'", 'vec_id')}, vec_id) - 1) % 5 + 1 AS fold
   FROM embeddings
 )"""
 
@@ -399,7 +402,7 @@ _SQL["mean_auc_wide"] = f"WITH {PERF} {_pivot('auc', 'pf')}"
 _SQL["bootstrap_ci"] = f"""
 WITH {PERF},
 a AS (SELECT k, model, list(auc ORDER BY fold) AS v FROM (SELECT k, model, fold, avg(auc) AS auc FROM pf GROUP BY ALL) GROUP BY ALL),
-d AS (SELECT k, model, rep, v[{_draw(8, "'42'", 'k', 'model', 'rep', 'd')} % len(v) + 1] AS x
+d AS (SELECT k, model, rep, v[{_draw("'42'", 'k', 'model', 'rep', 'd')} % len(v) + 1] AS x
       FROM (SELECT *, unnest(range(1, len(v) + 1)) AS d FROM (SELECT *, unnest(range(1, 501)) AS rep FROM a))),
 b AS (SELECT k, model, rep, avg(x) AS x FROM d GROUP BY ALL)
 SELECT k, model, round(avg(x), 10) AS mean_auc_boot, round(quantile_cont(x, 0.025), 10) AS ci95_low, round(quantile_cont(x, 0.975), 10) AS ci95_high
@@ -514,14 +517,14 @@ _SQL["term_incidence"] = f"WITH {ANNOTATED} SELECT DISTINCT term, CpG FROM gs JO
 
 _SQL["perm_enrichment"] = f"""
 WITH RECURSIVE {ANNOTATED},
-ix AS (SELECT CpG, row_number() OVER (ORDER BY ('0x' || substr(md5(CpG), 1, 13))::BIGINT, CpG) - 1 AS idx FROM ad),
+ix AS (SELECT CpG, row_number() OVER (ORDER BY md5('7:' || CpG), CpG) - 1 AS idx FROM ad),
 sl AS (SELECT CpG FROM ad ORDER BY p_ks, CpG LIMIT 20),
 nk AS (SELECT (SELECT count(*) FROM ad) AS n, (SELECT count(*) FROM sl) AS k),
 pk AS (
   SELECT perm, 0::BIGINT AS s, []::BIGINT[] AS picks FROM (SELECT unnest(range(1, 1001)) AS perm)
   UNION ALL
   SELECT perm, s + 1, list_append(picks, CASE WHEN list_contains(picks, h % (n - k + s + 1)) THEN n - k + s ELSE h % (n - k + s + 1) END)
-  FROM (SELECT *, {_draw(8, "'7'", 'perm', 's')} AS h FROM pk, nk WHERE s < k)
+  FROM (SELECT *, {_draw("'7'", 'perm', 's')} AS h FROM pk, nk WHERE s < k)
 ),
 dr AS (SELECT perm, unnest(picks) AS idx FROM pk, nk WHERE s = k),
 tf AS (SELECT DISTINCT term, CpG FROM gs JOIN fg USING (gene)),
