@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from probestats.functions.draws import draw32, draw_cell, draw_key
 from probestats.functions.keys import split_genes, strip, strip_zeros
@@ -195,20 +195,7 @@ def permutation_enrichment(
     shuffled = features.withColumn("_draw", draw_key(seed, F.col("CpG")))
     keyed = row_ranks(shuffled, [], "_draw", ["CpG"], cells=[draw_cell(F.col("_draw"))])
     indexed = keyed.select((F.col("row_rank") - 1).alias("idx"), "profile")
-    sizes = features.groupBy("profile").agg(F.count(F.lit(1)).alias("_n"))
-    chosen = features.join(F.broadcast(selected.select("CpG")), "CpG", "left_semi").groupBy("profile").agg(
-        F.count(F.lit(1)).alias("_x")
-    )
-    links = _term_profiles(sizes.select("profile"), gene_sets)
-    observed = (
-        links.join(sizes.join(chosen, "profile", "left"), "profile")
-        .groupBy("term")
-        .agg(F.sum("_n").alias("k_cpg"), F.sum(F.coalesce("_x", F.lit(0))).alias("x_obs"))
-    )
-    terms = _terms(gene_sets).join(observed, "term", "left").select(
-        "term", F.coalesce("k_cpg", F.lit(0)).alias("k_cpg"), F.coalesce("x_obs", F.lit(0)).alias("x_obs")
-    )
-
+    links = _term_profiles(features.select("profile").distinct(), gene_sets)
     draws = permutation_draws(
         spark,
         n_perm,
@@ -218,21 +205,31 @@ def permutation_enrichment(
     )
     if n_perm * top_n <= BROADCAST_DRAWS:
         draws = F.broadcast(draws)
-    drawn = indexed.join(draws, "idx").groupBy("perm", "profile").agg(F.count(F.lit(1)).alias("_c"))
-    hits = drawn.join(links, "profile").groupBy("term", "perm").agg(F.sum("_c").alias("_c"))
-    # terms: one row per gene set
-    counted = hits.join(terms.select("term", "x_obs"), "term").groupBy("term").agg(
-        F.sum("_c").alias("_s1"),
-        F.sum(F.col("_c") * F.col("_c")).alias("_s2"),
-        F.count_if(F.col("_c") >= F.col("x_obs")).alias("_reach"),
+    # the selection itself runs along as permutation 0, and all features as -1
+    chosen = features.join(selected.select("CpG"), "CpG", "left_semi")
+    drawn = indexed.join(draws, "idx").select("perm", "profile")
+    for number, rows in ((0, chosen), (-1, features)):
+        drawn = drawn.unionByName(rows.select(F.lit(number).cast("bigint").alias("perm"), "profile"))
+    counts = drawn.groupBy("perm", "profile").agg(F.count(F.lit(1)).alias("_c"))
+    hits = counts.join(links, "profile").groupBy("term", "perm").agg(F.sum("_c").alias("_c"))
+    # a term has at most n_perm + 2 rows here
+    own = F.when(F.col("perm") == 0, F.col("_c"))
+    observed = hits.withColumn("_x", F.coalesce(F.max(own).over(W.partitionBy("term")), F.lit(0)))
+    drawn_only = F.col("perm") > 0
+    counted = observed.groupBy("term").agg(
+        F.max(F.when(F.col("perm") == -1, F.col("_c"))).alias("k_cpg"),
+        F.max("_x").alias("x_obs"),
+        F.sum(F.when(drawn_only, F.col("_c"))).alias("_s1"),
+        F.sum(F.when(drawn_only, F.col("_c") * F.col("_c"))).alias("_s2"),
+        F.count_if(drawn_only & (F.col("_c") >= F.col("_x"))).alias("_reach"),
     )
-    s1, s2 = F.coalesce("_s1", F.lit(0)), F.coalesce("_s2", F.lit(0))
-    reach = F.when(F.col("x_obs") == 0, F.lit(n_perm)).otherwise(F.coalesce("_reach", F.lit(0)))
+    s1, s2, x_obs = (F.coalesce(c, F.lit(0)) for c in ("_s1", "_s2", "x_obs"))
+    reach = F.when(x_obs == 0, F.lit(n_perm)).otherwise(F.col("_reach"))
     variance = (s2 - s1 * s1 / F.lit(float(n_perm))) / F.lit(float(n_perm - 1)) if n_perm > 1 else F.lit(None).cast("double")
-    table = terms.join(counted, "term", "left").select(
+    table = _terms(gene_sets).join(counted, "term", "left").select(
         "term",
-        "k_cpg",
-        "x_obs",
+        F.coalesce("k_cpg", F.lit(0)).alias("k_cpg"),
+        x_obs.alias("x_obs"),
         (s1 / F.lit(float(n_perm))).alias("mean_perm"),
         F.sqrt(F.greatest(variance, F.lit(0.0))).alias("sd_perm"),
         ((reach + 1) / F.lit(n_perm + 1.0)).alias("p_emp"),
