@@ -18,7 +18,7 @@ def draw_key(seed: int, *parts: Column) -> Column:
 
 
 def draw_cell(key: Column) -> Column:
-    """The first digits of a draw key: equally likely cells that sort like the keys."""
+    """The first digits of a draw key: 65,536 equally likely cells that sort like the keys."""
     return F.substring(key, 1, CELL_DIGITS)
 
 

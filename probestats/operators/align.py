@@ -34,21 +34,17 @@ def resolve_duplicates(rows: DataFrame, keys: Sequence[str], value: str, how: st
     raise ValueError(f"unknown way to resolve duplicates: {how}")
 
 
-def number_features(features: DataFrame, order: Sequence[Column], cells: Sequence[Column] | None = None) -> DataFrame:
+def number_features(features: DataFrame, order: Column, cells: Sequence[Column] | None = None) -> DataFrame:
     """Manifest rows with trimmed unique ids (first one wins) and their position from 0.
 
-    ``cells`` are coarse order keys (such as file and split) that let the numbering run in parallel.
+    ``cells`` are coarse order keys (such as file and split) that let the numbering run in parallel; their
+    number is that of the splits of one file.
     """
     named = features.withColumn("cpg_id", strip(F.col("cpg_id")))
-    if cells is None:
-        named = named.withColumn("_order", order[0]).withColumn("_cell1", F.lit(0))
-    else:
-        named = named.withColumn("_order", order[0])
-        for i, cell in enumerate(cells):
-            named = named.withColumn(f"_cell{i}", cell)
-    cell_names = [c for c in named.columns if c.startswith("_cell")]
+    cell_names = [f"_cell{i}" for i in range(len(cells or ()))]
+    named = named.select("*", order.alias("_order"), *[c.alias(n) for c, n in zip(cells or (), cell_names)])
     first = keep_first(named, ["cpg_id"], [*cell_names, "_order"])
-    ranked = row_ranks(first, [], "_order", ["cpg_id"], cells=None if cells is None else [F.col(c) for c in cell_names])
+    ranked = row_ranks(first, [], "_order", ["cpg_id"], cells=None if cells is None else [F.col(c) for c in cell_names], few_cells=cells is not None)
     return ranked.withColumn("feature_pos", (F.col("row_rank") - 1).cast("int")).drop("row_rank", "_order", *cell_names)
 
 

@@ -193,7 +193,7 @@ def permutation_enrichment(
     selected = select_top(annotated, top_n)
     features = _with_profile(annotated)
     shuffled = features.withColumn("_draw", draw_key(seed, F.col("CpG")))
-    keyed = row_ranks(shuffled, [], "_draw", ["CpG"], cells=[draw_cell(F.col("_draw"))])
+    keyed = row_ranks(shuffled, [], "_draw", ["CpG"], cells=[draw_cell(F.col("_draw"))], few_cells=True)
     indexed = keyed.select((F.col("row_rank") - 1).alias("idx"), "profile")
     links = _term_profiles(features.select("profile").distinct(), gene_sets)
     draws = permutation_draws(

@@ -13,7 +13,8 @@ from probestats.functions.missing import is_missing, nan_to_null
 from probestats.operators.ordered import exact_quantiles
 
 SEGMENT_WIDTH = 10_000
-SAMPLES_PER_TASK = 2_000
+SAMPLES_PER_TASK = 4_000
+SAMPLES_PER_STEP = 500
 DATASET = ("cohort", "dataset")
 SAMPLE = ("cohort", "dataset", "sample_id")
 
@@ -106,22 +107,26 @@ def reconstruct(
         out = samples[columns].copy()
         if samples.empty:
             return out.assign(sq_errs=pd.Series(dtype=object))
-        x = np.stack([np.asarray(v, dtype=np.float64) for v in samples["values"]])
+        net = None if layers.empty else _read_layers(layers)
+        arrays = samples["values"].tolist()
+        steps = [arrays[s : s + SAMPLES_PER_STEP] for s in range(0, len(arrays), SAMPLES_PER_STEP)]
+        out["sq_errs"] = [row for step in steps for row in errors_of(np.stack(step).astype(np.float64), net)]
+        return out
+
+    def errors_of(x: np.ndarray, net: list[dict] | None) -> np.ndarray:
         if half_precision:
             x = x.astype(np.float16).astype(np.float64)
         missing = np.isnan(x) | (x == 0)
-        if layers.empty:
-            errors = np.full(x.shape, np.nan)
-        else:
-            predicted = _forward(np.where(missing, 0.0, x), _read_layers(layers))
-            if half_precision:
-                predicted = predicted.astype(np.float16).astype(np.float64)
-            errors = (predicted - x) ** 2
-            if half_precision:
-                errors = errors.astype(np.float16).astype(np.float64)
-            errors[missing] = np.nan
-        out["sq_errs"] = list(errors)
-        return out
+        if net is None:
+            return np.full(x.shape, np.nan)
+        predicted = _forward(np.where(missing, 0.0, x), net)
+        if half_precision:
+            predicted = predicted.astype(np.float16).astype(np.float64)
+        found = (predicted - x) ** 2
+        if half_precision:
+            found = found.astype(np.float16).astype(np.float64)
+        found[missing] = np.nan
+        return found
 
     scored = (
         left.groupBy("segment_id", "_part")

@@ -11,6 +11,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, functions as F
 
 from probestats.operators.ordered import running_totals
+from probestats.operators.stage import stage
 
 DEFAULT_GRID = (1, 2, 5, 10, 20, 50, 100, 200, 500)
 
@@ -90,7 +91,7 @@ def k_sweep(
     """AUC of every (fold, model, k): fit on the first k features of the fold, score its held-out samples.
 
     With ``sink``, each k is written to ``sink/k=<k>`` when done and found again after a restart; without it
-    the held-out scores are one lazy union, meant for short grids.
+    all held-out scores are one union, meant for short grids.
     """
     models = models or classifiers()
     spark = vectors.sparkSession
@@ -114,7 +115,8 @@ def k_sweep(
         scores = parts[0]
         for part in parts[1:]:
             scores = scores.unionByName(part)
-        return roc_auc(scores, ["fold", "model", "k"]).select("fold", "model", "k", "auc")
+        # written once: the models are not applied again by every pass of the AUC
+        return roc_auc(stage(scores, "held_out"), ["fold", "model", "k"]).select("fold", "model", "k", "auc")
 
     if sink is None:
         return auc_of(grid)

@@ -15,7 +15,7 @@ def assign_folds(
 ) -> DataFrame:
     """Stratified shuffled folds: each label is dealt out in hash order, so sizes differ by at most one."""
     shuffled = samples.withColumn("_draw", draw_key(seed, F.col(key)))
-    ranked = row_ranks(shuffled, [label], "_draw", [key], cells=[draw_cell(F.col("_draw"))])
+    ranked = row_ranks(shuffled, [label], "_draw", [key], cells=[draw_cell(F.col("_draw"))], few_cells=True)
     return ranked.withColumn("fold", ((F.col("row_rank") - 1) % n_splits + 1).cast("int")).drop("_draw", "row_rank")
 
 
@@ -23,7 +23,7 @@ def capped_sample(rows: DataFrame, n: int, keys: Sequence[str], *, seed: int = 4
     """Exactly ``n`` rows (or all, if fewer) without replacement, the same ones on every run."""
     shuffled = rows.withColumn("_draw", draw_key(seed, *[F.col(k) for k in keys]))
     cells = [draw_cell(F.col("_draw"))]
-    return row_ranks(shuffled, [], "_draw", list(keys), limit=n, cells=cells).drop("_draw", "row_rank")
+    return row_ranks(shuffled, [], "_draw", list(keys), limit=n, cells=cells, few_cells=True).drop("_draw", "row_rank")
 
 
 def _at(sorted_means: Column, n: int, q: float) -> Column:

@@ -111,12 +111,14 @@ def row_ranks(
     name: str = "row_rank",
     limit: int | None = None,
     cells: Sequence[Column] | None = None,
+    few_cells: bool = False,
     hot_rows: int | None = None,
 ) -> DataFrame:
     """Number the rows of each key 1, 2, ... by ``order`` then ``ties``, keeping every column.
 
-    ``cells`` gives other borders than the value's own, as columns that sort the same way. With ``limit``
-    only the first rows come back, and cells that lie wholly behind the limit are dropped before the sort.
+    ``cells`` gives other borders than the value's own, as columns that sort the same way. ``few_cells``
+    promises that their number, over all keys, is bounded by construction: their offsets are broadcast.
+    With ``limit`` only the first rows come back; rows of cells behind the limit are never shuffled then.
     """
     if cells is None:
         celled = with_cell(rows, keys, order, hot_rows=hot_rows)
@@ -125,6 +127,8 @@ def row_ranks(
     offsets = _cell_offsets(celled, keys, {"n": F.count(F.lit(1))}).drop("_in_n", "_tot_n")
     if limit is not None:
         offsets = offsets.where(F.col("_off_n") < limit)
+    if few_cells:
+        offsets = F.broadcast(offsets)
     inside = W.partitionBy(*keys, CELL).orderBy(order, *ties)
     ranked = (
         celled.join(offsets, [*keys, CELL])

@@ -72,14 +72,14 @@ def dup_resolve_median(spark, d):
 def _manifest(spark, d):
     part = t.table(spark, d, "part").where(F.col("p_type") != "SMALL")
     ids = part.select(F.concat(F.lit(" "), F.lpad(F.col("p_partkey").cast("string"), 8, "0"), F.lit(" ")).alias("cpg_id"), "p_partkey")
-    return align.number_features(ids, [F.col("p_partkey")], cells=[F.floor(F.col("p_partkey") / 100_000)])
+    return align.number_features(ids, F.col("p_partkey"))
 
 
 @query
 def manifest_positions(spark, d):
     """Distinct trimmed names in order of their first row."""
     names = t.table(spark, d, "part").select(F.concat("p_name", F.lit(" ")).alias("cpg_id"), "p_partkey")
-    return align.number_features(names, [F.col("p_partkey")]).select("cpg_id", "feature_pos", "p_partkey")
+    return align.number_features(names, F.col("p_partkey")).select("cpg_id", "feature_pos", "p_partkey")
 
 
 @query

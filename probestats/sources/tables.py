@@ -77,7 +77,7 @@ def read_manifest(spark: SparkSession, path: str, *, id_column: str = "CpG") ->
         raise ValueError(f"{path} has no {id_column} column")
     file, block, line = line_order()
     placed = lines.select("*", F.col(id_column).alias("cpg_id"), file.alias("_file"), block.alias("_block"), line.alias("_line"))
-    numbered = number_features(placed, [F.col("_line")], cells=[F.col("_file"), F.col("_block")])
+    numbered = number_features(placed, F.col("_line"), cells=[F.col("_file"), F.col("_block")])
     return numbered.drop("_file", "_block", "_line")
 
 
