@@ -23,7 +23,7 @@ def _cell(value):
     if isinstance(value, float):
         if math.isnan(value):
             return "nan"
-        return repr(value + 0.0)
+        return repr(value)
     return repr(value)
 
 
