@@ -14,6 +14,8 @@ from probestats.operators.ordered import join_lookup, running_totals
 
 EXACT_UP_TO = 10_000
 _BATCH_CELLS = 4_000_000
+_LONG_SUM = 2_000_000
+_SMALL_SAMPLE = 500
 
 
 def ks_statistic(
@@ -83,14 +85,80 @@ def crossing_probability(n1: int, n2: int, gaps: np.ndarray) -> np.ndarray:
     return np.minimum(crossed, 1.0)
 
 
+def _log_factorials(n: int) -> np.ndarray:
+    return np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, n + 1)))])
+
+
+def _one_sided_tail(n: int, d: float) -> float:
+    """P(D+ >= d) for one sample of n: Smirnov's sum, or its expansion where it would have too many terms."""
+    if n > _LONG_SUM:
+        return float(np.exp(-((6.0 * n * d + 1.0) ** 2) / (18.0 * n)))
+    lf = _log_factorials(n)
+    j = np.arange(int(np.floor(n * (1.0 - d))) + 1)
+    with np.errstate(divide="ignore"):
+        rest = np.log(np.maximum(1.0 - d - j / n, 0.0))
+    rest = np.where(j == n, 0.0, rest * np.maximum(n - j, 1))
+    return float(d * np.exp(lf[n] - lf[j] - lf[n - j] + (j - 1) * np.log(d + j / n) + rest).sum())
+
+
+def _matrix_cdf(n: int, d: float) -> float:
+    """P(D < d) by Marsaglia, Tsang and Wang's matrix power; for small n."""
+    k = int(np.ceil(n * d))
+    m, h = 2 * k - 1, k - n * d
+    i, j = np.indices((m, m))
+    step = np.where(i - j + 1 >= 0, 1.0, 0.0)
+    step[:, 0] -= h ** np.arange(1.0, m + 1)
+    step[-1, :] -= h ** np.arange(float(m), 0, -1)
+    step[-1, 0] += max(2 * h - 1, 0.0) ** m
+    step /= np.exp(_log_factorials(m))[np.maximum(i - j + 1, 0)]
+    # the factor n! / n^n goes into the matrix bit by bit, so that no power leaves the range of doubles
+    shrink = np.exp((_log_factorials(n)[n] - n * np.log(n)) / n)
+    return float(np.linalg.matrix_power(step * shrink, n)[k - 1, k - 1])
+
+
+def _series_cdf(n: int, d: float) -> float:
+    """P(D < d) by Pelz and Good's expansion in 1 / sqrt(n); for large n."""
+    z = d * np.sqrt(n)
+    z2, z4, z6 = z**2, z**4, z**6
+    odd = np.pi**2 * (np.arange(0, 40) + 0.5) ** 2  # symmetric: each counts twice
+    even = np.pi**2 * np.arange(1, 40) ** 2
+    weight, weight_even = 2 * np.exp(-odd / (2 * z2)), 2 * np.exp(-even / (2 * z2))
+    root = np.sqrt(np.pi / 2)
+    k0 = root / z * weight.sum()
+    k1 = root / (6 * z4) * ((odd - z2) * weight).sum()
+    k2 = root / (72 * z**7) * ((6 * z6 + 2 * z4 + odd * (2 * z4 - 5 * z2) + odd**2 * (1 - 2 * z2)) * weight).sum()
+    k2 -= root / (36 * z**3) * (even * weight_even).sum()
+    k3 = odd**3 * (5 - 30 * z2) + odd**2 * (-60 * z2 + 212 * z4) + odd * (135 * z4 - 96 * z6) - 30 * z6 - 90 * z**8
+    k3 = root / (6480 * z**10) * (k3 * weight).sum()
+    k3 += root / (216 * z6) * ((3 * even * z2 - even**2) * weight_even).sum()
+    return float(k0 + k1 / np.sqrt(n) + k2 / n + k3 / n**1.5)
+
+
+def one_sample_tail(n: int, d: float) -> float:
+    """P(D >= d) of the two-sided distance for one sample of n values."""
+    if 2 * n * d <= 1:
+        return 1.0
+    if d >= 1:
+        return 0.0
+    if n * d * d >= 2.2 or d >= 0.5:  # both sides at once are too rare to count
+        p = 2.0 * _one_sided_tail(n, d)
+    else:
+        p = 1.0 - (_matrix_cdf(n, d) if n <= _SMALL_SAMPLE else _series_cdf(n, d))
+    return min(max(p, 0.0), 1.0)
+
+
 @F.pandas_udf(T.DoubleType())
-def _exact_tail(n_case: pd.Series, n_ctrl: pd.Series, gap: pd.Series) -> pd.Series:
+def _tail(n_case: pd.Series, n_ctrl: pd.Series, gap: pd.Series, exact: pd.Series) -> pd.Series:
     p = np.full(len(gap), np.nan)
-    sizes = pd.DataFrame({"a": n_case.to_numpy(), "b": n_ctrl.to_numpy()})
-    for (a, b), at in sizes.groupby(["a", "b"]).indices.items():
+    sizes = pd.DataFrame({"a": n_case.to_numpy(), "b": n_ctrl.to_numpy(), "exact": exact.to_numpy()})
+    for (a, b, walk), at in sizes.groupby(["a", "b", "exact"]).indices.items():
         n1, n2 = int(min(a, b)), int(max(a, b))
-        step = max(1, _BATCH_CELLS // (n1 + 1))
         wanted = gap.to_numpy()[at]
+        if not walk:
+            n = max(1, round(n1 * n2 / (n1 + n2)))
+            p[at] = [one_sample_tail(n, g / (n1 * n2)) for g in wanted]
+            continue
+        step = max(1, _BATCH_CELLS // (n1 + 1))
         for s in range(0, len(at), step):
             p[at[s : s + step]] = crossing_probability(n1, n2, wanted[s : s + step])
     return pd.Series(p)
@@ -101,28 +169,28 @@ def ks_pvalue(
 ) -> DataFrame:
     """Add the two-sided p-value ``p_ks`` to the output of ``ks_statistic``.
 
-    method: 'exact', 'asymptotic', or 'auto' (exact while both sides have at most ``exact_up_to`` values).
-    The exact walk runs once per distinct (n_case, n_ctrl, gap), spread over ``tasks`` tasks.
+    exact   probability over all orders of the pooled values
+    finite  law of one sample of n_case * n_ctrl / (n_case + n_ctrl) values, as used for large samples
+    auto    exact while both sides have at most ``exact_up_to`` values, finite beyond
+    limit   the limit law of the distance, as a plain expression
+
+    All but ``limit`` run once per distinct (n_case, n_ctrl, gap), spread over ``tasks`` tasks.
     """
-    if method not in ("auto", "exact", "asymptotic"):
+    if method not in ("auto", "exact", "finite", "limit"):
         raise ValueError(f"unknown method: {method}")
-    limit_p = kolmogorov_tail(F.col("d"), F.col("n_case"), F.col("n_ctrl"))
-    if method == "asymptotic":
-        return stats.withColumn("p_ks", limit_p)
+    if method == "limit":
+        return stats.withColumn("p_ks", kolmogorov_tail(F.col("d"), F.col("n_case"), F.col("n_ctrl")))
 
     key = ["n_case", "n_ctrl", "gap"]
-    exact = F.col("gap").isNotNull()
-    if method == "auto":
-        exact = exact & (F.greatest("n_case", "n_ctrl") <= exact_up_to)
+    tested = stats.where(F.col("gap").isNotNull())
+    exact = F.greatest("n_case", "n_ctrl") <= exact_up_to if method == "auto" else F.lit(method == "exact")
     tasks = tasks or stats.sparkSession.sparkContext.defaultParallelism
-    walked = (
-        stats.where(exact)
-        .groupBy(*key)
+    found = (
+        tested.groupBy(*key)
         .agg(F.count(F.lit(1)).alias("_n"))
         .repartition(tasks, *key)
-        .withColumn("p_ks", _exact_tail(*[F.col(c) for c in key]))
+        .withColumn("p_ks", _tail(*[F.col(c) for c in key], exact))
     )
-    done = join_lookup(stats.where(exact), walked, key, size="_n").select(*stats.columns, "p_ks")
-    return done.unionByName(stats.where(~F.coalesce(exact, F.lit(False))).withColumn("p_ks", limit_p))
-
-
+    done = join_lookup(tested, found, key, size="_n").select(*stats.columns, "p_ks")
+    untested = stats.where(F.col("gap").isNull()).withColumn("p_ks", F.lit(None).cast("double"))
+    return done.unionByName(untested)

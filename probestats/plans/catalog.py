@@ -256,7 +256,7 @@ def ks_stat(spark, d):
 
 @query
 def ks_pvalue_asymp(spark, d):
-    rows = twosample.ks_pvalue(twosample.ks_statistic(t.two_groups(spark, d)), method="asymptotic")
+    rows = twosample.ks_pvalue(twosample.ks_statistic(t.two_groups(spark, d)), method="limit")
     return rows.select("feature_pos", r("d"), r("p_ks"))
 
 
@@ -266,6 +266,15 @@ def ks_pvalue_exact(spark, d):
     return rows.select("feature_pos", "n_case", "n_ctrl", "gap", r("p_ks"))
 
 
+@query
+def ks_pvalue_finite(spark, d):
+    """Prices of two return flags per line number: few tests on many values."""
+    cohort = F.when(F.col("l_returnflag") == "A", "cases").otherwise("controls")
+    rows = t.table(spark, d, "lineitem").where(F.col("l_returnflag").isin("A", "N"))
+    stats = twosample.ks_statistic(rows.withColumn("cohort", cohort), ["l_linenumber"], "l_extendedprice")
+    return twosample.ks_pvalue(stats, method="finite").select("l_linenumber", "n_case", "n_ctrl", r("d"), r("p_ks"))
+
+
 def _order_tests(spark, d):
     p = F.when(F.col("o_orderpriority").startswith("1"), F.lit(None)).otherwise(F.floor("o_totalprice") % 5000 / F.lit(5000.0))
     return t.table(spark, d, "orders").select("o_orderkey", "o_orderstatus", p.alias("p"))
@@ -283,7 +292,7 @@ def bh_fdr_grouped(spark, d):
 
 @query
 def ks_table(spark, d):
-    rows = study.feature_tests(t.two_groups(spark, d), method="asymptotic")
+    rows = study.feature_tests(t.two_groups(spark, d), method="limit")
     return rows.select("feature_pos", "n_case", "n_ctrl", r("d"), r("p_ks"), r("fdr_bh"))
 
 
@@ -291,13 +300,13 @@ def ks_table(spark, d):
 def ks_table_betas(spark, d):
     """Tests on raw values, where missing ones count as zeros."""
     value = F.when((F.col("sample_id") * 7 + F.col("feature_pos")) % 13 == 2, F.lit(0.0)).otherwise(F.col("value"))
-    rows = study.feature_tests(t.matrix(spark, d).withColumn("value", value), value="value", method="asymptotic")
+    rows = study.feature_tests(t.matrix(spark, d).withColumn("value", value), value="value", method="limit")
     return rows.select("feature_pos", "n_case", "n_ctrl", r("d"), r("p_ks"), r("fdr_bh"))
 
 
 @query
 def top_tests(spark, d):
-    tests = twosample.ks_pvalue(twosample.ks_statistic(t.two_groups(spark, d)), method="asymptotic")
+    tests = twosample.ks_pvalue(twosample.ks_statistic(t.two_groups(spark, d)), method="limit")
     return fdr.top_tests(tests.withColumn("p_ks", F.round("p_ks", 9)), 15).select("feature_pos", r("p_ks"))
 
 
@@ -308,7 +317,7 @@ def score_tests(spark, d):
     Scores are rounded first, so that two engines see the same ties.
     """
     rows = stage(study.scores(t.errors(spark, d)).withColumn("score", F.round("score", 9)), "scores")
-    tests = study.feature_tests(rows, method="asymptotic")
+    tests = study.feature_tests(rows, method="limit")
     return tests.select("feature_pos", "n_case", "n_ctrl", r("d"), r("p_ks"), r("fdr_bh"))
 
 
@@ -342,7 +351,7 @@ def box_stats(spark, d):
 @query
 def top_feature_boxes(spark, d):
     rows = t.two_groups(spark, d)
-    tests = twosample.ks_pvalue(twosample.ks_statistic(rows), method="asymptotic").withColumn("p_ks", F.round("p_ks", 9))
+    tests = twosample.ks_pvalue(twosample.ks_statistic(rows), method="limit").withColumn("p_ks", F.round("p_ks", 9))
     out = describe.top_feature_boxes(rows, stage(tests, "ks"))
     return out.select("cohort", "feature_pos", "n", *[r(c) for c in ("q1", "median", "q3", "whisker_low", "whisker_high")])
 
@@ -574,7 +583,7 @@ def perm_enrichment(spark, d):
 @query
 def run_summary(spark, d):
     """Heads of the report's tables, one under the other."""
-    tests = twosample.ks_pvalue(twosample.ks_statistic(t.two_groups(spark, d)), method="asymptotic").withColumn("p_ks", F.round("p_ks", 9))
+    tests = twosample.ks_pvalue(twosample.ks_statistic(t.two_groups(spark, d)), method="limit").withColumn("p_ks", F.round("p_ks", 9))
     perf = _perf(spark, d).withColumn("auc_plot", F.round("auc_plot", 9))
     ora_rows = _ora(spark, d)[1].withColumn("p", F.round("p", 9))
     parts = study.run_summary({"term": "nation_1", "top_n": 4}, perf, tests, ora_rows)

@@ -243,6 +243,34 @@ walk AS (
 SELECT feature_pos, n_case, n_ctrl, ks.gap, round(least(crossed, 1.0), 6) AS p_ks
 FROM ks JOIN walk ON walk.a = n_case AND walk.b = n_ctrl AND walk.gap = ks.gap AND t = a + b"""
 
+# Smirnov's sum where n d^2 >= 2.2, Pelz and Good's expansion below; for more than 500 values
+_SQL["ks_pvalue_finite"] = f"""
+WITH s AS (
+  SELECT l_linenumber AS feature_pos, CASE l_returnflag WHEN 'A' THEN 'cases' ELSE 'controls' END AS cohort, l_extendedprice AS score
+  FROM lineitem WHERE l_returnflag IN ('A', 'N')
+){KS.format(rows='s')},
+g AS (SELECT *, CAST(round_even(n_case::DOUBLE * n_ctrl / (n_case + n_ctrl), 0) AS BIGINT) AS n, d * sqrt(n) AS z FROM ks),
+o AS (SELECT unnest(range(0, 40)) AS k, pow(pi() * (k + 0.5::DOUBLE), 2) AS a, pow(pi() * k, 2) AS b),
+t AS (
+  SELECT feature_pos, n,
+    sum(2 * exp(-a / (2 * z * z))) AS s0, sum((a - z * z) * 2 * exp(-a / (2 * z * z))) AS s1,
+    sum((6 * pow(z, 6) + 2 * pow(z, 4) + a * (2 * pow(z, 4) - 5 * z * z) + a * a * (1 - 2 * z * z)) * 2 * exp(-a / (2 * z * z))) AS s2,
+    sum(b * 2 * exp(-b / (2 * z * z))) AS e2,
+    sum((pow(a, 3) * (5 - 30 * z * z) + a * a * (212 * pow(z, 4) - 60 * z * z) + a * (135 * pow(z, 4) - 96 * pow(z, 6))
+         - 30 * pow(z, 6) - 90 * pow(z, 8)) * 2 * exp(-a / (2 * z * z))) AS s3,
+    sum((3 * b * z * z - b * b) * 2 * exp(-b / (2 * z * z))) AS e3
+  FROM g, o GROUP BY feature_pos, n
+),
+w AS (
+  SELECT feature_pos, sum(d * exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + (j - 1) * ln(d + j / n::DOUBLE)
+         + (n - j) * ln(greatest(1 - d - j / n::DOUBLE, 1e-300)))) AS one
+  FROM (SELECT *, unnest(range(0, CAST(floor(n * (1 - d)) AS BIGINT) + 1)) AS j FROM g) GROUP BY feature_pos
+)
+SELECT feature_pos AS l_linenumber, n_case, n_ctrl, {_r('d')}, round(CASE WHEN n * d * d >= 2.2 THEN least(2 * one, 1.0) ELSE 1 - sqrt(pi() / 2) * (
+    s0 / z + s1 / (6 * pow(z, 4)) / sqrt(n) + (s2 / (72 * pow(z, 7)) - e2 / (36 * pow(z, 3))) / n
+    + (s3 / (6480 * pow(z, 10)) + e3 / (216 * pow(z, 6))) / pow(n, 1.5)) END, 6) AS p_ks
+FROM g JOIN t USING (feature_pos, n) JOIN w USING (feature_pos)"""
+
 ORDER_TESTS = """
 o AS (
   SELECT o_orderkey, o_orderstatus,

@@ -112,11 +112,31 @@ def test_ks_exact_against_all_orders():
 
 def test_ks_limit_law_meets_exact_for_many_values(spark):
     rows = spark.createDataFrame([(400, 500, 20_000, 0.1)], "n_case long, n_ctrl long, gap long, d double")
-    limit = twosample.ks_pvalue(rows, method="asymptotic").first()["p_ks"]
+    limit = twosample.ks_pvalue(rows, method="limit").first()["p_ks"]
     exact = twosample.ks_pvalue(rows, method="exact").first()["p_ks"]
     assert limit == pytest.approx(exact, rel=0.1)
 
 
+def test_finite_law_against_published_value_and_itself():
+    assert twosample._matrix_cdf(10, 0.274) == pytest.approx(0.6284796154565, rel=1e-11)
+    for n in (300, 500):
+        for z in (0.5, 0.8, 1.1, 1.45):
+            assert twosample._series_cdf(n, z / n**0.5) == pytest.approx(twosample._matrix_cdf(n, z / n**0.5), abs=2e-6)
+        edge = (2.2 / n) ** 0.5
+        assert 2 * twosample._one_sided_tail(n, edge) == pytest.approx(1 - twosample._matrix_cdf(n, edge), rel=1e-4)
+    n, d = 5_000, 0.03
+    assert twosample._one_sided_tail(n, d) == pytest.approx(np.exp(-((6 * n * d + 1) ** 2) / (18 * n)), rel=1e-2)
+    assert (twosample.one_sample_tail(50, 0.001), twosample.one_sample_tail(50, 1.0)) == (1.0, 0.0)
+    assert twosample.one_sample_tail(1, 0.75) == pytest.approx(0.5)
+
+
+def test_finite_law_is_close_to_exact(spark):
+    rows = spark.createDataFrame([(400, 500, g, g / 200_000) for g in (8_000, 14_000, 20_000, 30_000)], "n_case long, n_ctrl long, gap long, d double")
+    finite = values(twosample.ks_pvalue(rows, method="finite"), "p_ks", "gap")
+    exact = values(twosample.ks_pvalue(rows, method="exact"), "p_ks", "gap")
+    assert finite == pytest.approx(exact, rel=0.08)
+
+
 def test_ks_switches_by_size_and_keeps_empty_sides(spark):
     rows = two_sides(spark, [1, 2, 3], [2, 3, 4, 5]).unionByName(
         spark.createDataFrame([(1, "cases", 2.0), (2, "cases", None), (2, "controls", 1.0), (3, "cases", None)], "feature_pos int, cohort string, score double")
@@ -124,7 +144,7 @@ def test_ks_switches_by_size_and_keeps_empty_sides(spark):
     stats = twosample.ks_statistic(rows)
     out = {r.feature_pos: r for r in twosample.ks_pvalue(stats, exact_up_to=3).collect()}
     assert sorted(out) == [0, 1, 2, 3]
-    assert out[0].p_ks != pytest.approx(23 / 35)  # four values on one side: limit law
+    assert out[0].p_ks == pytest.approx(twosample.one_sample_tail(2, 0.5))  # four values on one side
     assert [out[k].p_ks for k in (1, 2, 3)] == [None] * 3
     assert (out[2].n_case, out[2].n_ctrl, out[3].n_ctrl) == (0, 1, 0)
 
