@@ -10,12 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 def shared_folder(spark: SparkSession) -> str:
     """The cluster's checkpoint folder; a local one only where the session names none (tests)."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    local = f"{tempfile.gettempdir()}/probestats-stages"
-    spark.conf.set("spark.checkpoint.dir", local)
-    return local
+    return spark.conf.get("spark.checkpoint.dir", None) or f"{tempfile.gettempdir()}/probestats-stages"
+
+
+def _own_folder(spark: SparkSession) -> str:
+    return f"{shared_folder(spark).rstrip('/')}/probestats/{spark.sparkContext.applicationId}"
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
@@ -23,6 +22,12 @@ def stage(df: DataFrame, name: str) -> DataFrame:
 
     Unlike a cached copy it outlives its executors, and later scans prune its columns.
     """
-    path = f"{shared_folder(df.sparkSession).rstrip('/')}/probestats/{name}-{uuid.uuid4().hex}"
+    path = f"{_own_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop_stages(spark: SparkSession) -> None:
+    """Remove all stages this application wrote; DataFrames that read them are of no use afterwards."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_own_folder(spark))
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from probestats.operators import errors, evaluate, performance
+from probestats.operators import errors, evaluate, performance, stage as module
 from probestats.plans import study
 
 WEIGHTS = (
@@ -146,3 +146,12 @@ def test_performance_without_bootstrap(spark):
     assert (best["A"].best_auc, best["A"].best_k, best["B"].mean_auc) == (0.7, 2, 0.6)
     table = performance.best_mean_table(perf, ["A", "B"]).collect()
     assert [tuple(r) for r in table] == [("Best AUC", 0.7, 0.6), ("Mean AUC", 0.6, 0.6)]
+
+
+def test_stages_are_written_in_the_shared_folder_and_can_be_dropped(spark, tmp_path, monkeypatch):
+    assert module.shared_folder(spark) == spark.conf.get("spark.checkpoint.dir", module.shared_folder(spark))
+    monkeypatch.setattr(module, "shared_folder", lambda s: str(tmp_path))
+    kept = module.stage(spark.range(5), "numbers")
+    assert kept.count() == 5 and list(tmp_path.rglob("numbers-*/*.parquet"))
+    module.drop_stages(spark)
+    assert not list(tmp_path.rglob("*.parquet"))
