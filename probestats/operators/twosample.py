@@ -89,11 +89,11 @@ def _log_factorials(n: int) -> np.ndarray:
     return np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, n + 1)))])
 
 
-def _one_sided_tail(n: int, d: float) -> float:
+def _one_sided_tail(n: int, d: float, lf: np.ndarray | None = None) -> float:
     """P(D+ >= d) for one sample of n: Smirnov's sum, or its expansion where it would have too many terms."""
     if n > _LONG_SUM:
         return float(np.exp(-((6.0 * n * d + 1.0) ** 2) / (18.0 * n)))
-    lf = _log_factorials(n)
+    lf = _log_factorials(n) if lf is None else lf
     j = np.arange(int(np.floor(n * (1.0 - d))) + 1)
     with np.errstate(divide="ignore"):
         rest = np.log(np.maximum(1.0 - d - j / n, 0.0))
@@ -134,14 +134,14 @@ def _series_cdf(n: int, d: float) -> float:
     return float(k0 + k1 / np.sqrt(n) + k2 / n + k3 / n**1.5)
 
 
-def one_sample_tail(n: int, d: float) -> float:
-    """P(D >= d) of the two-sided distance for one sample of n values."""
+def one_sample_tail(n: int, d: float, lf: np.ndarray | None = None) -> float:
+    """P(D >= d) of the two-sided distance for one sample of n values (``lf``: ln 0! .. ln n!, if at hand)."""
     if 2 * n * d <= 1:
         return 1.0
     if d >= 1:
         return 0.0
     if n * d * d >= 2.2 or d >= 0.5:  # both sides at once are too rare to count
-        p = 2.0 * _one_sided_tail(n, d)
+        p = 2.0 * _one_sided_tail(n, d, lf)
     else:
         p = 1.0 - (_matrix_cdf(n, d) if n <= _SMALL_SAMPLE else _series_cdf(n, d))
     return min(max(p, 0.0), 1.0)
@@ -156,7 +156,8 @@ def _tail(n_case: pd.Series, n_ctrl: pd.Series, gap: pd.Series, exact: pd.Series
         wanted = gap.to_numpy()[at]
         if not walk:
             n = max(1, round(n1 * n2 / (n1 + n2)))
-            p[at] = [one_sample_tail(n, g / (n1 * n2)) for g in wanted]
+            lf = _log_factorials(n) if n <= _LONG_SUM else None
+            p[at] = [one_sample_tail(n, g / (n1 * n2), lf) for g in wanted]
             continue
         step = max(1, _BATCH_CELLS // (n1 + 1))
         for s in range(0, len(at), step):
