@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+import csv
+import re
 
-from probestats.functions.keys import strip
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+
+from probestats.functions.keys import WHITESPACE, strip
 from probestats.functions.missing import nan_to_null
 from probestats.operators.align import keep_first, number_features
 
@@ -31,9 +34,9 @@ def line_order() -> list[Column]:
 
 def _header(spark: SparkSession, path: str, id_column: str) -> tuple[str, list[str]]:
     first = spark.read.text(path).first()
-    line = first[0].lstrip("﻿") if first else ""
+    line = first[0].lstrip("\ufeff") if first else ""
     for sep in SEPARATORS:
-        names = [n.strip('"') for n in line.split(sep)]
+        names = next(csv.reader([line], delimiter=sep), [])
         if id_column in names:
             return sep, names
     raise ValueError(f"{path} has no {id_column} column")
@@ -44,29 +47,28 @@ def read_matrix(spark: SparkSession, path: str, *, cohort: str, dataset: str, id
 
     Returns (wide, samples): wide = cohort, dataset, cpg_id, values ARRAY<DOUBLE> with ids trimmed and the
     first of equal ids kept; samples = cohort, dataset, sample_ids. What is not a number becomes NULL.
+
+    A line is split into one array, not into a column per sample, so that the plan stays small for any
+    number of samples. Ids and numbers must not contain the separator, quoted or not.
     """
     sep, names = _header(spark, path, id_column)
     at = names.index(id_column)
-    columns = [f"c{i}" for i in range(len(names))]
-    schema = T.StructType([T.StructField(c, T.StringType() if i == at else T.DoubleType()) for i, c in enumerate(columns)])
-    lines = (
-        spark.read.schema(schema)
-        .options(header="true", sep=sep, maxColumns=str(len(names) + 16), enforceSchema="true")
-        .csv(path)
-    )
     order = [f"_line{i}" for i in range(3)]
-    values = F.array(*[nan_to_null(F.col(c)) for i, c in enumerate(columns) if i != at])
-    wide = lines.select(
-        *[c.alias(n) for c, n in zip(line_order(), order)], strip(F.col(columns[at])).alias("cpg_id"), values.alias("values")
+    lines = spark.read.text(path).select(*[c.alias(n) for c, n in zip(line_order(), order)], "value")
+    cells = F.transform(F.split("value", re.escape(sep)), lambda x: F.btrim(x, F.lit(WHITESPACE + '"')))
+    split = lines.select(*order, cells.alias("_cells"))
+    others = F.concat(F.slice("_cells", 1, at), F.slice("_cells", at + 2, len(names)))
+    rows = split.select(
+        *order,
+        F.get("_cells", F.lit(at)).alias("cpg_id"),
+        F.transform(others, lambda x: nan_to_null(x.try_cast("double"))).alias("values"),
     )
-    tagged = keep_first(wide, ["cpg_id"], order).select(
+    kept = rows.where(F.col("cpg_id").isNotNull() & ~F.col("cpg_id").isin("", id_column, "\ufeff" + id_column))
+    tagged = keep_first(kept, ["cpg_id"], order).select(
         F.lit(cohort).alias("cohort"), F.lit(dataset).alias("dataset"), "cpg_id", "values"
     )
-    samples = spark.range(1).select(
-        F.lit(cohort).alias("cohort"),
-        F.lit(dataset).alias("dataset"),
-        F.array(*[F.lit(n) for i, n in enumerate(names) if i != at]).cast("array<string>").alias("sample_ids"),
-    )
+    sample_ids = [n for i, n in enumerate(names) if i != at]
+    samples = spark.createDataFrame([(cohort, dataset, sample_ids)], "cohort string, dataset string, sample_ids array<string>")
     return tagged, samples
 
 

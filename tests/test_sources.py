@@ -41,6 +41,15 @@ def test_two_datasets_share_the_manifest(spark, tmp_path):
     assert out.count() == 8 and out.where("beta is not null").count() == 4
 
 
+def test_quoted_fields_and_short_lines(spark, tmp_path):
+    (tmp_path / "q.csv").write_text('"CpG","a","b","c"\r\n"cg1","0.5",1,\r\n\r\ncg2,0.25\r\n')
+    wide, samples = tables.read_matrix(spark, str(tmp_path / "q.csv"), cohort="cases", dataset="q")
+    assert samples.first()["sample_ids"] == ["a", "b", "c"]
+    features = spark.createDataFrame([(0, "cg1"), (1, "cg2")], "feature_pos int, cpg_id string")
+    rows = {(r.sample_id, r.feature_pos): r.beta for r in align.align_to_manifest(wide, samples, features).collect()}
+    assert rows == {("a", 0): 0.5, ("b", 0): 1.0, ("c", 0): None, ("a", 1): 0.25, ("b", 1): None, ("c", 1): None}
+
+
 def test_matrix_without_id_column(spark, tmp_path):
     (tmp_path / "x.csv").write_text("id,s1\n1,2\n")
     with pytest.raises(ValueError):
