@@ -2,7 +2,7 @@
 
 Each document is measured by itself. Failures are then counted per host (here: the source), the rate of a host
 is shrunk towards the corpus by an empirical beta prior, and the host's verdict goes back to its documents: in a
-host that fails too often, one failed rule is enough to drop a document; elsewhere it takes ``rules_to_fail``.
+host that fails too often the strict limits of the rules hold, elsewhere the wide ones.
 """
 
 from __future__ import annotations
@@ -10,9 +10,10 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from operator import eq
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from probestats.llm.shared import parts, small
 from probestats.operators.stage import stage
@@ -20,7 +21,11 @@ from probestats.operators.stage import stage
 _SYMBOL = re.compile(r"[#*$%&|<>]")
 _SPACES = " \t\n\v\f\r"
 WINDOW = 5
-MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_lines", "n_repeat_words"]
+MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_stutters"]
+#: Shares that a document may not exceed, in hosts that fail too often and in others: symbols and stutters (words
+#: equal to the word before) of the words, repeated lines of the lines, characters a word.
+STRICT = {"symbols": 0.1, "lines": 0.3, "stutters": 0.2, "word_length": 15.0}
+WIDE = {"symbols": 0.2, "lines": 0.6, "stutters": 0.3, "word_length": 25.0}
 
 
 def measure_text(text: str | None) -> tuple[int, ...]:
@@ -42,7 +47,8 @@ def measure_text(text: str | None) -> tuple[int, ...]:
                 if found[x] > 1:
                     repeated += i + WINDOW - max(end, i)
                     end = i + WINDOW
-    return n, chars, len(_SYMBOL.findall(text)), len(lines) - len(set(lines)), len(lines), repeated
+    stutters = sum(map(eq, words, words[1:]))
+    return n, chars, len(_SYMBOL.findall(text)), len(lines) - len(set(lines)), repeated, len(lines), stutters
 
 
 def measure(docs: DataFrame, host: str) -> DataFrame:
@@ -79,31 +85,42 @@ def host_rates(measured: DataFrame) -> DataFrame:
     return hosts.withColumn("rate", (k + m * strength) / (n + strength))
 
 
-def judge(
-    docs: DataFrame, host: str = "source", symbol_share: float = 0.1, line_share: float = 0.3, word_length: tuple[float, float] = (2.0, 15.0),
-    host_rate: float = 0.3, rules_to_fail: int = 2,
-) -> DataFrame:
+def _rules_failed(limits: dict[str, float]) -> Column:
+    n = F.col("n_words")
+    failed = [
+        F.col("n_symbols") > limits["symbols"] * n,
+        F.col("n_dup_lines") > limits["lines"] * F.col("n_lines"),
+        F.col("n_stutters") > limits["stutters"] * n,
+        F.col("word_chars") > limits["word_length"] * n,
+    ]
+    return sum((f.cast("int") for f in failed[1:]), failed[0].cast("int"))
+
+
+def judge(docs: DataFrame, host: str = "source", host_rate: float = 0.3, strict: dict[str, float] = STRICT, wide: dict[str, float] = WIDE) -> DataFrame:
     """One row per document: doc_id, host, measures, ``base_failed``, ``n_failed``, ``host_rate``, ``kept``.
 
-    Rules: symbols over ``symbol_share`` of the words; repeated lines over ``line_share`` of the lines; mean word
-    length outside ``word_length``. ``base_failed``: under 10 words, or over 20 % of the words in repeated 5-word
-    windows. Dropped are documents that fail the base, ``rules_to_fail`` rules, or one rule in a host whose shrunk
-    rate of failing documents exceeds ``host_rate``. A document that fails nothing is always kept. Runs jobs.
+    ``base_failed``: under 10 words, or over 20 % of the words in repeated 5-word windows. ``n_failed`` counts the
+    base and the rules under the strict limits; a host's rate is that of documents with any failure. Dropped are
+    documents that fail the base or a wide limit, and, in hosts whose shrunk rate exceeds ``host_rate``, those that
+    fail a strict limit. A document that fails nothing is always kept. Runs jobs.
 
     NULL text: no words, so dropped. NULL host: a host of its own. Repeated rows: judged alike, counted each.
-    NULL doc_id: kept as it is. Other columns are ignored. Empty table: no rows.
+    NULL doc_id: judged like any other. Other columns are ignored. Empty table: no rows.
     """
-    n = F.col("n_words")
-    length = F.col("word_chars") / F.nullif(n, F.lit(0))
-    rules = [
-        F.col("n_symbols") > symbol_share * n,
-        F.col("n_dup_lines") > line_share * F.col("n_lines"),
-        ~F.coalesce(length.between(*word_length), F.lit(True)),
-    ]
-    measured = measure(docs, host).withColumn("base_failed", (n < 10) | (100 * F.col("n_repeat_words") > 20 * n))
-    measured = measured.withColumn("n_failed", sum((r.cast("int") for r in rules), F.col("base_failed").cast("int")))
+    measured = measure(docs, host).withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
+    measured = measured.withColumn("n_failed", F.col("base_failed").cast("int") + _rules_failed(strict))
     measured = stage(measured, "measures")  # read twice: for the hosts and for the verdicts
     hosts = small(stage(host_rates(measured).select(F.col("host").alias("of"), F.col("rate").alias("host_rate")), "hosts"))
-    soft = F.col("n_failed") - F.col("base_failed").cast("int")
-    bad = (soft >= rules_to_fail) | ((soft >= 1) & (F.col("host_rate") > host_rate))
-    return measured.join(hosts, F.col("host").eqNullSafe(F.col("of")), "left").drop("of").withColumn("kept", ~F.col("base_failed") & ~F.coalesce(bad, F.lit(False)))
+    judged = measured.join(hosts, F.col("host").eqNullSafe(F.col("of")), "left").drop("of")
+    strict_failed = F.col("n_failed") > F.col("base_failed").cast("int")
+    dropped = F.col("base_failed") | (_rules_failed(wide) > 0) | (strict_failed & F.coalesce(F.col("host_rate") > host_rate, F.lit(False)))
+    return judged.withColumn("kept", ~dropped)
+
+
+def keep_good(docs: DataFrame, host: str = "source", **how) -> DataFrame:
+    """The documents that ``judge`` keeps, all columns kept.
+
+    Verdicts go by id: a repeated doc_id goes if any of its rows is rejected; rows without a doc_id stay.
+    """
+    bad = judge(docs, host, **how).where(~F.col("kept")).select(F.col("doc_id").alias("_bad")).where("_bad IS NOT NULL").distinct()
+    return docs.join(bad, F.col("doc_id") == F.col("_bad"), "left_anti")

@@ -2,17 +2,32 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from probestats.llm import quality, sharding, simhash
+from probestats.llm import decontamination, packing, quality, sharding, simhash, warc
 from probestats.llm.oracles import QUALITY, SHARDING
 from probestats.llm.shared import table
+from probestats.operators.stage import own_folder
+
+#: A file of the installed vocabularies.
+TOKENIZER = "word_bpe_49k.json"
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op2_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
+
+
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -21,13 +36,25 @@ def op5_feistel_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Writes the pages as WARC archives to the shared folder and reads them back, digests verified."""
+    warc.register(spark)
+    path = f"{own_folder(spark)}/warc-{uuid.uuid4().hex}"
+    warc.page_records(table(spark, sf_dir, "pages")).write.format("warc").mode("append").save(path)
+    found = spark.read.format("warc").option("verify", "true").load(path).where(F.col("record_type").isin("response", "revisit"))
+    return found.select(
+        warc.page_id_of("record_id").alias("page_id"), F.col("payload_length").alias("payload_bytes"),
+        F.replace("payload_digest", F.lit("sha1:"), F.lit("")).alias("payload_digest"), "record_type", warc.page_id_of("refers_to").alias("refers_to"),
+    )
+
+
 def op7_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality.judge(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_failed", F.round("host_rate", 9).alias("host_rate"), "kept")
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_failed", "kept")
 
 
 def llm_queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op4_simhash, op5_feistel_sharding, op7_host_quality)}
+    return {f.__name__: f for f in (op2_harmonic_packing, op3_decontamination, op4_simhash, op5_feistel_sharding, op6_warc, op7_host_quality)}
 
 
 def llm_oracles() -> dict[str, str]:
