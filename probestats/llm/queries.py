@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from probestats.llm import decontamination, packing, quality, sharding, simhash, warc
+from probestats.llm import decontamination, html, packing, quality, sharding, simhash, warc
 from probestats.llm.oracles import QUALITY, SHARDING
 from probestats.llm.shared import table
 from probestats.operators.stage import own_folder
@@ -18,6 +18,10 @@ TOKENIZER = "word_bpe_49k.json"
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_host_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.main_text(table(spark, sf_dir, "pages"))
+
+
 def op2_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -54,7 +58,7 @@ def op7_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def llm_queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_harmonic_packing, op3_decontamination, op4_simhash, op5_feistel_sharding, op6_warc, op7_host_quality)}
+    return {f.__name__: f for f in (op1_host_paths, op2_harmonic_packing, op3_decontamination, op4_simhash, op5_feistel_sharding, op6_warc, op7_host_quality)}
 
 
 def llm_oracles() -> dict[str, str]:
