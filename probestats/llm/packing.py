@@ -37,7 +37,7 @@ class WordTokenizer:
     remembered between batches, and all forgotten when they are more than ``most``.
     """
 
-    def __init__(self, path: str, most: int = 1_000_000):
+    def __init__(self, path: str, most: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs one task per core
         from tokenizers import Tokenizer
 
@@ -94,7 +94,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int, keep_ids: bool =
     def batches(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenize = tokenizer(tokenizer_path)
         worker, counts = TaskContext.get().partitionId(), {}
-        for batch in parts(found, "text", 16_000_000):
+        for batch in parts(found, "text"):
             ids, sizes = tokenize(batch.column("text"))
             ids = ids.astype("<u4", copy=False)
             rows, kept, at = [], [], 0

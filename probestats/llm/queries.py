@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from probestats.llm import decontamination, html, packing, quality, sharding, simhash, warc
+from probestats.llm import decontamination, html, language, packing, quality, sharding, simhash, toxicity, warc
 from probestats.llm.oracles import QUALITY, SHARDING
 from probestats.llm.shared import table
 from probestats.operators.stage import own_folder
@@ -57,8 +57,16 @@ def op7_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_failed", "kept")
 
 
+def op8_crf_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(table(spark, sf_dir, "documents"))
+
+
+def op9_nb_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def llm_queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_host_paths, op2_harmonic_packing, op3_decontamination, op4_simhash, op5_feistel_sharding, op6_warc, op7_host_quality)}
+    return {f.__name__: f for f in (op1_host_paths, op2_harmonic_packing, op3_decontamination, op4_simhash, op5_feistel_sharding, op6_warc, op7_host_quality, op8_crf_language, op9_nb_toxicity)}
 
 
 def llm_oracles() -> dict[str, str]:
