@@ -184,42 +184,50 @@ def contaminated(
     doc_id each return; rows that repeat an item_id count as one item, at its best match. NULL ids stay NULL.
     Other columns are ignored; an empty table on either side gives no rows.
     """
-    items = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string"))
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n_parts = total // part_bytes + 1
     found = None
-    for part in range(n_parts):
-        # a part is about `part_bytes` of the queries, whatever the benchmark's size
-        rows = [tuple(r) for r in items.where(F.pmod(F.xxhash64("item_id"), F.lit(n_parts)) == part).collect()]
+    for rows in _item_parts(benchmark, part_bytes):
         one = _pass(docs, rows, size, radius, threshold)
         found = one if found is None else found.union(one)
     return found
 
 
+def _item_parts(benchmark: DataFrame, part_bytes: int) -> Iterator[list[tuple]]:
+    """The items in parts of about ``part_bytes`` of text: at least one part, if an empty one."""
+    items = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string"))
+    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n_parts = total // part_bytes + 1
+    for part in range(n_parts):
+        yield [tuple(r) for r in items.where(F.coalesce(F.pmod(F.xxhash64("item_id"), F.lit(n_parts)), F.lit(0)) == part).collect()]
+
+
+def _matches(batch: pa.RecordBatch, items: Items) -> Iterator[tuple[int, dict]]:
+    """(row of the batch, what ``match`` finds) for rows that may hold an item."""
+    split = pc.utf8_split_whitespace(batch.column("text").fill_null("").cast(pa.large_string()))
+    coded = split.flatten().dictionary_encode()
+    words = [plain(w) for w in coded.dictionary.to_pylist()]
+    codes = coded.indices.to_numpy(zero_copy_only=False)
+    kept = np.array([bool(w) for w in words], bool)[codes]
+    hashes = hash_words(words)[codes[kept]]
+    ends = np.r_[0, np.cumsum(kept)][np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False))]
+    starts = np.r_[0, ends[:-1]]
+    if items.short:  # an item of fewer words than a shingle can be anywhere
+        looked = range(len(ends))
+    else:  # one look at all shingles of the batch tells which texts to look into
+        looked = np.unique(np.searchsorted(ends, items.hits(hash_shingles(hashes, items.size)), side="right")).tolist()
+    for i in looked:
+        found = match(hashes[starts[i] : ends[i]], items)
+        if found:
+            yield i, found
+
+
 def _pass(docs: DataFrame, rows: list[tuple], size: int, radius: int, threshold: float) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(rows)
 
     def batches(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items = None
+        items = Items(sent.value, size, radius, threshold)
         for batch in parts(found, "text"):
-            items = items or Items(sent.value, size, radius, threshold)
-            split = pc.utf8_split_whitespace(batch.column("text").fill_null("").cast(pa.large_string()))
-            coded = split.flatten().dictionary_encode()
-            words = [plain(w) for w in coded.dictionary.to_pylist()]
-            codes = coded.indices.to_numpy(zero_copy_only=False)
-            kept = np.array([bool(w) for w in words], bool)[codes]
-            hashes = hash_words(words)[codes[kept]]
-            ends = np.r_[0, np.cumsum(kept)][np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False))]
-            # one look at all shingles of the batch tells which texts to look into
-            shingles = hash_shingles(hashes, size)
-            looked = set(np.searchsorted(ends, items.hits(shingles), side="right").tolist()) if len(hashes) >= size else set()
-            starts = np.r_[0, ends[:-1]]
-            if items.short:
-                looked = set(range(len(ends)))
-            out = []
             ids = batch.column("doc_id").to_pylist()
-            for i in sorted(looked):
-                out += [(ids[i], item, *row) for item, row in match(hashes[starts[i] : ends[i]], items).items()]
+            out = [(ids[i], item, *row) for i, best in _matches(batch, items) for item, row in best.items()]
             if out:
                 kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int64())
                 columns = [pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)]
@@ -229,7 +237,21 @@ def _pass(docs: DataFrame, rows: list[tuple], size: int, radius: int, threshold:
     return rows_in.mapInArrow(batches, "doc_id long, item_id long, similarity double, first_word long, n_words long, bits long")
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
-    """The documents that hold no benchmark item, all columns kept; those without a doc_id stay."""
-    found = contaminated(docs, benchmark, **how).select(F.col("doc_id").alias("_held")).where("_held IS NOT NULL").distinct()
-    return docs.join(found, F.col("doc_id") == F.col("_held"), "left_anti")
+def clean(docs: DataFrame, benchmark: DataFrame, size: int = 5, threshold: float = 0.8, radius: int = 24, part_bytes: int = 16_000_000) -> DataFrame:
+    """The documents that hold no benchmark item, row by row, with all columns as they are."""
+    for rows in _item_parts(benchmark, part_bytes):
+        docs = _without(docs, rows, size, radius, threshold)
+    return docs
+
+
+def _without(docs: DataFrame, rows: list[tuple], size: int, radius: int, threshold: float) -> DataFrame:
+    sent = docs.sparkSession.sparkContext.broadcast(rows)
+
+    def batches(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        items = Items(sent.value, size, radius, threshold)
+        for batch in parts(found, "text"):
+            kept = np.ones(batch.num_rows, bool)
+            kept[[i for i, _ in _matches(batch, items)]] = False
+            yield batch.filter(pa.array(kept))
+
+    return docs.mapInArrow(batches, docs.schema)

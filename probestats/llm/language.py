@@ -182,6 +182,20 @@ def sample(docs: DataFrame, lang: str, learn, rows_per_lang: int) -> list[tuple[
     return [(r["lang"], r["text"]) for r in found]
 
 
+def _tell(model: Crf, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Language and score of each text."""
+    words, codes, ends = coded_words(texts)
+    n = np.diff(np.r_[0, ends])
+    lang, score = np.full(len(n), "und", object), np.zeros(len(n))
+    has = np.flatnonzero(n)
+    if len(has) and model.langs:
+        p = model.posteriors(model.emissions(words)[codes], ends[has])
+        mean = np.add.reduceat(p, np.r_[0, ends[has][:-1]], axis=0) / n[has][:, None]
+        best = mean.argmax(axis=1)
+        lang[has], score[has] = np.array(model.langs, object)[best], np.clip(mean[np.arange(len(has)), best], 0, 1)
+    return lang, score
+
+
 def predict(docs: DataFrame, crf: Crf) -> DataFrame:
     """doc_id, ``lang_pred`` and ``score`` (the language's mean probability over the words) of every document.
 
@@ -190,17 +204,8 @@ def predict(docs: DataFrame, crf: Crf) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(crf)
 
     def batches(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = sent.value
         for batch in parts(found, "text", 16_000_000):
-            words, codes, ends = coded_words(batch.column("text"))
-            n = np.diff(np.r_[0, ends])
-            lang, score = np.full(len(n), "und", object), np.zeros(len(n))
-            has = np.flatnonzero(n)
-            if len(has) and model.langs:
-                p = model.posteriors(model.emissions(words)[codes], ends[has])
-                mean = np.add.reduceat(p, np.r_[0, ends[has][:-1]], axis=0) / n[has][:, None]
-                best = mean.argmax(axis=1)
-                lang[has], score[has] = np.array(model.langs, object)[best], np.clip(mean[np.arange(len(has)), best], 0, 1)
+            lang, score = _tell(sent.value, batch.column("text"))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(lang, pa.string()), pa.array(score)], ["doc_id", "lang_pred", "score"])
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
@@ -240,18 +245,22 @@ def identify(docs: DataFrame, lang: str = "lang", rows_per_lang: int = 400) -> D
     Repeated rows return each. Other columns are ignored. An empty table gives no rows; if nothing can be learned
     all documents are ``und``.
     """
-    remainder = crc_of_id() % 4
-    rows = sample(docs, lang, remainder != 2, rows_per_lang)
-    crf = fit(rows) if rows else Crf([], np.zeros((0, 0)), {}, np.zeros((0, 0)), np.zeros((0, 0)))
     held = F.coalesce(crc_of_id() % 4 == 2, F.lit(False))
-    return predict(docs, crf).select("doc_id", held.alias("held_out"), "lang_pred", "score")
+    return predict(docs, learn(docs, lang, rows_per_lang)).select("doc_id", held.alias("held_out"), "lang_pred", "score")
 
 
-def keep_identified(docs: DataFrame, lang: str = "lang", least: float = 0.5, **how) -> DataFrame:
-    """The documents whose language is told with a score of ``least`` or more, all columns kept.
+def learn(docs: DataFrame, lang: str, rows_per_lang: int) -> Crf:
+    rows = sample(docs, lang, crc_of_id() % 4 != 2, rows_per_lang)
+    return fit(rows) if rows else Crf([], np.zeros((0, 0)), {}, np.zeros((0, 0)), np.zeros((0, 0)))
 
-    Rejected are ids: a repeated doc_id goes if any of its rows is rejected; rows without a doc_id stay.
-    """
-    bad = identify(docs, lang, **how).where((F.col("lang_pred") == "und") | (F.col("score") < least))
-    bad = bad.select(F.col("doc_id").alias("_bad")).where("_bad IS NOT NULL").distinct()
-    return docs.join(bad, F.col("doc_id") == F.col("_bad"), "left_anti")
+
+def keep_identified(docs: DataFrame, lang: str = "lang", least: float = 0.5, rows_per_lang: int = 400) -> DataFrame:
+    """The documents whose language is told with a score of ``least`` or more, row by row, with all columns as they are."""
+    sent = docs.sparkSession.sparkContext.broadcast(learn(docs, lang, rows_per_lang))
+
+    def batches(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in parts(found, "text", 16_000_000):
+            told, score = _tell(sent.value, batch.column("text"))
+            yield batch.filter(pa.array((told != "und") & (score >= least)))
+
+    return docs.mapInArrow(batches, docs.schema)

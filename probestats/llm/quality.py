@@ -14,6 +14,7 @@ from operator import eq
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from probestats.llm.shared import parts, small
 from probestats.operators.stage import stage
@@ -51,18 +52,17 @@ def measure_text(text: str | None) -> tuple[int, ...]:
     return n, chars, len(_SYMBOL.findall(text)), len(lines) - len(set(lines)), repeated, len(lines), stutters
 
 
-def measure(docs: DataFrame, host: str) -> DataFrame:
-    """doc_id, host and ``MEASURES`` of every document."""
+def measure(docs: DataFrame, host: str, row: Column) -> DataFrame:
+    """``row`` (what stands for the document), its host and ``MEASURES``."""
+    rows = docs.select(row.alias("row"), F.col(host).cast("string").alias("host"), F.col("text").cast("string").alias("text"))
 
     def batches(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts(found, "text"):
             columns = zip(*map(measure_text, batch.column("text").to_pylist()), strict=True)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("host"), *(pa.array(c, pa.int64()) for c in columns)], ["doc_id", "host", *MEASURES]
-            )
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("host"), *(pa.array(c, pa.int64()) for c in columns)], ["row", "host", *MEASURES])
 
-    rows = docs.select(F.col("doc_id").cast("long"), F.col(host).cast("string").alias("host"), F.col("text").cast("string"))
-    return rows.mapInArrow(batches, "doc_id long, host string, " + ", ".join(f"{m} long" for m in MEASURES))
+    kind = StructType([rows.schema["row"], rows.schema["host"], *(StructField(m, LongType()) for m in MEASURES)])
+    return rows.mapInArrow(batches, kind)
 
 
 def host_rates(measured: DataFrame) -> DataFrame:
@@ -107,20 +107,31 @@ def judge(docs: DataFrame, host: str = "source", host_rate: float = 0.3, strict:
     NULL text: no words, so dropped. NULL host: a host of its own. Repeated rows: judged alike, counted each.
     NULL doc_id: judged like any other. Other columns are ignored. Empty table: no rows.
     """
-    measured = measure(docs, host).withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
-    measured = measured.withColumn("n_failed", F.col("base_failed").cast("int") + _rules_failed(strict))
-    measured = stage(measured, "measures")  # read twice: for the hosts and for the verdicts
+    measured = stage(_failures(measure(docs, host, F.col("doc_id").cast("long")), strict), "measures")  # read twice
+    judged = _with_hosts(measured, measured)
+    return judged.withColumn("kept", ~_dropped(strict, wide, host_rate)).withColumnRenamed("row", "doc_id")
+
+
+def _failures(measured: DataFrame, strict: dict[str, float]) -> DataFrame:
+    measured = measured.withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
+    return measured.withColumn("n_failed", F.col("base_failed").cast("int") + _rules_failed(strict))
+
+
+def _with_hosts(rows: DataFrame, measured: DataFrame) -> DataFrame:
     hosts = small(stage(host_rates(measured).select(F.col("host").alias("of"), F.col("rate").alias("host_rate")), "hosts"))
-    judged = measured.join(hosts, F.col("host").eqNullSafe(F.col("of")), "left").drop("of")
+    return rows.join(hosts, F.col("host").eqNullSafe(F.col("of")), "left").drop("of")
+
+
+def _dropped(strict: dict[str, float], wide: dict[str, float], host_rate: float) -> Column:
     strict_failed = F.col("n_failed") > F.col("base_failed").cast("int")
-    dropped = F.col("base_failed") | (_rules_failed(wide) > 0) | (strict_failed & F.coalesce(F.col("host_rate") > host_rate, F.lit(False)))
-    return judged.withColumn("kept", ~dropped)
+    return F.col("base_failed") | (_rules_failed(wide) > 0) | (strict_failed & F.coalesce(F.col("host_rate") > host_rate, F.lit(False)))
 
 
-def keep_good(docs: DataFrame, host: str = "source", **how) -> DataFrame:
-    """The documents that ``judge`` keeps, all columns kept.
+def keep_good(docs: DataFrame, host: str = "source", host_rate: float = 0.3, strict: dict[str, float] = STRICT, wide: dict[str, float] = WIDE) -> DataFrame:
+    """The documents that ``judge`` keeps, row by row, with all columns as they are. Runs jobs.
 
-    Verdicts go by id: a repeated doc_id goes if any of its rows is rejected; rows without a doc_id stay.
+    Texts are measured twice, for the hosts' rates and for the verdicts, rather than written or shuffled.
     """
-    bad = judge(docs, host, **how).where(~F.col("kept")).select(F.col("doc_id").alias("_bad")).where("_bad IS NOT NULL").distinct()
-    return docs.join(bad, F.col("doc_id") == F.col("_bad"), "left_anti")
+    rates = stage(_failures(measure(docs, host, F.lit(0)), strict).select("host", "n_failed"), "failures")
+    rows = _failures(measure(docs, host, F.struct(*(docs[c] for c in docs.columns))), strict)
+    return _with_hosts(rows, rates).where(~_dropped(strict, wide, host_rate)).select("row.*")

@@ -74,21 +74,22 @@ def block_keys(fp: Column, radius: int, pieces: int) -> Column:
 
 
 def _planes(fps: np.ndarray) -> np.ndarray:
-    """Bit planes: row i holds bit i of all fingerprints, fingerprint j at bit j % 64 of word j // 64."""
-    n = -(-len(fps) // BITS) * BITS
-    padded = np.zeros(n, "<u8")
+    """Bit planes of (n, words) fingerprints: row i holds bit i of all, fingerprint j at bit j % 64 of word j // 64."""
+    n = -(-len(fps) // 64) * 64
+    padded = np.zeros((n, fps.shape[1]), "<u8")
     padded[: len(fps)] = fps
-    bits = np.unpackbits(padded.view(np.uint8).reshape(n, 8), axis=1, bitorder="little")
+    bits = np.unpackbits(padded.view(np.uint8).reshape(n, -1), axis=1, bitorder="little")
     return np.packbits(np.ascontiguousarray(bits.T), axis=1, bitorder="little").view("<u8")
 
 
 def close_at(planes: np.ndarray, offset: int, n: int, radius: int) -> np.ndarray:
     """Positions i < n whose fingerprint differs from the one at i + offset in at most ``radius`` bits.
 
-    Bit i of the counters' words belongs to the pair (i, i + offset).
+    Bit i of the counters' words belongs to the pair (i, i + offset). ``radius`` + 1 is a power of two, so that the
+    counters' top bit tells that a pair is over it.
     """
-    words = -(-n // BITS)
-    skip, shift = divmod(offset, BITS)
+    words = -(-n // 64)
+    skip, shift = divmod(offset, 64)
     near = planes[:, :words]
     far = planes[:, skip : skip + words + 1]
     if far.shape[1] < words + 1:
@@ -96,39 +97,35 @@ def close_at(planes: np.ndarray, offset: int, n: int, radius: int) -> np.ndarray
     width = (radius + 1).bit_length()
     at = np.arange(words)
     counters = np.zeros((width, words), np.uint64)
-    over = np.zeros(words, np.uint64)
-    up, down = np.uint64(shift), np.uint64(BITS - shift)
-    for start in range(0, BITS, 8):
+    up, down = np.uint64(shift), np.uint64(64 - shift)
+    for start in range(0, len(planes), 8):
         for i in range(start, start + 8):
             moved = far[i, at] if not shift else (far[i, at] >> up) | (far[i, at + 1] << down)
             carry = near[i, at] ^ moved
-            for c in range(width):  # carry-save: add one bit to every pair's counter
+            for c in range(width - 1):  # carry-save: add one bit to every pair's counter
                 counters[c], carry = counters[c] ^ carry, counters[c] & carry
-            over |= carry
-            if radius + 1 == 1 << (width - 1):
-                over |= counters[width - 1]  # the top bit alone means more than the radius
-            else:
-                for k in range(radius + 1, 1 << width):
-                    over |= np.bitwise_and.reduce([counters[c] if k >> c & 1 else ~counters[c] for c in range(width)])
-        left = over != np.uint64(0xFFFFFFFFFFFFFFFF)
-        if not left.all():  # abandon words whose pairs are all too far apart
-            at, counters, over = at[left], counters[:, left], over[left]
+            counters[-1] |= carry  # stays set
+        if start + 8 <= radius:
+            continue
+        left = counters[-1] != np.uint64(0xFFFFFFFFFFFFFFFF)
+        if 2 * left.sum() < len(left):  # abandon words whose pairs are all too far apart
+            at, counters = at[left], counters[:, left]
             if not len(at):
                 return np.empty(0, np.int64)
-    bits = np.unpackbits((~over).astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    bits = np.unpackbits((~counters[-1]).astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
     row, bit = np.nonzero(bits)
-    found = at[row] * BITS + bit
+    found = at[row] * 64 + bit
     return found[found < n]
 
 
-def links_in_blocks(fps: np.ndarray, sizes: np.ndarray, radius: int) -> list[tuple[int, int]]:
+def links_in_blocks(fps: np.ndarray, sizes: np.ndarray, radius: int) -> np.ndarray:
     """Positions linked inside blocks of the given sizes, which stand one after the other, largest first.
 
     Of each block's links, only those are returned that join two sets not joined before, so there are fewer links
     than fingerprints, with the same connected components.
     """
-    block_end = np.repeat(np.cumsum(sizes), sizes)
     ends = np.cumsum(sizes)
+    block_end = np.repeat(ends, sizes)
     planes, found = _planes(fps), []
     label = np.arange(len(fps))
 
@@ -147,43 +144,55 @@ def links_in_blocks(fps: np.ndarray, sizes: np.ndarray, radius: int) -> list[tup
             if a != b:
                 label[max(a, b)] = min(a, b)
                 found.append((int(i), int(i) + offset))
-    return found
+    return np.array(found, np.int64).reshape(-1, 2)
 
 
-def links(distinct: DataFrame, radius: int, pieces: int, block: int) -> DataFrame:
-    """Links (a, b) between distinct fingerprints ``fp``, with all connected components of the full relation.
+def deal(rows: DataFrame, by: list[str], most: int, spread: str) -> DataFrame:
+    """Rows in groups (``by``, p, q) of about ``most`` at most, in which any two rows of a key meet. Single rows go.
 
-    A block with more than ``block`` fingerprints is dealt into parts of about half of that, and every two of its
-    parts are compared together as a block of their own, so that no task's memory follows a block's size and no
-    pair is missed.
+    A larger key is dealt by a hash of ``spread`` into parts of about half of that, and every two parts are a group,
+    so no task's memory follows a key's size and no pair is missed.
     """
-    keyed = distinct.select("fp", block_keys(F.col("fp"), radius, pieces).alias("k")).select("fp", "k.*")
-    sizes = keyed.groupBy("choice", "bits").agg(F.count("*").alias("n")).where("n > 1")
-    half = block // 2
-    cut = F.when(F.col("n") <= block, 1).otherwise(F.ceil(F.col("n") / half)).cast("int")
-    shared = keyed.join(sizes, ["choice", "bits"]).withColumn("cut", cut)
-    mine = F.pmod(F.xxhash64("fp", "choice"), F.col("cut")).cast("int")
-    others = F.when(F.col("cut") == 1, F.array(F.lit(0))).otherwise(F.array_except(F.sequence(F.lit(0), F.col("cut") - 1), F.array(F.col("mine"))))
-    dealt = shared.withColumn("mine", mine).withColumn("other", F.explode(others))
-    dealt = dealt.select("choice", "bits", F.least("mine", "other").alias("p"), F.greatest("mine", "other").alias("q"), "fp")
+    sizes = rows.groupBy(*by).agg(F.count("*").alias("_n")).where("_n > 1")
+    cut = F.when(F.col("_n") <= most, 1).otherwise(F.ceil(F.col("_n") / (most // 2))).cast("int")
+    mine = F.pmod(F.xxhash64(spread, F.lit(7)), F.col("_cut")).cast("int")
+    others = F.when(F.col("_cut") == 1, F.array(F.lit(0))).otherwise(F.array_except(F.sequence(F.lit(0), F.col("_cut") - 1), F.array(F.col("_mine"))))
+    dealt = rows.join(sizes, by).withColumn("_cut", cut).withColumn("_mine", mine).withColumn("_other", F.explode(others))
+    return dealt.withColumn("p", F.least("_mine", "_other")).withColumn("q", F.greatest("_mine", "_other")).drop("_n", "_cut", "_mine", "_other")
 
-    def batches(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(rows: np.ndarray) -> pa.RecordBatch:
-            starts = np.flatnonzero(np.r_[True, (rows[1:, :4] != rows[:-1, :4]).any(axis=1)])
-            sizes = np.diff(np.r_[starts, len(rows)])
-            order = np.argsort(-sizes, kind="stable")
-            order = order[sizes[order] > 1]
-            sizes, starts = sizes[order], starts[order]
-            at = np.repeat(starts - np.r_[0, np.cumsum(sizes)[:-1]], sizes) + np.arange(sizes.sum()) if len(sizes) else np.empty(0, np.int64)
-            fps = rows[at, 4]
-            linked = np.array(links_in_blocks(fps.view(np.uint64), sizes, radius), np.int64).reshape(-1, 2)
-            return pa.RecordBatch.from_arrays([pa.array(fps[linked[:, 0]]), pa.array(fps[linked[:, 1]])], ["a", "b"])
 
+def grouped(rows: DataFrame, by: list[str]) -> DataFrame:
+    """Rows of a group next to each other, groups spread over the shuffle's partitions."""
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(tasks, *by).sortWithinPartitions(*by)
+
+
+def links(keyed: DataFrame, radius: int, block: int) -> DataFrame:
+    """Links (a, b) between ``node``s that share a block (choice, bits), with all components of the full relation.
+
+    ``keyed`` has a row for each node and block, with the fingerprint's words in ``words`` (array<long>).
+    """
+    dealt = deal(keyed, ["choice", "bits"], block, "node")
+    by = ["choice", "bits", "p", "q"]
+
+    def out(rows: np.ndarray) -> pa.RecordBatch:
+        starts = np.flatnonzero(np.r_[True, (rows[1:, :4] != rows[:-1, :4]).any(axis=1)])
+        sizes = np.diff(np.r_[starts, len(rows)])
+        order = np.argsort(-sizes, kind="stable")
+        order = order[sizes[order] > 1]
+        sizes, starts = sizes[order], starts[order]
+        at = np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+        linked = links_in_blocks(rows[at, 5:].view(np.uint64), sizes, radius)
+        nodes = rows[at, 4]
+        return pa.RecordBatch.from_arrays([pa.array(nodes[linked[:, 0]]), pa.array(nodes[linked[:, 1]])], ["a", "b"])
+
+    def batches(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept, held = [], 0
         for batch in found:
             if not batch.num_rows:
                 continue
-            kept.append(np.stack([c.to_numpy().astype(np.int64) for c in batch.columns], axis=1))
+            words = batch.column("words").flatten().to_numpy().reshape(batch.num_rows, -1)
+            kept.append(np.column_stack([*(batch.column(c).to_numpy().astype(np.int64) for c in [*by, "node"]), words]))
             held += batch.num_rows
             if held < 100_000:
                 continue
@@ -196,9 +205,7 @@ def links(distinct: DataFrame, radius: int, pieces: int, block: int) -> DataFram
         if kept:
             yield out(np.concatenate(kept))
 
-    by = ["choice", "bits", "p", "q"]
-    tasks = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return dealt.repartition(tasks, *by).sortWithinPartitions(*by).mapInArrow(batches, "a long, b long")
+    return grouped(dealt.select(*by, "node", "words"), by).mapInArrow(batches, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, size: int = 3, radius: int = 3, pieces: int = 5, block: int = 4096) -> DataFrame:
@@ -207,23 +214,14 @@ def near_duplicates(docs: DataFrame, size: int = 3, radius: int = 3, pieces: int
     Two documents are linked if their fingerprints differ in at most ``radius`` bits; component_id is the smallest
     doc_id that can be reached over links. Equal fingerprints are one node, so exact copies cost nothing more.
 
-    NULL, empty and blank texts have fingerprint zero and are linked like any other. A NULL doc_id never names a
+    ``radius`` + 1 is a power of two. NULL, empty and blank texts have fingerprint zero and are linked like any other. A NULL doc_id never names a
     component (NULL only where no member has an id). Repeated rows each return. Other columns are ignored.
     """
     rows = stage(fingerprints(docs, size), "fingerprints")
     nodes = stage(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "nodes")
-    roots = stage(components(links(nodes.select("fp"), radius, pieces, block), "a", "b"), "roots")
+    keyed = nodes.select(F.col("fp").alias("node"), F.array("fp").alias("words"), block_keys(F.col("fp"), radius, pieces).alias("k")).select("node", "words", "k.*")
+    roots = stage(components(links(keyed, radius, block), "a", "b"), "roots")
     joined = nodes.join(roots, nodes["fp"] == roots["node"], "left").select(nodes["fp"], "first", F.coalesce("root", nodes["fp"]).alias("root"))
     names = joined.groupBy("root").agg(F.min("first").alias("component_id"))
     named = joined.join(names, "root").select(F.col("fp").alias("of"), "component_id")
     return rows.join(named, F.col("fp") == F.col("of")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def keep_first(docs: DataFrame, **how) -> DataFrame:
-    """The documents that name their component: of each group of near-duplicates one stays, all columns kept.
-
-    Rows that repeat doc_id and text stay once. Rows without a doc_id stay, as nothing tells them apart. Runs jobs.
-    """
-    found = near_duplicates(docs, **how).where("doc_id = component_id").select(F.col("doc_id").alias("_first")).distinct()
-    named = docs.join(found, F.col("doc_id") == F.col("_first"), "left_semi").dropDuplicates(["doc_id", "text"])
-    return named.unionByName(docs.where("doc_id IS NULL"))
