@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from probestats.llm import decontamination, html, language, packing, quality, sharding, simhash, toxicity, warc
+from probestats.llm import decontamination, html, language, maxent, packing, quality, sharding, simhash, toxicity, warc
 from probestats.llm.oracles import QUALITY, SHARDING
 from probestats.llm.shared import table
 from probestats.operators.stage import own_folder
@@ -65,8 +65,12 @@ def op9_nb_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op10_maxent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxent.score(table(spark, sf_dir, "documents"))
+
+
 def llm_queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_host_paths, op2_harmonic_packing, op3_decontamination, op4_simhash, op5_feistel_sharding, op6_warc, op7_host_quality, op8_crf_language, op9_nb_toxicity)}
+    return {f.__name__: f for f in (op1_host_paths, op2_harmonic_packing, op3_decontamination, op4_simhash, op5_feistel_sharding, op6_warc, op7_host_quality, op8_crf_language, op9_nb_toxicity, op10_maxent)}
 
 
 def llm_oracles() -> dict[str, str]:
