@@ -37,6 +37,8 @@ OTHER = frozenset(
     reply replies notice notices alert alerts cookie cookies consent gdpr popup modal overlay newsletter subscribe signup login search share sharing
     social related recommended recirculation trending pagination pager toolbar tags contentinfo complementary form disclaimer copyright skip hidden""".split()
 )
+#: Words of names that elements of an article have.
+ARTICLE = frozenset("article entry hentry post story".split())
 _MARKUP = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<data>.*?)(?:\]\]>|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<more>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>|[^>]*(?:>|\Z))|<[!?/][^>]*(?:>|\Z)",
     re.S,
@@ -80,8 +82,8 @@ class Page:
         self._read(source)
 
     def _read(self, source: str) -> None:
-        # of each open element: tag, container, whether its content is dropped
-        stack: list[tuple[str, int, bool]] = [("", 0, False)]
+        # of each open element: tag, container, whether its content is dropped, whether it belongs to an article
+        stack: list[tuple[str, int, bool, bool]] = [("", 0, False, False)]
         text: list[str] = []
         links, in_links, linked = 0, 0, 0
         at, size = 0, len(source)
@@ -112,8 +114,8 @@ class Page:
                 depth = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == tag), 0)
                 if tag in BLOCKS:
                     flush()
-                if depth and (tag in BLOCKS or not any(t in CONTAINERS for t, _, _ in stack[depth:])):
-                    in_links -= sum(t == "a" for t, _, _ in stack[depth:])
+                if depth and (tag in BLOCKS or not any(x[0] in CONTAINERS for x in stack[depth:])):
+                    in_links -= sum(x[0] == "a" for x in stack[depth:])
                     del stack[depth:]
                 continue
             if tag in VOID:
@@ -135,16 +137,17 @@ class Page:
                 if tag in CONTAINERS or tag == "p":
                     inline = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] in BLOCKS), 0)
                     if inline and stack[inline][0] == "p":
-                        in_links -= sum(t == "a" for t, _, _ in stack[inline:])
+                        in_links -= sum(x[0] == "a" for x in stack[inline:])
                         del stack[inline:]
-            _, container, dropped = stack[-1]
+            _, container, dropped, article = stack[-1]
             names, hidden = _names(more) if "=" in more or "hidden" in more else ([], False)
             own = tag in DROPPED or hidden
             if not own and tag == "header":
-                own = not any(t in ("article", "main") for t, _, _ in stack)
+                own = not article  # an article's header is its title
             if not own and names and tag not in ("html", "body", "main"):
                 own = _is_other(names) if tag != "article" else any({"comment", "reply"} & {n[0], n[-1]} for n in names)
             dropped = dropped or own
+            article = article or tag in ("article", "main") or any(ARTICLE.intersection(n) for n in names)
             if tag in CONTAINERS and not dropped:
                 parent, label = container, ".".join([tag, *sorted({"-".join(n) for n in names})])
                 container = len(self.parent)
@@ -152,7 +155,7 @@ class Page:
                 self.path.append(self.paths.setdefault((self.path[parent], label), len(self.paths) + 1))
             if more.endswith("/>") and tag not in BLOCKS:
                 continue
-            stack.append((tag, container, dropped))
+            stack.append((tag, container, dropped, article))
             in_links += tag == "a"
         flush()
 

@@ -1,6 +1,66 @@
-"""SQL twins of the corpus queries, for DuckDB."""
+"""SQL twins of the corpus queries, for DuckDB.
+
+Missing are those that SQL cannot express: parsing HTML, tokenizers, XXH64 and CRC-32 digests, and learned models.
+"""
 
 from __future__ import annotations
 
-SHARDING = ""
-QUALITY = ""
+from probestats.llm.quality import STRICT, WIDE
+
+_DIGITS = " || ".join(
+    f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(sha, {10 * group + 1}, 10))::BIGINT >> {35 - 5 * i}) & 31) + 1, 1)"
+    for group in range(4)
+    for i in range(8)
+)
+
+WARC = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first FROM pages),
+     s AS (SELECT page_id, html, first, sha1(html) AS sha FROM p)
+SELECT page_id, strlen(html) AS payload_bytes, {_DIGITS} AS payload_digest,
+       CASE WHEN page_id IS DISTINCT FROM first AND first IS NOT NULL THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id IS DISTINCT FROM first THEN first END AS refers_to
+FROM s
+"""
+
+
+def _failed(limits: dict[str, float]) -> str:
+    return (
+        f"((n_symbols > {limits['symbols']}::DOUBLE * n_words)::INT + (n_dup_lines > {limits['lines']}::DOUBLE * n_lines)::INT"
+        f" + (n_stutters > {limits['stutters']}::DOUBLE * n_words)::INT + (word_chars > {limits['word_length']}::DOUBLE * n_words)::INT)"
+    )
+
+
+QUALITY = rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, source AS host, coalesce(text, '') AS text FROM documents),
+w AS (
+  SELECT rid, doc_id, host, text, [x FOR x IN regexp_split_to_array(text, '[\x20\x09-\x0D]+') IF x <> ''] AS ws,
+         [x FOR x IN string_split(text, chr(10)) IF regexp_matches(x, '[^\x20\x09-\x0D]')] AS ls
+  FROM d
+),
+windows AS (SELECT rid, i, list_slice(ws, i, i + 4) AS five FROM (SELECT rid, ws, unnest(range(1, len(ws) - 3)) AS i FROM w)),
+repeated AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, five) AS c FROM windows) WHERE c > 1),
+covered AS (SELECT rid, count(DISTINCT i + k) AS n FROM repeated, (SELECT unnest(range(5)) AS k) GROUP BY rid),
+stutters AS (
+  SELECT rid, count(*) AS n FROM (SELECT rid, ws, unnest(range(1, len(ws))) AS i FROM w) WHERE ws[i] = ws[i + 1] GROUP BY rid
+),
+m AS (
+  SELECT rid, doc_id, host, len(ws)::BIGINT AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g')) AS word_chars,
+         length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines,
+         coalesce(covered.n, 0) AS n_repeat_words, len(ls) AS n_lines, coalesce(stutters.n, 0) AS n_stutters
+  FROM w LEFT JOIN covered USING (rid) LEFT JOIN stutters USING (rid)
+),
+b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m),
+f AS (SELECT *, base_failed::INT + {_failed(STRICT)} AS n_failed FROM b),
+h AS (SELECT host, count(*)::DOUBLE AS n, count(*) FILTER (WHERE n_failed > 0)::DOUBLE AS k FROM f GROUP BY host),
+s AS (SELECT count(*) AS hosts, sum(n) AS n, sum(k) AS k, sum(n * n) AS n2, sum(k * k / n) AS k2n FROM h),
+r AS (
+  SELECT k / n AS mean,
+         CASE WHEN n - n2 / n - (hosts - 1) > 0 AND k > 0 AND k < n
+              THEN (k2n - k * k / n - (hosts - 1) * (k / n) * (1 - k / n)) / ((n - n2 / n - (hosts - 1)) * (k / n) * (1 - k / n)) ELSE 0 END AS rho
+  FROM s
+),
+rates AS (SELECT h.host, (h.k + mean * strength) / (h.n + strength) AS rate FROM h, (SELECT mean, greatest(1, 1 / greatest(rho, 1e-6) - 1) AS strength FROM r))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, n_failed,
+       NOT (base_failed OR {_failed(WIDE)} > 0 OR (n_failed > base_failed::INT AND rate > 0.3)) AS kept
+FROM f JOIN rates ON f.host IS NOT DISTINCT FROM rates.host
+"""

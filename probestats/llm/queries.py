@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from probestats.llm import decontamination, html, language, maxent, packing, quality, sharding, simhash, toxicity, warc
-from probestats.llm.oracles import QUALITY, SHARDING
+from probestats.llm.oracles import QUALITY, WARC
 from probestats.llm.shared import table
 from probestats.operators.stage import own_folder
 
@@ -74,4 +74,4 @@ def llm_queries() -> dict[str, Query]:
 
 
 def llm_oracles() -> dict[str, str]:
-    return {"op5_feistel_sharding": SHARDING, "op7_host_quality": QUALITY}
+    return {"op6_warc": WARC, "op7_host_quality": QUALITY}

@@ -133,7 +133,7 @@ def _compressed(file, at: int, size: int, start: bytes, wanted: _Wanted, payload
     if length and (not keep or (not payloads and data.find(_END, end + 4) >= 0)):
         return at + length, (headers, bytes(data[end + 4 :])) if keep else None
     while not inflate.eof:
-        more = file.read(1 << 20)
+        more = file.read(length - got if length > got else 1 << 20)
         if not more:
             raise ValueError(f"record at {at} ends early")
         got += len(more)
@@ -172,11 +172,11 @@ class WarcReader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
         self.path, self.verify = options["path"], options.get("verify", "false") == "true"
         self.payloads = options.get("payload", "true") == "true"
-        self.split = int(options.get("splitBytes", 64 << 20))
+        self.split = int(options.get("splitbytes", 64 << 20))
         self.equal: dict[str, list] = {}
         self.there: set[str] = set()
-        if "recordType" in options:
-            self.equal["record_type"] = options["recordType"].split(",")
+        if "recordtype" in options:
+            self.equal["record_type"] = options["recordtype"].split(",")
 
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
         """Takes equality and membership on the header columns; the rest goes back to Spark."""
@@ -242,7 +242,7 @@ class WarcWriter(DataSourceWriter):
     """Writes files under names of their own; only those of tasks that ended well get on the list of files."""
 
     def __init__(self, options: dict[str, str]):
-        self.path, self.most = options["path"], int(options.get("maxFileBytes", 256 << 20))
+        self.path, self.most = options["path"], int(options.get("maxfilebytes", 256 << 20))
 
     def write(self, rows: Iterator[Row]) -> Written:
         system, root = file_system(self.path)
@@ -287,10 +287,10 @@ class WarcSource(DataSource):
         return SCHEMA
 
     def reader(self, schema) -> DataSourceReader:
-        return WarcReader(dict(self.options))
+        return WarcReader({k.lower(): v for k, v in self.options.items()})
 
     def writer(self, schema, overwrite: bool) -> DataSourceWriter:
-        return WarcWriter(dict(self.options))
+        return WarcWriter({k.lower(): v for k, v in self.options.items()})
 
 
 def register(spark: SparkSession) -> None:
