@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from probestats.functions.missing import finite_or_null
 from probestats.operators.fdr import top_tests
-from probestats.operators.ordered import exact_quantiles, join_lookup
+from probestats.operators.ordered import exact_quantiles, join_lookup, null_safe_join
 
 
 def _with_every_bin(counts: DataFrame, by: Sequence[str], bins: int, carried: Sequence[str] = ()) -> DataFrame:
@@ -16,7 +16,7 @@ def _with_every_bin(counts: DataFrame, by: Sequence[str], bins: int, carried: Se
     groups = counts.select(*by, *carried).distinct()
     spine = groups.withColumn("bin", F.explode(F.sequence(F.lit(1), F.lit(bins))))
     found = counts.select(*by, "bin", "n")
-    return spine.join(found, [*by, "bin"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    return null_safe_join(spine, found, [*by, "bin"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
 
 def _bin(value: Column, low: Column, high: Column, bins: int) -> Column:
@@ -43,7 +43,7 @@ def density_histogram(
     )
     width = (high - low) / bins
     totals = counts.groupBy(*by).agg(F.sum("n").alias("_total"))
-    full = _with_every_bin(counts, by, bins).join(totals, list(by))
+    full = null_safe_join(_with_every_bin(counts, by, bins), totals, list(by))
     density = F.col("n") / (F.col("_total") * F.lit(width))
     if clip is not None:
         density = F.greatest(density, F.lit(clip))
@@ -78,7 +78,7 @@ def box_stats(rows: DataFrame, value: str, by: Sequence[str], *, whisker: float
         F.min(F.when(F.col("_v") >= F.col("q1") - reach, F.col("_v"))).alias("_lo"),
         F.max(F.when(F.col("_v") <= F.col("q3") + reach, F.col("_v"))).alias("_hi"),
     )
-    return box.join(ends, list(by)).select(
+    return null_safe_join(box, ends, list(by)).select(
         *by,
         "n",
         "q1",

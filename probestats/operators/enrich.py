@@ -14,8 +14,6 @@ from probestats.operators.fdr import bh_fdr
 from probestats.operators.ordered import join_lookup, row_ranks
 from probestats.operators.stage import stage
 
-BROADCAST_DRAWS = 5_000_000
-
 
 def key_overlaps(stats: DataFrame, annotation: DataFrame, *, feature: str = "feature", exclude: Sequence[str] = ("CpG",)) -> DataFrame:
     """How many tested features each annotation column knows, as written and without leading zeros.
@@ -203,8 +201,6 @@ def permutation_enrichment(
         features.agg(F.count(F.lit(1))).scalar(),
         seed=seed,
     )
-    if n_perm * top_n <= BROADCAST_DRAWS:
-        draws = F.broadcast(draws)
     # the selection itself runs along as permutation 0, and all features as -1
     chosen = features.join(selected.select("CpG"), "CpG", "left_semi")
     drawn = indexed.join(draws, "idx").select("perm", "profile")

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from probestats.functions.keys import block_of
 from probestats.functions.missing import is_missing, nan_to_null
-from probestats.operators.ordered import exact_quantiles
+from probestats.operators.ordered import exact_quantiles, null_safe_join
 
 SEGMENT_WIDTH = 10_000
 SAMPLES_PER_TASK = 4_000
@@ -20,16 +20,19 @@ SAMPLE = ("cohort", "dataset", "sample_id")
 
 
 def to_blocks(betas: DataFrame, *, value: str = "beta", width: int = SEGMENT_WIDTH) -> DataFrame:
-    """Long matrix to one array per sample and segment, in feature order, missing entries as NULL.
+    """Long matrix to one array per sample and segment: a value stands at its feature's place in the segment.
 
-    A segment has at most ``width`` features, which bounds what one group collects.
+    Arrays of a segment all end with its last feature that any sample has; absent features are NULL. A segment has
+    at most ``width`` features, which bounds what one group collects; a (sample, feature) given twice raises.
     """
-    entry = F.struct((F.col("feature_pos") % width).alias("pos"), F.col(value).alias("value"))
+    entry = F.struct((F.col("feature_pos") % width).cast("int").alias("pos"), F.col(value).alias("value"))
+    segments = betas.groupBy(block_of(F.col("feature_pos"), width).alias("segment_id")).agg(F.max(F.col("feature_pos") % width).alias("_last"))
     return (
         betas.withColumn("segment_id", block_of(F.col("feature_pos"), width))
         .groupBy(*SAMPLE, "segment_id")
-        .agg(F.array_sort(F.collect_list(entry)).alias("_entries"))
-        .select(*SAMPLE, "segment_id", F.transform("_entries", lambda e: e["value"]).alias("values"))
+        .agg(F.map_from_entries(F.collect_list(entry)).alias("_by_pos"))
+        .join(segments, "segment_id")
+        .select(*SAMPLE, "segment_id", F.transform(F.sequence(F.lit(0), F.col("_last").cast("int")), lambda i: F.try_element_at("_by_pos", i)).alias("values"))
     )
 
 
@@ -154,7 +157,7 @@ def error_metrics(errors: DataFrame, *, by: Sequence[str] = DATASET) -> DataFram
         F.sqrt(F.avg("sq_err")).alias("rmse_global"),
     )
     spots = exact_quantiles(absolute, by, "_ae", {"median_ae": 0.5, "p95_ae": 0.95}).drop("n")
-    return sums.join(spots, list(by), "left")
+    return null_safe_join(sums, spots, list(by), "left")
 
 
 def segment_means(errors: DataFrame, *, by: Sequence[str] = DATASET, width: int = SEGMENT_WIDTH) -> DataFrame:
@@ -163,9 +166,17 @@ def segment_means(errors: DataFrame, *, by: Sequence[str] = DATASET, width: int
 
 
 def error_summary(
-    errors: DataFrame, n_segments: int, *, by: Sequence[str] = DATASET, width: int = SEGMENT_WIDTH
+    errors: DataFrame, n_segments: int | None = None, *, by: Sequence[str] = DATASET, width: int = SEGMENT_WIDTH
 ) -> DataFrame:
-    """One wide row per dataset: the metrics and MSE_Segment_1..n."""
+    """One wide row per dataset: the metrics and MSE_Segment_1..n, up to the last segment there is (read by a job).
+
+    Raises if ``n_segments`` is given and there are more.
+    """
+    there = errors.agg(F.max(block_of(F.col("feature_pos"), width))).first()[0]
+    there = 0 if there is None else int(there) + 1
+    if n_segments is not None and there > n_segments:
+        raise ValueError(f"{there} segments, {n_segments} columns")
+    n_segments = there if n_segments is None else n_segments
     wide = (
         segment_means(errors, by=by, width=width)
         .groupBy(*by)
@@ -174,7 +185,7 @@ def error_summary(
     )
     for i in range(n_segments):
         wide = wide.withColumnRenamed(str(i), f"mse_segment_{i + 1}")
-    return error_metrics(errors, by=by).join(wide, list(by))
+    return null_safe_join(error_metrics(errors, by=by), wide, list(by))
 
 
 def missing_share(rows: DataFrame, value: str, *, by: Sequence[str] = DATASET, zero_is_missing: bool = True) -> DataFrame:

@@ -11,9 +11,10 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, functions as F
 
 from probestats.operators.ordered import running_totals
+from probestats.operators.performance import model_columns
 from probestats.operators.stage import stage
 
-DEFAULT_GRID = (1, 2, 5, 10, 20, 50, 100, 200, 500)
+DEFAULT_GRID = range(1, 501)
 
 
 def roc_auc(
@@ -34,38 +35,39 @@ def roc_auc(
     )
 
 
-def classifiers(seed: int = 42, trees: int = 100, depth: int = 10, rounds: int = 100) -> dict[str, Callable[[], Estimator]]:
+def classifiers(seed: int = 42, trees: int = 100, depth: int = 30, rounds: int = 100) -> dict[str, Callable[[], Estimator]]:
     """The classifier suite, from MLlib.
 
-    MLlib's boosted trees bin their features, so they stand for both boosting variants; it has no trees
-    with random split points, and forests on all rows with few candidate features stand in for those.
+    Names say what is fitted. MLlib's boosted trees always bin their features, so both boosting variants are
+    binned ones; it has no trees with random split points, and forests on all rows stand in for those. ``depth``
+    is at most 30, which is as deep as MLlib's trees go.
     """
     return {
         "RandomForest": lambda: RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed),
-        "GradientBoosting": lambda: GBTClassifier(maxIter=rounds, maxDepth=3, stepSize=0.1, seed=seed),
-        "HistGradientBoosting": lambda: GBTClassifier(maxIter=rounds, maxDepth=5, maxBins=256, stepSize=0.1, seed=seed),
-        "ExtraTrees": lambda: RandomForestClassifier(
+        "BinnedBoostingDepth3": lambda: GBTClassifier(maxIter=rounds, maxDepth=3, stepSize=0.1, seed=seed),
+        "BinnedBoostingDepth5": lambda: GBTClassifier(maxIter=rounds, maxDepth=5, maxBins=256, stepSize=0.1, seed=seed),
+        "ForestOnAllRows": lambda: RandomForestClassifier(
             numTrees=trees, maxDepth=depth, bootstrap=False, featureSubsetStrategy="sqrt", seed=seed
         ),
     }
 
 
 def fold_vectors(
-    rows: DataFrame, ranked: DataFrame, *, max_k: int, value: str = "score", missing: float = 0.0
+    rows: DataFrame, ranked: DataFrame, *, max_k: int, value: str = "score", missing: float = 0.0, sample: Sequence[str] = ("sample_id",)
 ) -> DataFrame:
     """Per fold and sample, the values of that fold's ``max_k`` best features as one array, best first.
 
-    rows: sample_id, fold (the one that holds the sample out), label, feature_pos, value.
+    rows: the ``sample`` columns, fold (the one that holds the sample out), label, feature_pos, value.
     """
     ranked = ranked.where(F.col("rank") <= max_k)
     size = ranked.groupBy(F.col("fold").alias("model_fold")).agg(F.max("rank").alias("_size"))
     chosen = ranked.select(F.col("fold").alias("model_fold"), "feature_pos", "rank")
-    values = rows.join(F.broadcast(chosen), "feature_pos").groupBy("model_fold", "sample_id", "fold", "label").agg(
+    values = rows.join(F.broadcast(chosen), "feature_pos").groupBy("model_fold", *sample, "fold", "label").agg(
         F.map_from_entries(F.collect_list(F.struct("rank", F.coalesce(value, F.lit(missing))))).alias("_by_rank")
     )
     return values.join(F.broadcast(size), "model_fold").select(
         "model_fold",
-        "sample_id",
+        *sample,
         "label",
         (F.col("fold") == F.col("model_fold")).alias("held_out"),
         F.transform(
@@ -136,6 +138,6 @@ def _finished(spark, path: str) -> bool:
     return marker.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(marker)
 
 
-def mean_auc(fold_aucs: DataFrame, models: Sequence[str], *, value: str = "auc") -> DataFrame:
+def mean_auc(fold_aucs: DataFrame, models: Sequence[str] | None = None, *, value: str = "auc") -> DataFrame:
     """Mean over folds, one row per k and one column per model."""
-    return fold_aucs.groupBy("k").pivot("model", list(models)).agg(F.avg(value))
+    return fold_aucs.groupBy("k").pivot("model", model_columns(fold_aucs, models)).agg(F.avg(value))

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from probestats.operators.ordered import CELL, join_lookup, running_totals
+from probestats.operators.ordered import CELL, join_lookup, null_safe_join, running_totals
 
 
 def bh_fdr(
@@ -34,7 +34,7 @@ def bh_fdr(
     )
     down = W.partitionBy(*keys, CELL).orderBy(F.col("_p").desc()).rowsBetween(W.unboundedPreceding, W.currentRow)
     q = F.least(F.min("_raw").over(down), F.col("_tail"), F.lit(1.0))
-    lookup = levels.join(tails, [*keys, CELL]).select(
+    lookup = null_safe_join(levels, tails, [*keys, CELL]).select(
         *keys, "_p", F.col("n").alias("_n"), F.greatest(q, F.lit(0.0)).alias(name)
     )
     return join_lookup(filled, lookup, [*keys, "_p"], size="_n", hot_rows=hot_rows).drop("_p")

@@ -11,11 +11,15 @@ from probestats.operators.ordered import row_ranks
 
 
 def assign_folds(
-    samples: DataFrame, *, label: str = "label", key: str = "sample_id", n_splits: int = 5, seed: int = 42
+    samples: DataFrame, *, label: str = "label", key: str | Sequence[str] = "sample_id", n_splits: int = 5, seed: int = 42
 ) -> DataFrame:
-    """Stratified shuffled folds: each label is dealt out in hash order, so sizes differ by at most one."""
-    shuffled = samples.withColumn("_draw", draw_key(seed, F.col(key)))
-    ranked = row_ranks(shuffled, [label], "_draw", [key], cells=[draw_cell(F.col("_draw"))], few_cells=True)
+    """Stratified shuffled folds: each label is dealt out in hash order, so sizes differ by at most one.
+
+    ``key`` names the column or columns that tell samples apart.
+    """
+    keys = [key] if isinstance(key, str) else list(key)
+    shuffled = samples.withColumn("_draw", draw_key(seed, *[F.col(k) for k in keys]))
+    ranked = row_ranks(shuffled, [label], "_draw", keys, cells=[draw_cell(F.col("_draw"))], few_cells=True)
     return ranked.withColumn("fold", ((F.col("row_rank") - 1) % n_splits + 1).cast("int")).drop("_draw", "row_rank")
 
 

@@ -18,6 +18,19 @@ CELLS_PER_OCTAVE = 16_384
 CELL = "_cell"
 
 
+def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """A join on equal keys in which NULL equals NULL, with the columns of ``left`` and the others of ``right``."""
+    if not keys:
+        return left.crossJoin(F.broadcast(right))  # one row on the right
+    renamed = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
+    condition = F.lit(True)
+    for k in keys:
+        condition = condition & left[k].eqNullSafe(renamed[f"_r_{k}"])
+    if how in ("left_semi", "left_anti"):
+        return left.join(renamed, condition, how)
+    return left.join(renamed, condition, how).drop(*[f"_r_{k}" for k in keys])
+
+
 def _hot_limit(sizes: DataFrame, size: str, hot_rows: int | None) -> Column:
     total = sizes.agg(F.sum(size)).scalar()
     return F.greatest(F.lit(float(HOT_ROWS if hot_rows is None else hot_rows)), total / MAX_HOT_KEYS)
@@ -51,7 +64,7 @@ def with_cell(
         return rows.withColumn(CELL, value_cell(F.col(value)))
     hot = hot_keys(rows, keys, count=count, hot_rows=hot_rows).withColumn("_hot", F.lit(True))
     return (
-        rows.join(F.broadcast(hot), list(keys), "left")
+        null_safe_join(rows, F.broadcast(hot), list(keys), "left")
         .withColumn(CELL, F.when(F.col("_hot"), value_cell(F.col(value))).otherwise(F.lit(0).cast("bigint")))
         .drop("_hot")
     )
@@ -82,8 +95,8 @@ def running_totals(
     """One row per distinct (keys, value): each weight summed there, up to there and over the key.
 
     Equal values are summed before anything is shuffled. Output: keys, value, cell, and for each weight
-    ``w``, ``w_cum`` (this value included) and ``w_total``. Weights are whole numbers, keys not NULL; a NULL
-    value comes first.
+    ``w``, ``w_cum`` (this value included) and ``w_total``. Weights are whole numbers; NULL keys are one key; a
+    NULL value comes first.
     """
     names = list(weights)
     levels = rows.groupBy(*keys, value).agg(*[F.sum(c).alias(n) for n, c in weights.items()])
@@ -92,7 +105,7 @@ def running_totals(
     celled = with_cell(levels, keys, value, count=count, hot_rows=hot_rows)
     offsets = _cell_offsets(celled, keys, {n: F.sum(n) for n in names})
     inside = W.partitionBy(*keys, CELL).orderBy(value).rowsBetween(W.unboundedPreceding, W.currentRow)
-    return celled.join(offsets, [*keys, CELL]).select(
+    return null_safe_join(celled, offsets, [*keys, CELL]).select(
         *keys,
         CELL,
         value,
@@ -131,7 +144,7 @@ def row_ranks(
         offsets = F.broadcast(offsets)
     inside = W.partitionBy(*keys, CELL).orderBy(order, *ties)
     ranked = (
-        celled.join(offsets, [*keys, CELL])
+        null_safe_join(celled, offsets, [*keys, CELL])
         .withColumn(name, F.row_number().over(inside) + F.col("_off_n"))
         .drop(CELL, "_off_n")
     )
@@ -160,7 +173,7 @@ def exact_quantiles(
     keys = list(keys)
     if keys:
         hot = F.broadcast(hot_keys(data, keys, hot_rows=hot_rows))
-        cold_data, hot_data = data.join(hot, keys, "left_anti"), data.join(hot, keys, "left_semi")
+        cold_data, hot_data = null_safe_join(data, hot, keys, "left_anti"), null_safe_join(data, hot, keys, "left_semi")
         cold = cold_data.select(
             *keys,
             "_v",
@@ -180,7 +193,7 @@ def exact_quantiles(
             wanted = wanted | ((F.col("_off_c") <= rank) & (rank < F.col("_off_c") + F.col("_in_c")))
     # at most two cells per key and quantile, fewer than MAX_HOT_KEYS keys
     targets = F.broadcast(cells.where(wanted).drop("_in_c"))
-    levels = celled.join(targets, [*keys, CELL]).groupBy(*keys, CELL, "_off_c", "_tot_c", "_v").agg(
+    levels = null_safe_join(celled, targets, [*keys, CELL]).groupBy(*keys, CELL, "_off_c", "_tot_c", "_v").agg(
         F.count(F.lit(1)).alias("_c")
     )
     inside = W.partitionBy(*keys, CELL).orderBy("_v").rowsBetween(W.unboundedPreceding, W.currentRow)
@@ -205,24 +218,17 @@ def join_lookup(
     """Inner join to a table with one row per key, when one key may hold a large share of ``rows``.
 
     ``size`` names the lookup's column that tells how many rows each key has (dropped from the result);
-    without it they are counted. Rows of hot keys meet a broadcast of their few lookup rows, and are spread
-    evenly, by their own hash, over the tasks of the join that serves all the others.
+    without it they are counted. Rows of hot keys only meet a broadcast of their few lookup rows and stay where
+    they are; all others go through a join.
     """
     keys = list(keys)
     if size is None:
         counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-        lookup, size = lookup.join(counts, keys), "_rows"
+        lookup, size = null_safe_join(lookup, counts, keys), "_rows"
     carried = [c for c in lookup.columns if c not in (*keys, size)]
-    found = lookup.select(*keys, size, F.struct(F.lit(True).alias("_there"), *carried).alias("_found"))
-    hot = found.where(F.col(size) > _hot_limit(lookup, size, hot_rows))
-    marked = rows.join(F.broadcast(hot.select(*keys, F.col("_found").alias("_hot"))), keys, "left")
-    spread = F.when(F.col("_hot").isNull(), F.lit(0).cast("bigint")).otherwise(
-        F.pmod(F.xxhash64(*rows.columns), F.lit(1 << 20)) + 1
-    )
-    joined = marked.withColumn("_salt", spread).join(
-        found.select(*keys, "_found").withColumn("_salt", F.lit(0).cast("bigint")), [*keys, "_salt"], "left"
-    )
-    hit = F.coalesce("_hot", "_found")
-    return joined.withColumn("_hit", hit).where(F.col("_hit").isNotNull()).select(
-        *rows.columns, *[F.col("_hit")[c].alias(c) for c in carried]
-    )
+    is_hot = F.col(size) > _hot_limit(lookup, size, hot_rows)
+    hot = F.broadcast(lookup.where(is_hot).select(*keys, *carried))
+    ordinary = lookup.where(~is_hot).select(*keys, *carried)
+    spread = null_safe_join(rows, hot, keys)
+    joined = null_safe_join(null_safe_join(rows, hot.select(*keys), keys, "left_anti"), ordinary, keys)
+    return joined.unionByName(spread).select(*rows.columns, *carried)

@@ -50,8 +50,21 @@ def auc_series(perf: DataFrame) -> DataFrame:
     ).orderBy("model", "k")
 
 
-def heatmap(perf: DataFrame, models: Sequence[str]) -> DataFrame:
-    return perf.groupBy("k").pivot("model", sorted(models)).agg(F.avg("auc_plot")).orderBy("k")
+def model_columns(rows: DataFrame, models: Sequence[str] | None = None) -> list[str]:
+    """The models to make columns of: those that occur, in order (read by a job), or the given ones.
+
+    Raises if a model occurs that is not among the given ones, as its rows would be lost.
+    """
+    found = sorted(row[0] for row in rows.where(F.col("model").isNotNull()).select("model").distinct().collect())
+    if models is None:
+        return found
+    if unlisted := set(found) - set(models):
+        raise ValueError(f"models without a column: {sorted(unlisted)}")
+    return list(models)
+
+
+def heatmap(perf: DataFrame, models: Sequence[str] | None = None) -> DataFrame:
+    return perf.groupBy("k").pivot("model", sorted(model_columns(perf, models))).agg(F.avg("auc_plot")).orderBy("k")
 
 
 def model_boxes(perf: DataFrame) -> DataFrame:
@@ -71,12 +84,12 @@ def best_and_mean(perf: DataFrame) -> DataFrame:
     )
 
 
-def best_mean_table(perf: DataFrame, models: Sequence[str], digits: int = 4) -> DataFrame:
+def best_mean_table(perf: DataFrame, models: Sequence[str] | None = None, digits: int = 4) -> DataFrame:
     """Two rows (best, mean), one column per model, rounded."""
     long = best_and_mean(perf).select(
         "model", F.explode(F.create_map(F.lit("Best AUC"), "best_auc", F.lit("Mean AUC"), "mean_auc")).alias("statistic", "auc")
     )
-    return long.groupBy("statistic").pivot("model", list(models)).agg(F.round(F.first("auc"), digits)).orderBy("statistic")
+    return long.groupBy("statistic").pivot("model", model_columns(perf, models)).agg(F.round(F.first("auc"), digits)).orderBy("statistic")
 
 
 def top_model_k(perf: DataFrame, n: int = 20) -> DataFrame:

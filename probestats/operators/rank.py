@@ -44,7 +44,9 @@ def fold_moments(rows: DataFrame, *, value: str = "score", n_splits: int = 5) ->
 
 def passes_ratio(threshold: float = 0.01) -> Column:
     """Keep features whose case mean exceeds the control mean by the given share."""
-    return F.col("mean1") >= F.lit(1.0 + threshold) * F.greatest("mean0", F.lit(1e-12))
+    reached = F.col("mean1") >= F.lit(1.0 + threshold) * F.greatest("mean0", F.lit(1e-12))
+    # a mean that is NaN or missing compares with nothing
+    return F.coalesce(reached & ~F.isnan("mean0") & ~F.isnan("mean1") & F.col("mean0").isNotNull(), F.lit(False))
 
 
 def anova_f() -> Column:
@@ -60,13 +62,13 @@ def anova_f() -> Column:
 
 
 def rank_features(moments: DataFrame, *, top: int, ratio_threshold: float | None = None) -> DataFrame:
-    """The ``top`` features of each fold by F; features without F come last; ties by position.
+    """The ``top`` features of each fold by F; features whose F is missing or NaN come last; ties by position.
 
     Spark keeps only ``top`` rows per fold and map task before the shuffle.
     """
     kept = moments if ratio_threshold is None else moments.where(passes_ratio(ratio_threshold))
     scored = kept.select(
-        "fold", "feature_pos", F.coalesce(anova_f(), F.lit(float("-inf"))).alias("f_stat")
+        "fold", "feature_pos", F.coalesce(F.nanvl(anova_f(), F.lit(float("-inf"))), F.lit(float("-inf"))).alias("f_stat")
     )
     order = W.partitionBy("fold").orderBy(F.col("f_stat").desc(), "feature_pos")
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)

@@ -44,17 +44,19 @@ def ks_statistic(
     known = F.col("_v").isNotNull().cast("int")
     weights = {"case": F.col("_case") * known, "ctrl": (1 - F.col("_case")) * known}
     steps = running_totals(data, keys, "_v", weights, hot_rows=hot_rows)
-    gap = F.abs(F.col("case_cum") * F.col("ctrl_total") - F.col("ctrl_cum") * F.col("case_total"))
+    # products of two counts outgrow 64 bits
+    wide = {c: F.col(c).cast("decimal(19,0)") for c in ("case_cum", "ctrl_cum", "case_total", "ctrl_total")}
+    gap = F.abs(wide["case_cum"] * wide["ctrl_total"] - wide["ctrl_cum"] * wide["case_total"]).cast("decimal(38,0)")
     tested = steps.groupBy(*keys).agg(
         F.max("case_total").alias("n_case"), F.max("ctrl_total").alias("n_ctrl"), F.max(gap).alias("gap")
     )
-    both = F.col("n_case") * F.col("n_ctrl") > 0
+    both = (F.col("n_case") > 0) & (F.col("n_ctrl") > 0)
     return tested.select(
         *keys,
         "n_case",
         "n_ctrl",
         F.when(both, F.col("gap")).alias("gap"),
-        F.when(both, F.col("gap") / (F.col("n_case").cast("double") * F.col("n_ctrl"))).alias("d"),
+        F.when(both, F.col("gap").cast("double") / (F.col("n_case").cast("double") * F.col("n_ctrl"))).alias("d"),
     )
 
 
@@ -185,12 +187,12 @@ def ks_pvalue(
     key = ["n_case", "n_ctrl", "gap"]
     tested = stats.where(F.col("gap").isNotNull())
     exact = F.greatest("n_case", "n_ctrl") <= exact_up_to if method == "auto" else F.lit(method == "exact")
-    tasks = tasks or stats.sparkSession.sparkContext.defaultParallelism
+    tasks = tasks or int(stats.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     found = (
         tested.groupBy(*key)
         .agg(F.count(F.lit(1)).alias("_n"))
         .repartition(tasks, *key)
-        .withColumn("p_ks", _tail(*[F.col(c) for c in key], exact))
+        .withColumn("p_ks", _tail("n_case", "n_ctrl", F.col("gap").cast("double"), exact))
     )
     done = join_lookup(tested, found, key, size="_n").select(*stats.columns, "p_ks")
     untested = stats.where(F.col("gap").isNull()).withColumn("p_ks", F.lit(None).cast("double"))

@@ -90,7 +90,7 @@ def align_to_manifest(spark, d):
         cohort.alias("cohort"), F.col("l_linestatus").alias("dataset"), "l_partkey", "l_linenumber", "l_extendedprice", "l_shipdate", "l_orderkey", "l_suppkey"
     )
     first = align.keep_first(rows, ["cohort", "dataset", "l_partkey", "l_linenumber"], ["l_shipdate", "l_orderkey", "l_suppkey", "l_extendedprice"])
-    numbers = list(range(1, 8))
+    numbers = [row[0] for row in rows.select("l_linenumber").distinct().orderBy("l_linenumber").collect()]
     wide = (
         first.groupBy("cohort", "dataset", "l_partkey").pivot("l_linenumber", numbers).agg(F.first("l_extendedprice"))
         .select(
@@ -188,7 +188,7 @@ def error_metrics(spark, d):
 
 @query
 def segment_summary_pivot(spark, d):
-    rows = errors.error_summary(t.clean_errors(spark, d), 4, width=16)
+    rows = errors.error_summary(t.clean_errors(spark, d), width=16)
     return rows.select("cohort", "dataset", *[r(c) for c in rows.columns[2:]])
 
 
@@ -251,7 +251,7 @@ def autoencoder_error(spark, d):
 @query
 def ks_stat(spark, d):
     rows = twosample.ks_statistic(t.two_groups(spark, d))
-    return rows.select("feature_pos", "n_case", "n_ctrl", "gap", r("d"))
+    return rows.select("feature_pos", "n_case", "n_ctrl", long("gap"), r("d"))
 
 
 @query
@@ -263,14 +263,14 @@ def ks_pvalue_asymp(spark, d):
 @query
 def ks_pvalue_exact(spark, d):
     rows = twosample.ks_pvalue(twosample.ks_statistic(t.matrix(spark, d), value="value"), method="exact")
-    return rows.select("feature_pos", "n_case", "n_ctrl", "gap", r("p_ks"))
+    return rows.select("feature_pos", "n_case", "n_ctrl", long("gap"), r("p_ks"))
 
 
 @query
 def ks_pvalue_finite(spark, d):
-    """Prices of two return flags per line number: few tests on many values."""
+    """Prices of returned and other lines per line number: few tests on many values."""
     cohort = F.when(F.col("l_returnflag") == "A", "cases").otherwise("controls")
-    rows = t.table(spark, d, "lineitem").where(F.col("l_returnflag").isin("A", "N"))
+    rows = t.table(spark, d, "lineitem")
     stats = twosample.ks_statistic(rows.withColumn("cohort", cohort), ["l_linenumber"], "l_extendedprice")
     return twosample.ks_pvalue(stats, method="finite").select("l_linenumber", "n_case", "n_ctrl", r("d"), r("p_ks"))
 
@@ -290,6 +290,13 @@ def bh_fdr_grouped(spark, d):
     return fdr.bh_fdr(_order_tests(spark, d), "p", by=["o_orderstatus"], name="q").select("o_orderkey", r("p"), r("q"))
 
 
+@query
+def bh_fdr_null_group(spark, d):
+    """Tests of one status have no group: they are a group of their own."""
+    rows = _order_tests(spark, d).withColumn("o_orderstatus", F.nullif("o_orderstatus", F.lit("O")))
+    return fdr.bh_fdr(rows, "p", by=["o_orderstatus"], name="q").select("o_orderkey", "o_orderstatus", r("p"), r("q"))
+
+
 @query
 def ks_table(spark, d):
     rows = study.feature_tests(t.two_groups(spark, d), method="limit")
@@ -398,6 +405,32 @@ def fold_top20(spark, d):
     return rank.stability_table(ranked).select(long("fold"), long("rank"), "feature_name", "feature_index")
 
 
+@query
+def fold_top20_nan(spark, d):
+    """As fold_top20, with scores that are not numbers in every ninth feature."""
+    value = F.when((F.col("feature_pos") % 9 == 0) & (F.col("sample_id") % 50 == 0), F.lit(float("nan"))).otherwise(F.col("value"))
+    rows = _folded(spark, d).withColumn("value", value)
+    return rank.stability_table(rank.rank_features(rank.fold_moments(rows, value="value"), top=64), 64).select(long("fold"), long("rank"), "feature_name", "feature_index")
+
+
+@query
+def folds_repeated_ids(spark, d):
+    """Folds of samples that are numbered from 0 in each dataset."""
+    rows = t.table(spark, d, "embeddings").select(
+        F.when(F.col("label") < 5, "cases").otherwise("controls").alias("cohort"), F.concat(F.lit("ds_"), F.col("label")).alias("dataset"),
+        F.expr("vec_id div 10").alias("sample_id"), F.when(F.col("label") < 5, 1).otherwise(0).alias("label"),
+    ).distinct()
+    return folds.assign_folds(rows, key=["cohort", "dataset", "sample_id"]).select("cohort", "dataset", "sample_id", long("label"), long("fold"))
+
+
+@query
+def blocks_with_gaps(spark, d):
+    """Values by segment and place, with features absent by rule, back in long form."""
+    rows = t.matrix(spark, d).select("cohort", "dataset", "sample_id", "feature_pos", F.col("value").alias("beta"))
+    blocks = errors.to_blocks(rows.where((F.col("sample_id") * 5 + F.col("feature_pos")) % 7 != 0), width=10)
+    return errors.to_long(blocks, width=10).where(F.col("beta").isNotNull()).select("cohort", "dataset", "sample_id", "feature_pos", r("beta"))
+
+
 @query
 def auc_rank(spark, d):
     rows = t.table(spark, d, "labels").join(t.table(spark, d, "documents"), "doc_id")
@@ -413,13 +446,13 @@ def auc_global(spark, d):
 
 @query
 def mean_auc_wide(spark, d):
-    out = evaluate.mean_auc(t.performance(spark, d), t.MODELS)
-    return out.select("k", *[r(m) for m in t.MODELS])
+    out = evaluate.mean_auc(t.performance(spark, d))
+    return out.select("k", *[r(m) for m in out.columns[1:]])
 
 
 @query
 def bootstrap_ci(spark, d):
-    out = folds.bootstrap_ci(t.performance(spark, d), n_resamples=500)
+    out = folds.bootstrap_ci(t.performance(spark, d))
     return out.select("k", "model", r("mean_auc_boot", 10), r("ci95_low", 10), r("ci95_high", 10))
 
 
@@ -427,7 +460,7 @@ def bootstrap_ci(spark, d):
 def k_sweep(spark, d):
     """Two classifiers over two feature counts on the vectors, scored out of fold."""
     suite = evaluate.classifiers(trees=10, depth=4, rounds=3)
-    models = {name: suite[name] for name in ("RandomForest", "GradientBoosting")}
+    models = {name: suite[name] for name in ("RandomForest", "BinnedBoostingDepth3")}
     aucs, _ = study.classification(t.matrix(spark, d), value="value", n_splits=3, grid=(4, 16), models=models)
     return aucs.select("fold", "model", "k", r("auc"))
 
@@ -455,7 +488,7 @@ def _perf(spark, d):
 @query
 def melt_mean(spark, d):
     """Two wide result tables, melted and averaged together."""
-    wide = t.performance(spark, d).groupBy("k", (F.col("fold") % 2).alias("part")).pivot("model", t.MODELS).agg(F.avg("auc"))
+    wide = t.performance(spark, d).groupBy("k", (F.col("fold") % 2).alias("part")).pivot("model").agg(F.avg("auc"))
     parts = [performance.melt_models(wide.where(F.col("part") == p).drop("part")) for p in (0, 1)]
     return performance.mean_main(parts).select("k", "model", r("auc_main"))
 
@@ -479,7 +512,8 @@ def auc_series(spark, d):
 
 @query
 def heatmap_pivot(spark, d):
-    return performance.heatmap(_perf(spark, d), t.MODELS).select("k", *[r(m) for m in t.MODELS])
+    out = performance.heatmap(_perf(spark, d))
+    return out.select("k", *[r(m) for m in out.columns[1:]])
 
 
 @query
@@ -496,7 +530,7 @@ def best_mean_model(spark, d):
 
 @query
 def best_mean_table(spark, d):
-    return performance.best_mean_table(_perf(spark, d), t.MODELS)
+    return performance.best_mean_table(_perf(spark, d))
 
 
 @query
@@ -540,8 +574,7 @@ def term_universe(spark, d):
 
 def _ora(spark, d):
     annotated = _annotated(spark, d)
-    # few features, so that not every gene is selected
-    return annotated, enrich.over_representation(annotated, enrich.select_top(annotated, 4), t.gene_sets(spark, d))
+    return annotated, enrich.over_representation(annotated, enrich.select_top(annotated), t.gene_sets(spark, d))
 
 
 @query
@@ -559,7 +592,7 @@ def term_filter(spark, d):
 @query
 def focus_overlap_genes(spark, d):
     annotated, rows = _ora(spark, d)
-    return enrich.focus_overlap(rows, "nation_1", enrich.select_top(annotated, 4), t.gene_sets(spark, d))
+    return enrich.focus_overlap(rows, "nation_1", enrich.select_top(annotated), t.gene_sets(spark, d))
 
 
 @query
@@ -575,7 +608,7 @@ def term_incidence(spark, d):
 
 @query
 def perm_enrichment(spark, d):
-    rows = enrich.permutation_enrichment(_annotated(spark, d), t.gene_sets(spark, d), top_n=20, n_perm=1000)
+    rows = enrich.permutation_enrichment(_annotated(spark, d), t.gene_sets(spark, d))
     numbers = ["mean_perm", "sd_perm", "p_emp", "fdr_emp"]
     return rows.select("term", "k_cpg", "x_obs", *[r(c) for c in numbers])
 
@@ -586,7 +619,7 @@ def run_summary(spark, d):
     tests = twosample.ks_pvalue(twosample.ks_statistic(t.two_groups(spark, d)), method="limit").withColumn("p_ks", F.round("p_ks", 9))
     perf = _perf(spark, d).withColumn("auc_plot", F.round("auc_plot", 9))
     ora_rows = _ora(spark, d)[1].withColumn("p", F.round("p", 9))
-    parts = study.run_summary({"term": "nation_1", "top_n": 4}, perf, tests, ora_rows)
+    parts = study.run_summary({"term": "nation_1", "top_n": 100}, perf, tests, ora_rows)
     number = {"performance": ("auc_plot", F.concat_ws("/", "model", "k")), "tests": ("p_ks", F.col("feature_pos").cast("string")), "ora": ("p", F.col("term"))}
     out = parts["parameters"].select(F.lit("parameters").alias("section"), F.concat_ws("=", "name", "value").alias("subject"), F.lit(None).cast("double").alias("number"))
     for section, (value, subject) in number.items():

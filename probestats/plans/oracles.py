@@ -60,7 +60,7 @@ TWO_GROUPS = """
 s AS (
   SELECT l_suppkey AS feature_pos, CASE l_returnflag WHEN 'A' THEN 'cases' ELSE 'controls' END AS cohort,
          l_extendedprice AS score
-  FROM lineitem WHERE l_returnflag IN ('A', 'N')
+  FROM lineitem
 )"""
 
 KS = """,
@@ -247,7 +247,7 @@ FROM ks JOIN walk ON walk.a = n_case AND walk.b = n_ctrl AND walk.gap = ks.gap A
 _SQL["ks_pvalue_finite"] = f"""
 WITH s AS (
   SELECT l_linenumber AS feature_pos, CASE l_returnflag WHEN 'A' THEN 'cases' ELSE 'controls' END AS cohort, l_extendedprice AS score
-  FROM lineitem WHERE l_returnflag IN ('A', 'N')
+  FROM lineitem
 ){KS.format(rows='s')},
 g AS (SELECT *, CAST(round_even(n_case::DOUBLE * n_ctrl / (n_case + n_ctrl), 0) AS BIGINT) AS n, d * sqrt(n) AS z FROM ks),
 o AS (SELECT unnest(range(0, 40)) AS k, pow(pi() * (k + 0.5::DOUBLE), 2) AS a, pow(pi() * k, 2) AS b),
@@ -292,6 +292,13 @@ SELECT o_orderkey, {_rs('p', 'q')} FROM w"""
 _SQL["bh_fdr"] = _order_bh("")
 _SQL["bh_fdr_grouped"] = _order_bh("o_orderstatus")
 
+_SQL["bh_fdr_null_group"] = f"""
+WITH {ORDER_TESTS.replace("o_orderstatus", "nullif(o_orderstatus, 'O') AS o_orderstatus", 1)},
+x AS (SELECT *, coalesce(p, 1) AS f FROM o),
+k AS (SELECT *, f * count(*) OVER (PARTITION BY o_orderstatus) / (count(*) OVER (PARTITION BY o_orderstatus ORDER BY f)) AS raw FROM x),
+w AS (SELECT *, least(min(raw) OVER (PARTITION BY o_orderstatus ORDER BY f DESC), 1.0) AS q FROM k)
+SELECT o_orderkey, o_orderstatus, {_rs('p', 'q')} FROM w"""
+
 _TEST_TABLE = f"SELECT feature_pos, n_case, n_ctrl, {_rs('d', 'p_ks', 'fdr_bh')} FROM bh"
 
 _SQL["ks_table"] = f"WITH {TWO_GROUPS}{KS.format(rows='s')}{BH.format(rows='kp')} {_TEST_TABLE}"
@@ -397,6 +404,25 @@ WITH {MATRIX}, {MOMENTS.format(shift=0)}
 SELECT fold, row_number() OVER (PARTITION BY fold ORDER BY {_F} DESC, feature_pos) AS rank,
   'f' || feature_pos AS feature_name, feature_pos AS feature_index FROM tr QUALIFY rank <= 20"""
 
+# a fold that trains on a value that is no number has no F for that feature
+_SQL["fold_top20_nan"] = f"""
+WITH {MATRIX}, {MOMENTS.format(shift=0)},
+bad AS (
+  SELECT DISTINCT f.fold, m.feature_pos, TRUE AS bad FROM m JOIN fo USING (sample_id) JOIN (SELECT unnest(range(1, 6)) AS fold) f ON f.fold <> fo.fold
+  WHERE m.feature_pos % 9 = 0 AND m.sample_id % 50 = 0
+)
+SELECT fold, row_number() OVER (PARTITION BY fold ORDER BY CASE WHEN bad THEN '-Infinity'::DOUBLE ELSE {_F} END DESC, feature_pos) AS rank,
+  'f' || feature_pos AS feature_name, feature_pos AS feature_index FROM tr LEFT JOIN bad USING (fold, feature_pos)"""
+
+_SQL["folds_repeated_ids"] = """
+WITH x AS (SELECT DISTINCT CASE WHEN label < 5 THEN 'cases' ELSE 'controls' END AS cohort, 'ds_' || label AS dataset, vec_id // 10 AS sample_id,
+                  CASE WHEN label < 5 THEN 1 ELSE 0 END::BIGINT AS label FROM embeddings)
+SELECT cohort, dataset, sample_id, label,
+       (row_number() OVER (PARTITION BY label ORDER BY md5('42:' || cohort || ':' || dataset || ':' || sample_id), cohort, dataset, sample_id) - 1) % 5 + 1 AS fold FROM x"""
+
+_SQL["blocks_with_gaps"] = f"""
+WITH {MATRIX} SELECT cohort, dataset, sample_id, feature_pos, round(value, 6) AS beta FROM m WHERE (sample_id * 5 + feature_pos) % 7 <> 0"""
+
 
 def _auc(rows: str, by: str) -> str:
     part = f"PARTITION BY {by} " if by else ""
@@ -431,7 +457,7 @@ _SQL["bootstrap_ci"] = f"""
 WITH {PERF},
 a AS (SELECT k, model, list(auc ORDER BY fold) AS v FROM (SELECT k, model, fold, avg(auc) AS auc FROM pf GROUP BY ALL) GROUP BY ALL),
 d AS (SELECT k, model, rep, v[{_draw("'42'", 'k', 'model', 'rep', 'd')} % len(v) + 1] AS x
-      FROM (SELECT *, unnest(range(1, len(v) + 1)) AS d FROM (SELECT *, unnest(range(1, 501)) AS rep FROM a))),
+      FROM (SELECT *, unnest(range(1, len(v) + 1)) AS d FROM (SELECT *, unnest(range(1, 1001)) AS rep FROM a))),
 b AS (SELECT k, model, rep, avg(x) AS x FROM d GROUP BY ALL)
 SELECT k, model, round(avg(x), 10) AS mean_auc_boot, round(quantile_cont(x, 0.025), 10) AS ci95_low, round(quantile_cont(x, 0.975), 10) AS ci95_high
 FROM b GROUP BY ALL"""
@@ -481,7 +507,7 @@ pt AS (SELECT CAST(p_partkey AS VARCHAR) AS feature, (p_partkey * 7919 % 1009 +
 an AS (
   SELECT (CASE p_type WHEN 'SMALL' THEN 'ch' ELSE 'cg' END) || lpad(p_partkey::VARCHAR, 8, '0') AS CpG, lpad(p_partkey::VARCHAR, 8, '0') AS probe,
          p_size::VARCHAR AS size_key, p_brand AS brand, CASE WHEN p_size % 10 = 0 THEN NULL ELSE genes END AS genes, p_partkey AS cpg_order
-  FROM part LEFT JOIN (SELECT l_partkey, list_sort(list(DISTINCT 's' || l_suppkey)) AS genes FROM lineitem GROUP BY 1) ON p_partkey = l_partkey
+  FROM part LEFT JOIN (SELECT l_partkey, list_sort(list(DISTINCT 's' || l_suppkey || '_' || l_partkey % 50)) AS genes FROM lineitem GROUP BY 1) ON p_partkey = l_partkey
 ),
 ad AS (
   SELECT CpG, feature, p_ks, coalesce(genes, []) AS genes FROM an JOIN pt ON ltrim(probe, '0') = ltrim(feature, '0')
@@ -489,11 +515,11 @@ ad AS (
 ),
 fg AS (SELECT DISTINCT CpG, upper(unnest(genes)) AS gene FROM ad),
 un AS (SELECT DISTINCT gene FROM fg),
-gs AS (SELECT n_name AS term, 'S' || s_suppkey AS gene, n_nationkey AS term_order FROM nation JOIN supplier ON n_nationkey = s_nationkey),
+gs AS (SELECT n_name AS term, 'S' || s_suppkey || '_' || g AS gene, n_nationkey AS term_order FROM nation JOIN supplier ON n_nationkey = s_nationkey CROSS JOIN (SELECT unnest(range(50)) AS g)),
 tm AS (SELECT term, min(term_order) AS term_order FROM gs GROUP BY term)"""
 
 ORA = ANNOTATED + """,
-sl AS (SELECT CpG FROM ad ORDER BY p_ks, CpG LIMIT 4),
+sl AS (SELECT CpG FROM ad ORDER BY p_ks, CpG LIMIT 100),
 sg AS (SELECT DISTINCT gene FROM fg WHERE CpG IN (FROM sl)),
 oc AS (
   SELECT term, term_order, (SELECT count(*) FROM un) AS m_univ, count(gs.gene) FILTER (gs.gene IN (FROM un)) AS k_term,
@@ -546,10 +572,10 @@ _SQL["term_incidence"] = f"WITH {ANNOTATED} SELECT DISTINCT term, CpG FROM gs JO
 _SQL["perm_enrichment"] = f"""
 WITH RECURSIVE {ANNOTATED},
 ix AS (SELECT CpG, row_number() OVER (ORDER BY md5('7:' || CpG), CpG) - 1 AS idx FROM ad),
-sl AS (SELECT CpG FROM ad ORDER BY p_ks, CpG LIMIT 20),
+sl AS (SELECT CpG FROM ad ORDER BY p_ks, CpG LIMIT 100),
 nk AS (SELECT (SELECT count(*) FROM ad) AS n, (SELECT count(*) FROM sl) AS k),
 pk AS (
-  SELECT perm, 0::BIGINT AS s, []::BIGINT[] AS picks FROM (SELECT unnest(range(1, 1001)) AS perm)
+  SELECT perm, 0::BIGINT AS s, []::BIGINT[] AS picks FROM (SELECT unnest(range(1, 5001)) AS perm)
   UNION ALL
   SELECT perm, s + 1, list_append(picks, CASE WHEN list_contains(picks, h % (n - k + s + 1)) THEN n - k + s ELSE h % (n - k + s + 1) END)
   FROM (SELECT *, {_draw("'7'", 'perm', 's')} AS h FROM pk, nk WHERE s < k)
@@ -558,8 +584,8 @@ dr AS (SELECT perm, unnest(picks) AS idx FROM pk, nk WHERE s = k),
 tf AS (SELECT DISTINCT term, CpG FROM gs JOIN fg USING (gene)),
 ob AS (SELECT term, count(CpG) AS k_cpg, count(CpG) FILTER (CpG IN (FROM sl)) AS x_obs FROM tm LEFT JOIN tf USING (term) GROUP BY term),
 ct AS (SELECT term, perm, count(*) AS c FROM dr JOIN ix USING (idx) JOIN tf USING (CpG) GROUP BY ALL),
-al AS (SELECT term, k_cpg, x_obs, coalesce(c, 0) AS c FROM ob CROSS JOIN (SELECT unnest(range(1, 1001)) AS perm) LEFT JOIN ct USING (term, perm)),
-pp AS (SELECT term, k_cpg, x_obs, avg(c) AS mean_perm, stddev_samp(c) AS sd_perm, (1 + count(*) FILTER (c >= x_obs)) / 1001.0::DOUBLE AS p_emp FROM al GROUP BY ALL),
+al AS (SELECT term, k_cpg, x_obs, coalesce(c, 0) AS c FROM ob CROSS JOIN (SELECT unnest(range(1, 5001)) AS perm) LEFT JOIN ct USING (term, perm)),
+pp AS (SELECT term, k_cpg, x_obs, avg(c) AS mean_perm, stddev_samp(c) AS sd_perm, (1 + count(*) FILTER (c >= x_obs)) / 5001.0::DOUBLE AS p_emp FROM al GROUP BY ALL),
 rk AS (SELECT *, p_emp * count(*) OVER () / (count(*) OVER (ORDER BY p_emp)) AS raw FROM pp),
 bh AS (SELECT *, least(min(raw) OVER (ORDER BY p_emp DESC), 1.0) AS fdr_emp FROM rk)
 SELECT term, k_cpg, x_obs, {_rs('mean_perm', 'sd_perm', 'p_emp', 'fdr_emp')} FROM bh"""
@@ -571,6 +597,6 @@ WITH {TWO_GROUPS}{KS.format(rows='s')}, {COMBINED.replace('cb AS', 'cbx AS')}, {
 p1 AS (SELECT model || '/' || k AS subject, round(auc_plot, 9) AS v FROM cbx ORDER BY v DESC, model, k LIMIT 10),
 p2 AS (SELECT feature_pos::VARCHAR AS subject, round(p_ks, 9) AS v FROM kp ORDER BY v, feature_pos LIMIT 15),
 p3 AS (SELECT term AS subject, round(p, 9) AS v FROM orx ORDER BY v, term_order LIMIT 20)
-SELECT 'parameters' AS section, unnest(['term=nation_1', 'top_n=4']) AS subject, NULL::DOUBLE AS number
+SELECT 'parameters' AS section, unnest(['term=nation_1', 'top_n=100']) AS subject, NULL::DOUBLE AS number
 UNION ALL SELECT 'performance', subject, round(v, 6) FROM p1 UNION ALL SELECT 'tests', subject, round(v, 6) FROM p2
 UNION ALL SELECT 'ora', subject, round(v, 6) FROM p3"""

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from probestats.functions.keys import case_label
 from probestats.operators import describe, enrich, errors, evaluate, fdr, folds, performance, rank, score, twosample
+from probestats.operators.ordered import null_safe_join
 from probestats.operators.stage import stage
 
 
@@ -55,11 +56,16 @@ def classification(
     models=None,
     ratio_threshold: float | None = None,
     sink: str | None = None,
+    sample: Sequence[str] = score.SAMPLE,
 ) -> tuple[DataFrame, DataFrame]:
-    """(fold AUCs, 20 best features per fold). rows: cohort, sample_id, feature_pos, value; sample ids unique."""
+    """(fold AUCs, 20 best features per fold). rows: cohort, dataset, sample_id, feature_pos, value.
+
+    A sample is told by all of ``sample``: readers number samples from 0 in each file.
+    """
     labelled = rows.withColumn("label", case_label(F.col("cohort")))
-    samples = labelled.select("sample_id", "label").distinct()
-    folded = labelled.join(folds.assign_folds(samples, n_splits=n_splits, seed=seed).select("sample_id", "fold"), "sample_id")
+    samples = labelled.select(*sample, "label").distinct()
+    dealt = folds.assign_folds(samples, key=sample, n_splits=n_splits, seed=seed).select(*sample, "fold")
+    folded = null_safe_join(labelled, dealt, sample)
     top = max([20, *grid])
     ranked = stage(
         rank.rank_features(
@@ -67,7 +73,7 @@ def classification(
         ),
         "ranked",
     )
-    vectors = stage(evaluate.fold_vectors(folded, ranked, max_k=max(grid), value=value), "vectors")
+    vectors = stage(evaluate.fold_vectors(folded, ranked, max_k=max(grid), value=value, sample=sample), "vectors")
     aucs = evaluate.k_sweep(vectors, folds=range(1, n_splits + 1), grid=grid, models=models, sink=sink)
     return aucs, rank.stability_table(ranked)
 

@@ -11,6 +11,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from probestats.functions.keys import case_label
 
 
+GENES = 50
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -43,11 +46,11 @@ def clean_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def two_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Prices of two return flags as cases and controls, one feature per supplier."""
-    cohort = F.when(F.col("l_returnflag") == "A", "cases").when(F.col("l_returnflag") == "N", "controls")
+    """Prices of returned lines as cases and of all others as controls, one feature per supplier."""
+    cohort = F.when(F.col("l_returnflag") == "A", "cases").otherwise("controls")
     return table(spark, sf_dir, "lineitem").select(
         F.col("l_suppkey").alias("feature_pos"), cohort.alias("cohort"), F.col("l_extendedprice").alias("score")
-    ).where(F.col("cohort").isNotNull())
+    )
 
 
 def part_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,10 +62,12 @@ def part_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def annotation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Manifest: CpG, gene list of the part's suppliers, zero-padded key columns, own order."""
-    genes = table(spark, sf_dir, "lineitem").groupBy("l_partkey").agg(
-        F.array_join(F.array_sort(F.collect_set(F.concat(F.lit("s"), F.col("l_suppkey")))), ";").alias("gene_names")
-    )
+    """Manifest: CpG, gene list of the part's suppliers, zero-padded key columns, own order.
+
+    A supplier stands for GENES genes, one for each group of parts, so that a selection does not hit them all.
+    """
+    gene = F.concat(F.lit("s"), F.col("l_suppkey"), F.lit("_"), F.col("l_partkey") % GENES)
+    genes = table(spark, sf_dir, "lineitem").groupBy("l_partkey").agg(F.array_join(F.array_sort(F.collect_set(gene)), ";").alias("gene_names"))
     part = table(spark, sf_dir, "part")
     return part.join(genes, part["p_partkey"] == genes["l_partkey"], "left").select(
         F.concat(F.when(F.col("p_type") == "SMALL", "ch").otherwise("cg"), F.lpad(F.col("p_partkey").cast("string"), 8, "0")).alias("CpG"),
@@ -75,10 +80,12 @@ def annotation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def gene_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Suppliers by nation; gene names differ in case from the annotation's."""
+    """Suppliers' genes by nation; gene names differ in case from the annotation's."""
     supplier, nation = table(spark, sf_dir, "supplier"), table(spark, sf_dir, "nation")
-    return nation.join(supplier, nation["n_nationkey"] == supplier["s_nationkey"]).select(
-        F.col("n_name").alias("term"), F.concat(F.lit("S"), F.col("s_suppkey")).alias("gene"), F.col("n_nationkey").cast("bigint").alias("term_order")
+    parts = supplier.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(GENES - 1))))
+    gene = F.concat(F.lit("S"), F.col("s_suppkey"), F.lit("_"), F.col("part"))
+    return nation.join(parts, nation["n_nationkey"] == parts["s_nationkey"]).select(
+        F.col("n_name").alias("term"), gene.alias("gene"), F.col("n_nationkey").cast("bigint").alias("term_order")
     )
 
 
@@ -91,6 +98,3 @@ def performance(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("p_retailprice") % 100 / 100).alias("auc"),
     )
 
-
-# The part types, which stand for model names.
-MODELS = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
