@@ -204,7 +204,7 @@ def predict(docs: DataFrame, crf: Crf) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(crf)
 
     def batches(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in parts(found, "text", 16_000_000):
+        for batch in parts(found, "text", 6_000_000):
             lang, score = _tell(sent.value, batch.column("text"))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(lang, pa.string()), pa.array(score)], ["doc_id", "lang_pred", "score"])
 
@@ -259,7 +259,7 @@ def keep_identified(docs: DataFrame, lang: str = "lang", least: float = 0.5, row
     sent = docs.sparkSession.sparkContext.broadcast(learn(docs, lang, rows_per_lang))
 
     def batches(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in parts(found, "text", 16_000_000):
+        for batch in parts(found, "text", 6_000_000):
             told, score = _tell(sent.value, batch.column("text"))
             yield batch.filter(pa.array((told != "und") & (score >= least)))
 
