@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from probestats.llm.shared import crc_of_id, parts, small
 from probestats.llm.wordgrams import char_ngrams, coded_words
+from probestats.operators.stage import stage
 
 LOW, HIGH = 3, 6
 
@@ -94,6 +95,7 @@ def log_ratios(rows: DataFrame, features: int, least: int = 3, least_ratio: floa
             yield pa.RecordBatch.from_arrays(totals, ["gram", "p", "q"])
 
     counts = rows.select("text", "toxic").mapInArrow(batches, "gram long, p long, q long").groupBy("gram").agg(F.sum("p").alias("p"), F.sum("q").alias("q"))
+    counts = stage(counts, "ngrams")  # read for the sums and for the ratios
     docs_row = F.col("gram").isNull()
     sums = counts.agg(
         F.sum(F.when(docs_row, F.col("p"))).alias("np"), F.sum(F.when(docs_row, F.col("q"))).alias("nq"),
