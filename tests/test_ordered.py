@@ -109,7 +109,7 @@ def test_ks_statistic_and_auc_against_numpy(skewed, hot_rows):
         grid = np.unique(part.v)
         cx = np.searchsorted(np.sort(x), grid, "right")
         cy = np.searchsorted(np.sort(y), grid, "right")
-        assert got.loc[k, "gap"] == np.abs(cx * len(y) - cy * len(x)).max()
+        assert int(got.loc[k, "gap"]) == np.abs(cx * len(y) - cy * len(x)).max()
         wins = (x[:, None] > y[None, :]).mean() + 0.5 * (x[:, None] == y[None, :]).mean()
         assert auc.loc[k, "auc"] == pytest.approx(wins, abs=1e-12)
 
