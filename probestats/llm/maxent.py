@@ -31,7 +31,8 @@ WAYS = 16
 CLASSES = WAYS * WAYS
 CODE_BITS = 18
 END = 0  # hash of the token that closes every text
-GROUP_ROWS, CLASS_ROWS = 1 << 15, 1 << 16
+GROUP_ROWS, CLASS_ROWS = 1 << 15, 1 << 16  # numbered with 16 bits
+CLASS_FEATURES = 3  # the bias, the word before and the word two before
 BLOCK = 256  # weight rows that travel together
 BATCH = 16_384
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -98,46 +99,56 @@ class Model:
         return cls, n, (key ^ (key >> np.uint64(31))) * _A
 
     def features(self, keys: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """(tokens, features) hashes of each token's history; a history ends at its text's start."""
+        """(feature, token) hashes of each token's history, which ends at its text's start."""
         before = []
         place = np.arange(len(keys)) - starts
         for back in (1, 2, 3):
-            shifted = np.r_[np.zeros(min(back, len(keys)), np.uint64), keys[: max(0, len(keys) - back)]]
-            before.append(np.where(place >= back, shifted, np.uint64(back)))
+            shifted = np.full(len(keys), back, np.uint64)
+            shifted[back:] = keys[: len(keys) - back] if back < len(keys) else 0
+            shifted[place < back] = back
+            before.append(shifted)
         one, two, three = before
-        found = [np.zeros_like(one), one + np.uint64(11), two * _B + np.uint64(13), three * _B + np.uint64(17), (one * _A + two) * _B + np.uint64(19)]
-        mixed = np.stack(found, axis=1)
-        mixed = (mixed ^ (mixed >> np.uint64(29))) * _A
-        return mixed ^ (mixed >> np.uint64(32))
+        two_skip = two * _B
+        mixed = np.stack([np.zeros_like(one), one, two_skip, three * _B + np.uint64(17), (one * _A + two_skip) * _B])
+        mixed ^= mixed >> np.uint64(29)
+        mixed *= _A
+        mixed ^= mixed >> np.uint64(32)
+        return mixed
 
 
 def _rows(features: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Weight rows of the two softmaxes."""
-    one = (features & np.uint64(GROUP_ROWS - 1)).astype(np.int64)
-    two = (((features >> np.uint64(20)) + group[:, None].astype(np.uint64) * np.uint64(40503)) & np.uint64(CLASS_ROWS - 1)).astype(np.int64)
+    """Weight rows of the two softmaxes, one line for each feature. The second has no use for the rarest features."""
+    one = (features & np.uint64(GROUP_ROWS - 1)).astype(np.uint16)
+    two = (((features[:CLASS_FEATURES] >> np.uint64(20)) + group.astype(np.uint64) * np.uint64(40503)) & np.uint64(CLASS_ROWS - 1)).astype(np.uint16)
     return one, two
 
 
 def _log_softmax(weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    logits = weights[rows[:, 0]]
-    for f in range(1, rows.shape[1]):
-        logits += weights[rows[:, f]]
-    logits -= logits.max(axis=1, keepdims=True)
-    return logits - np.log(np.exp(logits).sum(axis=1, keepdims=True))
+    """(way, token) log probabilities; the ways come first, as sums over long lines are fast."""
+    logits = weights.take(rows[0], axis=0)
+    for line in rows[1:]:
+        logits += weights.take(line, axis=0)
+    logits = np.ascontiguousarray(logits.T)
+    logits -= logits.max(axis=0)
+    logits -= np.log(np.exp(logits).sum(axis=0))
+    return logits
 
 
 def _step(weights: np.ndarray, squares: np.ndarray, touched: np.ndarray, rows: np.ndarray, target: np.ndarray, rate: float) -> None:
     """One gradient update of a softmax on a batch of tokens (Adagrad)."""
     error = -np.exp(_log_softmax(weights, rows))
-    error[np.arange(len(target)), target] += 1
-    flat = rows.ravel()
+    error[target, np.arange(len(target))] += 1
+    flat = rows.ravel()  # 16 bits, which sort by counting
     order = np.argsort(flat, kind="stable")
     ordered = flat[order]
     first = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
-    g = np.add.reduceat(error[order // rows.shape[1]], first, axis=0)
+    g = np.ascontiguousarray(np.add.reduceat(error.take(order % len(target), axis=1), first, axis=1).T)
     used = ordered[first]
-    squares[used] += g * g
-    weights[used] += rate * g / np.sqrt(squares[used])
+    s = squares.take(used, axis=0) + g * g
+    squares[used] = s
+    g *= rate
+    g /= np.sqrt(s, out=s)
+    weights[used] += g
     touched[used] += np.diff(np.r_[first, len(flat)])
 
 
@@ -156,7 +167,7 @@ def _descend(docs: DataFrame, model: Model, rate: float) -> DataFrame:
             y, features = cls[numbers], model.features(keys[numbers], starts)
             for a in range(0, len(y), BATCH):
                 group = y[a : a + BATCH] // WAYS
-                rows = _rows(features[a : a + BATCH], group)
+                rows = _rows(features[:, a : a + BATCH], group)
                 _step(*tables[0], rows[0], group, rate)
                 _step(*tables[1], rows[1], y[a : a + BATCH] % WAYS, rate)
         if tables:
@@ -240,13 +251,13 @@ def evaluate(docs: DataFrame, model: Model) -> DataFrame:
             doc = np.repeat(np.arange(len(sizes)), sizes)
             y, token_keys, starts = cls[numbers], keys[numbers], np.repeat(first, sizes)
             score = -log_mass[y]
-            for a in range(0, len(y), 4 * BATCH):
+            for a in range(0, len(y), BATCH):
                 # the history of a slice's first tokens lies before it
-                b, lead = min(a + 4 * BATCH, len(y)), max(0, a - 3)
-                features = model.features(token_keys[lead:b], starts[lead:b] - lead)[a - lead :]
+                b, lead = min(a + BATCH, len(y)), max(0, a - 3)
+                features = model.features(token_keys[lead:b], starts[lead:b] - lead)[:, a - lead :]
                 group, at = y[a:b] // WAYS, np.arange(b - a)
                 rows = _rows(features, group)
-                score[a:b] += (_log_softmax(model.groups, rows[0])[at, group] + _log_softmax(model.classes, rows[1])[at, y[a:b] % WAYS]) / np.log(10)
+                score[a:b] += (_log_softmax(model.groups, rows[0])[group, at] + _log_softmax(model.classes, rows[1])[y[a:b] % WAYS, at]) / np.log(10)
             count = n[numbers]
             inside = count >= 0
             log_n = np.where(inside, np.log10(np.maximum(count, 0) + 1.0), 0)

@@ -377,10 +377,10 @@ def test_language_model_is_a_distribution():
     groups, classes = (rng.normal(size=(r, maxent.WAYS)).astype(np.float32) for r in (maxent.GROUP_ROWS, maxent.CLASS_ROWS))
     order = np.argsort(hashes)
     model = maxent.Model(hashes[order], n[order], class_of, of_class, int(n.sum()), len(words), groups, classes)
-    features = np.repeat(model.features(np.array([5, 7, 9, 11], np.uint64), np.zeros(4, np.int64))[3:], maxent.CLASSES, axis=0)
+    features = np.repeat(model.features(np.array([5, 7, 9, 11], np.uint64), np.zeros(4, np.int64))[:, 3:], maxent.CLASSES, axis=1)
     y = np.arange(maxent.CLASSES)
     rows_ = maxent._rows(features, y // maxent.WAYS)
-    p = np.exp(maxent._log_softmax(groups, rows_[0])[y, y // maxent.WAYS] + maxent._log_softmax(classes, rows_[1])[y, y % maxent.WAYS])
+    p = np.exp(maxent._log_softmax(groups, rows_[0])[y // maxent.WAYS, y] + maxent._log_softmax(classes, rows_[1])[y % maxent.WAYS, y])
     assert p.sum() == pytest.approx(1, abs=1e-4)
     assert (p[cls] * (n + 1) / of_class[cls]).sum() + (p / of_class).sum() == pytest.approx(1, abs=1e-4)
 
