@@ -299,7 +299,7 @@ def bh_fdr_null_group(spark, d):
 
 @query
 def ks_table(spark, d):
-    rows = study.feature_tests(t.two_groups(spark, d), method="limit")
+    rows = study.feature_tests(t.two_groups(spark, d))
     return rows.select("feature_pos", "n_case", "n_ctrl", r("d"), r("p_ks"), r("fdr_bh"))
 
 
@@ -307,7 +307,7 @@ def ks_table(spark, d):
 def ks_table_betas(spark, d):
     """Tests on raw values, where missing ones count as zeros."""
     value = F.when((F.col("sample_id") * 7 + F.col("feature_pos")) % 13 == 2, F.lit(0.0)).otherwise(F.col("value"))
-    rows = study.feature_tests(t.matrix(spark, d).withColumn("value", value), value="value", method="limit")
+    rows = study.feature_tests(t.matrix(spark, d).withColumn("value", value), value="value")
     return rows.select("feature_pos", "n_case", "n_ctrl", r("d"), r("p_ks"), r("fdr_bh"))
 
 
@@ -324,7 +324,7 @@ def score_tests(spark, d):
     Scores are rounded first, so that two engines see the same ties.
     """
     rows = stage(study.scores(t.errors(spark, d)).withColumn("score", F.round("score", 9)), "scores")
-    tests = study.feature_tests(rows, method="limit")
+    tests = study.feature_tests(rows)
     return tests.select("feature_pos", "n_case", "n_ctrl", r("d"), r("p_ks"), r("fdr_bh"))
 
 

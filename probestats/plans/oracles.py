@@ -224,8 +224,8 @@ _SQL["ks_stat"] = f"WITH {TWO_GROUPS}{KS.format(rows='s')} SELECT feature_pos, n
 
 _SQL["ks_pvalue_asymp"] = f"WITH {TWO_GROUPS}{KS.format(rows='s')} SELECT feature_pos, {_rs('d', 'p_ks')} FROM kp"
 
-_SQL["ks_pvalue_exact"] = f"""
-WITH RECURSIVE {MATRIX}, v AS (SELECT feature_pos, cohort, value AS score FROM m){KS.format(rows='v')},
+# the probability that a walk of n_case and n_ctrl steps in any order reaches the gap
+WALK = """,
 gaps AS (SELECT DISTINCT n_case AS a, n_ctrl AS b, gap FROM ks),
 walk AS (
   SELECT a, b, gap, 0::BIGINT AS t, [1.0::DOUBLE] || list_transform(range(0, a), lambda i: 0.0::DOUBLE) AS alive, 0.0::DOUBLE AS crossed FROM gaps
@@ -239,9 +239,15 @@ walk AS (
          + CASE WHEN i > 0 AND t - i + 1 BETWEEN 0 AND b THEN alive[i] * (a - i + 1) ELSE 0.0 END) / (a + b - t)) AS moved
     FROM walk WHERE t < a + b
   )
-)
-SELECT feature_pos, n_case, n_ctrl, ks.gap, round(least(crossed, 1.0), 6) AS p_ks
-FROM ks JOIN walk ON walk.a = n_case AND walk.b = n_ctrl AND walk.gap = ks.gap AND t = a + b"""
+),
+kx AS (
+  SELECT feature_pos, n_case, n_ctrl, ks.gap, d, least(crossed, 1.0) AS p_ks
+  FROM ks JOIN walk ON walk.a = n_case AND walk.b = n_ctrl AND walk.gap = ks.gap AND t = a + b
+)"""
+
+_SQL["ks_pvalue_exact"] = f"""
+WITH RECURSIVE {MATRIX}, v AS (SELECT feature_pos, cohort, value AS score FROM m){KS.format(rows='v')}{WALK}
+SELECT feature_pos, n_case, n_ctrl, gap, {_r('p_ks')} FROM kx"""
 
 # Smirnov's sum where n d^2 >= 2.2, Pelz and Good's expansion below; for more than 500 values
 _SQL["ks_pvalue_finite"] = f"""
@@ -301,18 +307,19 @@ SELECT o_orderkey, o_orderstatus, {_rs('p', 'q')} FROM w"""
 
 _TEST_TABLE = f"SELECT feature_pos, n_case, n_ctrl, {_rs('d', 'p_ks', 'fdr_bh')} FROM bh"
 
-_SQL["ks_table"] = f"WITH {TWO_GROUPS}{KS.format(rows='s')}{BH.format(rows='kp')} {_TEST_TABLE}"
+# both sides of all tests here have at most 10,000 values, so the default method is the exact one
+_SQL["ks_table"] = f"WITH RECURSIVE {TWO_GROUPS}{KS.format(rows='s')}{WALK}{BH.format(rows='kx')} {_TEST_TABLE}"
 
 _SQL["ks_table_betas"] = f"""
-WITH {MATRIX}, v AS (SELECT feature_pos, cohort, CASE WHEN (sample_id * 7 + feature_pos) % 13 = 2 THEN 0.0 ELSE value END AS score FROM m)
-{KS.format(rows='v')}{BH.format(rows='kp')} {_TEST_TABLE}"""
+WITH RECURSIVE {MATRIX}, v AS (SELECT feature_pos, cohort, CASE WHEN (sample_id * 7 + feature_pos) % 13 = 2 THEN 0.0 ELSE value END AS score FROM m)
+{KS.format(rows='v')}{WALK}{BH.format(rows='kx')} {_TEST_TABLE}"""
 
 _SQL["top_tests"] = f"""
 WITH {TWO_GROUPS}{KS.format(rows='s')} SELECT feature_pos, {_r('p_ks')} FROM kp ORDER BY round(kp.p_ks, 9), feature_pos LIMIT 15"""
 
 _SQL["score_tests"] = f"""
-WITH {NORMALIZED}{BASELINE}, v AS (SELECT feature_pos, cohort, round(score, 9) AS score FROM z)
-{KS.format(rows='v')}{BH.format(rows='kp')} {_TEST_TABLE}"""
+WITH RECURSIVE {NORMALIZED}{BASELINE}, v AS (SELECT feature_pos, cohort, round(score, 9) AS score FROM z)
+{KS.format(rows='v')}{WALK}{BH.format(rows='kx')} {_TEST_TABLE}"""
 
 # --- distributions ---------------------------------------------------------------------------------
 
