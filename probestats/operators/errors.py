@@ -13,7 +13,7 @@ from probestats.functions.missing import is_missing, nan_to_null
 from probestats.operators.ordered import exact_quantiles, null_safe_join
 
 SEGMENT_WIDTH = 10_000
-SAMPLES_PER_TASK = 4_000
+SAMPLES_PER_TASK = 500
 SAMPLES_PER_STEP = 500
 DATASET = ("cohort", "dataset")
 SAMPLE = ("cohort", "dataset", "sample_id")

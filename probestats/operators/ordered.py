@@ -2,8 +2,9 @@
 
 A plain ``Window.partitionBy(key).orderBy(value)`` puts a whole key into one task. Here a key that is
 too large for that is cut along the value axis into *cells*, in value order; totals of earlier cells are
-added to what a window inside the cell gives. Cell borders depend on the value alone, so every
-evaluation of the plan (also after a lost executor) cuts alike. Small keys stay in one piece.
+added to what a window inside the cell gives. Cells are equal ratios of values; one that still holds too
+many rows is cut again between its own smallest and largest value. Borders depend on the values alone, so
+every evaluation of the plan (also after a lost executor) cuts alike. Small keys stay in one piece.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ HOT_ROWS = 1_000_000
 MAX_HOT_KEYS = 100_000
 CELLS_PER_OCTAVE = 16_384
 CELL = "_cell"
+SUB_CELLS = 1 << 20
 
 
 def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
@@ -61,13 +63,33 @@ def with_cell(
 ) -> DataFrame:
     """Add the cell column: one cell for an ordinary key, many for a hot one or for no key at all."""
     if not keys:
-        return rows.withColumn(CELL, value_cell(F.col(value)))
+        return _cut_again(rows.withColumn(CELL, value_cell(F.col(value))), keys, value, count, hot_rows)
     hot = hot_keys(rows, keys, count=count, hot_rows=hot_rows).withColumn("_hot", F.lit(True))
-    return (
-        null_safe_join(rows, F.broadcast(hot), list(keys), "left")
-        .withColumn(CELL, F.when(F.col("_hot"), value_cell(F.col(value))).otherwise(F.lit(0).cast("bigint")))
-        .drop("_hot")
+    celled = null_safe_join(rows, F.broadcast(hot), list(keys), "left").withColumn(
+        CELL, F.when(F.col("_hot"), value_cell(F.col(value))).otherwise(F.lit(0).cast("bigint"))
     )
+    return _cut_again(celled, keys, value, count, hot_rows, F.col("_hot")).drop("_hot")
+
+
+def _cut_again(
+    celled: DataFrame, keys: Sequence[str], value: str, count: Column | None, hot_rows: int | None, among: Column | None = None
+) -> DataFrame:
+    """Cut cells with more rows than one task should hold into equal ranges of their values.
+
+    As for hot keys, there are fewer than MAX_HOT_KEYS such cells, which may be broadcast.
+    """
+    looked = celled if among is None else celled.where(among)
+    sizes = looked.groupBy(*keys, CELL).agg(
+        (F.count(F.lit(1)) if count is None else count).alias("_rows"), F.min(value).alias("_lo"), F.max(value).alias("_hi")
+    )
+    limit = _hot_limit(sizes, "_rows", hot_rows)
+    ranges = F.least(F.ceil(F.col("_rows") / F.greatest(limit, F.lit(1.0))), F.lit(SUB_CELLS)).cast("bigint")
+    full = sizes.where((F.col("_rows") > limit) & (F.col("_lo") < F.col("_hi"))).select(*keys, CELL, "_lo", "_hi", ranges.alias("_cuts"))
+    low, high = F.col("_lo").cast("double"), F.col("_hi").cast("double")
+    spot = F.floor((F.col(value).cast("double") - low) / (high - low) * F.col("_cuts"))
+    place = F.coalesce(F.greatest(F.least(spot, F.col("_cuts") - 1), F.lit(0)), F.lit(0)).cast("bigint")
+    joined = null_safe_join(celled, F.broadcast(full), [*keys, CELL], "left")
+    return joined.withColumn(CELL, F.col(CELL) * SUB_CELLS + place).drop("_lo", "_hi", "_cuts")
 
 
 def _cell_offsets(rows: DataFrame, keys: Sequence[str], sums: Mapping[str, Column]) -> DataFrame:
@@ -184,7 +206,7 @@ def exact_quantiles(
     else:
         cold, hot_data = None, data
 
-    celled = hot_data.withColumn(CELL, value_cell(F.col("_v")))
+    celled = _cut_again(hot_data.withColumn(CELL, value_cell(F.col("_v"))), keys, "_v", None, hot_rows)
     cells = _cell_offsets(celled, keys, {"c": F.count(F.lit(1))})
     n = F.col("_tot_c")
     wanted = F.lit(False)

@@ -24,6 +24,8 @@ from probestats.operators import (
 )
 from probestats.operators.stage import stage
 from probestats.plans import study, tables as t
+from probestats.sources import sinks
+from probestats.sources.lines import gene_set, matrix_fields
 from probestats.sources.tables import select_datasets, shared_features
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -102,6 +104,32 @@ def align_to_manifest(spark, d):
     return align.align_to_manifest(wide, samples, _manifest(spark, d))
 
 
+@query
+def matrix_lines(spark, d):
+    """Lines as of a delimited file, some fields quoted with the separator in them, some lines short."""
+    text = F.concat_ws(
+        ",", F.concat(F.lit('"'), F.col("p_name"), F.lit(', ""'), F.col("p_brand"), F.lit('"""')), F.concat(F.lit(" "), F.col("p_size"), F.lit(" ")),
+        F.when(F.col("p_partkey") % 3 != 0, F.concat(F.lit('"'), F.col("p_type"), F.lit('"'))),
+    )
+    cells = t.table(spark, d, "part").select("p_partkey", matrix_fields(text, ",", ["name", "size", "type"]).alias("cells"))
+    return cells.select("p_partkey", *[F.get("cells", F.lit(i)).alias(n) for i, n in enumerate(("name", "size", "type"))])
+
+
+@query
+def gene_set_lines(spark, d):
+    """Lines of term, description and genes, with empty names among them."""
+    genes = t.table(spark, d, "supplier").groupBy("s_nationkey").agg(F.array_join(F.array_sort(F.collect_list("s_name")), "\t \t").alias("genes"))
+    nation = t.table(spark, d, "nation").join(genes, F.col("n_nationkey") == F.col("s_nationkey"), "left")
+    term, names = gene_set(F.concat_ws("\t", "n_name", F.lit("about"), "genes"))
+    return nation.select(term.alias("term"), names.alias("genes")).select("term", F.explode("genes").alias("gene"))
+
+
+@query
+def export_betas(spark, d):
+    rows = t.clean_errors(spark, d).withColumnRenamed("sq_err", "beta")
+    return sinks.export_betas(rows).select("sample_id", "feature_pos", F.round(F.col("beta").cast("double"), 6).alias("beta"))
+
+
 @query
 def value_range(spark, d):
     return align.value_range(t.clean_errors(spark, d), "sq_err").select(r("min_value"), r("max_value"))

@@ -597,6 +597,14 @@ rk AS (SELECT *, p_emp * count(*) OVER () / (count(*) OVER (ORDER BY p_emp)) AS
 bh AS (SELECT *, least(min(raw) OVER (ORDER BY p_emp DESC), 1.0) AS fdr_emp FROM rk)
 SELECT term, k_cpg, x_obs, {_rs('mean_perm', 'sd_perm', 'p_emp', 'fdr_emp')} FROM bh"""
 
+_SQL["matrix_lines"] = """
+SELECT p_partkey, p_name || ', "' || p_brand || '"' AS name, p_size::VARCHAR AS size, CASE WHEN p_partkey % 3 <> 0 THEN p_type END AS type FROM part"""
+
+_SQL["gene_set_lines"] = "SELECT n_name AS term, s_name AS gene FROM nation JOIN supplier ON n_nationkey = s_nationkey"
+
+_SQL["export_betas"] = f"""
+WITH {CLEAN} SELECT sample_id, feature_pos, round(CAST(CAST(coalesce(sq_err, 0) AS FLOAT) AS DOUBLE), 6) AS beta FROM c"""
+
 _SQL["neg_log_p"] = f"WITH {ANNOTATED} SELECT feature, round(-log10(p_ks), 6) AS neg_log10_p FROM pt"
 
 _SQL["run_summary"] = f"""

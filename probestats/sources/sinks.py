@@ -4,16 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from probestats.functions.keys import block_of
+
+FILE_FEATURES = 10_000
+
 
 def write_matrix(rows: DataFrame, path: str) -> None:
     """Long or blocked matrix as Parquet by cohort and dataset; only the datasets at hand are replaced.
 
-    Rows of one dataset are spread over as many files as there are write tasks, and sorted by feature
-    within each, so that feature ranges prune row groups.
+    Rows are dealt by dataset and range of features, so that a dataset has a file for each range at most, and
+    sorted by feature within it, so that feature ranges prune row groups.
     """
     place = "feature_pos" if "feature_pos" in rows.columns else "segment_id"
+    part = block_of(F.col(place), FILE_FEATURES) if place == "feature_pos" else F.col(place)
     (
-        rows.sortWithinPartitions("cohort", "dataset", place)
+        rows.repartition("cohort", "dataset", part)
+        .sortWithinPartitions("cohort", "dataset", place)
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("cohort", "dataset")

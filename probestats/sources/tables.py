@@ -7,9 +7,9 @@ import re
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from probestats.functions.keys import WHITESPACE, strip
 from probestats.functions.missing import nan_to_null
 from probestats.operators.align import keep_first, number_features
+from probestats.sources.lines import gene_set, matrix_fields
 
 # Accepted separators, in the order they are tried, and file endings.
 SEPARATORS = (",", "\t", ";", "|")
@@ -49,14 +49,13 @@ def read_matrix(spark: SparkSession, path: str, *, cohort: str, dataset: str, id
     first of equal ids kept; samples = cohort, dataset, sample_ids. What is not a number becomes NULL.
 
     A line is split into one array, not into a column per sample, so that the plan stays small for any
-    number of samples. Ids and numbers must not contain the separator, quoted or not.
+    number of samples. Quoted fields may contain the separator; a line with more fields than the header raises.
     """
     sep, names = _header(spark, path, id_column)
     at = names.index(id_column)
     order = [f"_line{i}" for i in range(3)]
     lines = spark.read.text(path).select(*[c.alias(n) for c, n in zip(line_order(), order)], "value")
-    cells = F.transform(F.split("value", re.escape(sep)), lambda x: F.btrim(x, F.lit(WHITESPACE + '"')))
-    split = lines.select(*order, cells.alias("_cells"))
+    split = lines.select(*order, matrix_fields(F.col("value"), sep, names).alias("_cells"))
     others = F.concat(F.slice("_cells", 1, at), F.slice("_cells", at + 2, len(names)))
     rows = split.select(
         *order,
@@ -85,15 +84,9 @@ def read_manifest(spark: SparkSession, path: str, *, id_column: str = "CpG") ->
 
 def read_gene_sets(spark: SparkSession, path: str) -> DataFrame:
     """GMT text: term, description, genes. Output: term, gene, term_order; empty names dropped."""
-    parts = F.split("value", "\t")
-    lines = spark.read.text(path).select(
-        F.element_at(parts, 1).alias("term"), F.slice(parts, 3, 1_000_000_000).alias("genes"), F.monotonically_increasing_id().alias("term_order")
-    )
-    return (
-        lines.select("term", F.explode("genes").alias("gene"), "term_order")
-        .withColumn("gene", strip(F.col("gene")))
-        .where(F.col("gene") != "")
-    )
+    term, genes = gene_set(F.col("value"))
+    lines = spark.read.text(path).select(term.alias("term"), genes.alias("genes"), F.monotonically_increasing_id().alias("term_order"))
+    return lines.select("term", F.explode("genes").alias("gene"), "term_order")
 
 
 def read_optional(spark: SparkSession, path: str, schema: str) -> DataFrame:

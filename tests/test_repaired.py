@@ -91,6 +91,32 @@ def test_equal_rows_of_a_hot_key_stay_where_they_are(spark):
     assert len(sizes) == 6 and max(sizes) < 400
 
 
+@pytest.mark.parametrize("values", ["narrow", "third"])
+def test_narrow_and_equal_values_are_spread(spark, values):
+    """A million distinct doubles in [1, 1.00002), and as many of which a third are equal: no task gets a large share."""
+    n = 1_000_000
+    v = 1 + F.col("id") * 2e-11 if values == "narrow" else F.when(F.col("id") % 3 == 0, F.lit(1.5)).otherwise(1 + F.col("id") * 2e-11)
+    rows = spark.range(0, n, 1, 8).select(v.alias("v"))
+    celled = ordered.with_cell(rows.groupBy("v").agg(F.count("*").alias("_c")), [], "v", count=F.sum("_c"), hot_rows=20_000)
+    assert celled.groupBy(ordered.CELL).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] <= 50_000
+    totals = ordered.running_totals(rows, [], "v", {"n": F.lit(1)}, hot_rows=20_000)
+    last = totals.orderBy(F.desc("v")).first()
+    assert (last["n_cum"], last["n_total"]) == (n, n)
+    got = ordered.exact_quantiles(rows, [], "v", {"m": 0.5}, hot_rows=20_000).first()
+    assert got["m"] == pytest.approx(1 + 499_999.5 * 2e-11 if values == "narrow" else rows.agg(F.percentile("v", 0.5)).first()[0], abs=1e-15)
+
+
+def test_quoted_separators(spark, tmp_path):
+    from probestats.sources import tables
+
+    (tmp_path / "q.csv").write_text('CpG,a,b\n"cg,2",0.3,0.4\n"cg""3" , "0.5",1\n')
+    wide, _ = tables.read_matrix(spark, str(tmp_path / "q.csv"), cohort="cases", dataset="q")
+    assert {r["cpg_id"]: r["values"] for r in wide.collect()} == {"cg,2": [0.3, 0.4], 'cg"3': [0.5, 1.0]}
+    (tmp_path / "long.csv").write_text("CpG,a,b\ncg1,1,2,3\n")
+    with pytest.raises(Exception, match="more than 3 fields"):
+        tables.read_matrix(spark, str(tmp_path / "long.csv"), cohort="cases", dataset="q")[0].collect()
+
+
 def test_no_shared_folder_raises(spark, monkeypatch):
     class Session:
         class conf:
