@@ -441,6 +441,16 @@ def fold_top20_nan(spark, d):
     return rank.stability_table(rank.rank_features(rank.fold_moments(rows, value="value"), top=64), 64).select(long("fold"), long("rank"), "feature_name", "feature_index")
 
 
+@query
+def fold_vectors(spark, d):
+    """Values of each fold's twelve best features, best first, one row per place."""
+    folded = _folded(spark, d)
+    ranked = rank.rank_features(rank.fold_moments(folded, value="value"), top=12)
+    vectors = evaluate.fold_vectors(folded, ranked, max_k=12, value="value")
+    long_form = vectors.select("model_fold", "sample_id", "label", "held_out", F.posexplode("values").alias("at", "value"))
+    return long_form.select(long("model_fold"), "sample_id", long("label"), "held_out", (F.col("at") + 1).cast("bigint").alias("rank"), r("value"))
+
+
 @query
 def folds_repeated_ids(spark, d):
     """Folds of samples that are numbered from 0 in each dataset."""

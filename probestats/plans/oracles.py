@@ -411,6 +411,12 @@ WITH {MATRIX}, {MOMENTS.format(shift=0)}
 SELECT fold, row_number() OVER (PARTITION BY fold ORDER BY {_F} DESC, feature_pos) AS rank,
   'f' || feature_pos AS feature_name, feature_pos AS feature_index FROM tr QUALIFY rank <= 20"""
 
+_SQL["fold_vectors"] = f"""
+WITH {MATRIX}, {MOMENTS.format(shift=0)},
+rk AS (SELECT fold AS model_fold, feature_pos, row_number() OVER (PARTITION BY fold ORDER BY {_F} DESC, feature_pos) AS rank FROM tr QUALIFY rank <= 12)
+SELECT model_fold, m.sample_id, fo.label, fo.fold = model_fold AS held_out, rank, round(value, 6) AS value
+FROM rk JOIN m USING (feature_pos) JOIN fo ON fo.sample_id = m.sample_id"""
+
 # a fold that trains on a value that is no number has no F for that feature
 _SQL["fold_top20_nan"] = f"""
 WITH {MATRIX}, {MOMENTS.format(shift=0)},
