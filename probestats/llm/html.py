@@ -226,7 +226,7 @@ def _host(url: str = "url"):
 
 
 def host_paths(pages: DataFrame) -> DataFrame:
-    """host and its winning ``path``: most votes, then the highest score, then the first in order."""
+    """host and its winning ``path``: most votes, then the highest score, then the last in order."""
 
     def batches(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts(found, "html"):
