@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from probestats.llm.shared import crc_of_id, parts
+from probestats.llm.shared import crc_of_id, parts, small
 from probestats.llm.wordgrams import char_ngrams, coded_words
 
 TABLE_BITS = 18
@@ -171,15 +171,19 @@ def _expected(crf: Crf, scores: np.ndarray, ends: np.ndarray) -> tuple[np.ndarra
 def sample(docs: DataFrame, lang: str, learn, rows_per_lang: int) -> list[tuple[str, str]]:
     """(language, text) of the first ``rows_per_lang`` learnable rows of each language in hash order.
 
-    The rows are chosen by id first, so that texts are neither sorted nor shuffled.
+    The rows are chosen by id first, so that texts are neither sorted nor shuffled. Of a language with many rows only
+    those with the smallest hashes, about twice as many as wanted, come to be ordered.
     """
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    known = docs.where(learn & F.col(lang).isNotNull()).select("doc_id", F.col(lang).cast("string").alias("lang"))
-    chosen = known.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= rows_per_lang).select(F.col("doc_id").alias("of"), "lang").distinct()
+    known = docs.where(learn & F.col(lang).isNotNull()).select("doc_id", F.col(lang).cast("string").alias("lang"), F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)).alias("hash"))
+    counts = small(known.groupBy(F.col("lang").alias("of")).agg(F.count("*").alias("n")))
+    few = known.join(counts, F.col("lang") == F.col("of")).where(F.col("hash") <= F.lit(float(1 << 40)) * 2 * rows_per_lang / F.col("n"))
+    order = Window.partitionBy("lang").orderBy("hash", "doc_id")
+    chosen = few.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= rows_per_lang).select(F.col("doc_id").alias("of"), "lang").distinct()
     texts = docs.where(learn).select("doc_id", F.col("text").cast("string").alias("text"))
     # at most rows_per_lang rows for each language are broadcast
-    found = texts.join(F.broadcast(chosen), F.col("doc_id") == F.col("of")).where("text IS NOT NULL").select("lang", "text").collect()
-    return [(r["lang"], r["text"]) for r in found]
+    found = texts.join(F.broadcast(chosen), F.col("doc_id") == F.col("of")).where("text IS NOT NULL")
+    once = found.groupBy("of", "lang").agg(F.min("text").alias("text"))  # however often an id is repeated
+    return sorted((r["lang"], r["text"]) for r in once.collect())
 
 
 def _tell(model: Crf, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -204,7 +208,7 @@ def predict(docs: DataFrame, crf: Crf) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(crf)
 
     def batches(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in parts(found, "text", 6_000_000):
+        for batch in parts(found, "text", 4_000_000):
             lang, score = _tell(sent.value, batch.column("text"))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(lang, pa.string()), pa.array(score)], ["doc_id", "lang_pred", "score"])
 
@@ -259,7 +263,7 @@ def keep_identified(docs: DataFrame, lang: str = "lang", least: float = 0.5, row
     sent = docs.sparkSession.sparkContext.broadcast(learn(docs, lang, rows_per_lang))
 
     def batches(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in parts(found, "text", 6_000_000):
+        for batch in parts(found, "text", 4_000_000):
             told, score = _tell(sent.value, batch.column("text"))
             yield batch.filter(pa.array((told != "und") & (score >= least)))
 

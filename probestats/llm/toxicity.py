@@ -133,7 +133,9 @@ def training_rows(rows: DataFrame, ngrams: np.ndarray, rows_per_class: int) -> l
         some = found.where(F.col("toxic") == toxic)
         ids = some.select("doc_id").orderBy(*order).limit(rows_per_class).distinct()
         # at most rows_per_class ids are broadcast
-        chosen = some.join(F.broadcast(ids.withColumnRenamed("doc_id", "_id")), F.col("doc_id") == F.col("_id")).drop("_id")
+        chosen = some.join(F.broadcast(ids.withColumnRenamed("doc_id", "_id")), F.col("doc_id") == F.col("_id"))
+        # one row for each id, however often it is repeated
+        chosen = chosen.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic"))
         out += [(r["toxic"], r["at"]) for r in chosen.mapInArrow(batches, "doc_id long, toxic boolean, at array<int>").collect()]
     return out
 
