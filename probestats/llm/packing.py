@@ -21,6 +21,7 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
@@ -28,16 +29,20 @@ from probestats.llm.shared import parts, small
 from probestats.operators.stage import stage
 
 END = 1  # closes every document
+PLAIN_MARKS = ".,;:!?"
+DIGEST = np.dtype([("a", "<u8"), ("b", "<u8")])
 
 
 class WordTokenizer:
     """Ids of whole texts from a tokenizer file whose tokens never reach over white space.
 
     Each distinct word is tokenized once and the texts' ids are put together from the words' ids. Words are
-    remembered between batches, and all forgotten when they are more than ``most``.
+    remembered between batches by a digest of 128 bits, in arrays, and forgotten when they are more than ``most``.
+    A word after whose last letter stands plain punctuation is two, since letters and punctuation are never in one
+    token; words of A-Z are lowered, as the tokenizer does.
     """
 
-    def __init__(self, path: str, most: int = 600_000):
+    def __init__(self, path: str, most: int = 1_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs one task per core
         from tokenizers import Tokenizer
 
@@ -45,35 +50,62 @@ class WordTokenizer:
         self._forget()
 
     def _forget(self) -> None:
-        self._known: dict[str, int] = {}
-        self._flat, self._sizes = np.array([END], np.uint32), np.array([1], np.int64)  # word 0 closes a text
-
-    def _learn(self, words: list[str]) -> np.ndarray:
-        """The numbers of words."""
-        known = self._known
-        if len(known) > self._most:
-            self._forget()
-            known = self._known
-        new = [w for w in words if w not in known]
-        known.update(zip(new, range(len(self._sizes), len(self._sizes) + len(new)), strict=True))
-        ids = [e.ids for e in self._tokenizer.encode_batch_fast(new, add_special_tokens=False)]
-        self._flat = np.concatenate([self._flat, np.fromiter(chain.from_iterable(ids), np.uint32)])
-        self._sizes = np.concatenate([self._sizes, np.fromiter(map(len, ids), np.int64, len(ids))])
-        return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+        self._keys = np.empty(0, DIGEST)  # sorted by their first half
+        self._start, self._size = np.empty(0, np.int64), np.empty(0, np.int64)
+        self._flat = np.empty(0, np.uint32)
+
+    def _places(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Start and number of each word's ids in ``_flat``."""
+        keys = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, words)), DIGEST)
+        at, known = self._find(keys)
+        if not known.all():
+            if len(self._keys) > self._most:
+                self._forget()
+                known = np.zeros(len(keys), bool)
+            new = np.flatnonzero(~known)
+            ids = [e.ids for e in self._tokenizer.encode_batch_fast([words[i] for i in new], add_special_tokens=False)]
+            size = np.fromiter(map(len, ids), np.int64, len(ids))
+            start = len(self._flat) + np.cumsum(size) - size
+            self._flat = np.concatenate([self._flat, np.fromiter(chain.from_iterable(ids), np.uint32)])
+            order = np.argsort(keys["a"][new], kind="stable")
+            where = np.searchsorted(self._keys["a"], keys["a"][new][order])
+            self._keys = np.insert(self._keys, where, keys[new][order])
+            self._start = np.insert(self._start, where, start[order])
+            self._size = np.insert(self._size, where, size[order])
+            at, _ = self._find(keys)
+        return self._start[at], self._size[at]
+
+    def _find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if not len(self._keys):
+            return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+        at = np.minimum(np.searchsorted(self._keys["a"], keys["a"]), len(self._keys) - 1)
+        return at, self._keys[at] == keys
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after the other, with ``END`` after each text, and the number of ids of each text."""
         split = pc.ascii_split_whitespace(texts.fill_null("").cast(pa.large_string()))
         coded = split.flatten().dictionary_encode()
-        number = self._learn(coded.dictionary.to_pylist())
+        parts_: dict[str, int] = {"": 0}
+        halves = [(parts_.setdefault(c, len(parts_)), parts_.setdefault(t, len(parts_))) for c, t in map(_halves, coded.dictionary.to_pylist())]
+        start, size = self._places(list(parts_))
+        flat = np.append(self._flat, np.uint32(END))
+        start, size = np.append(start, len(flat) - 1), np.append(size, 1)
         ends = np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False))
-        words = np.insert(number[coded.indices.to_numpy(zero_copy_only=False)], ends, 0)
-        starts = np.cumsum(self._sizes) - self._sizes
-        n = self._sizes[words]
-        before = np.cumsum(n) - n
-        ids = self._flat[np.repeat(starts[words] - before, n) + np.arange(n.sum())]
-        upto = np.r_[0, np.cumsum(n)][ends + np.arange(1, len(ends) + 1)]
-        return ids, np.diff(np.r_[0, upto])
+        words = coded.indices.to_numpy(zero_copy_only=False)
+        items = np.array(halves, np.int64).reshape(-1, 2)[words].ravel()
+        items = np.insert(items, 2 * ends, len(start) - 1)
+        n = size[items]
+        upto = np.cumsum(n)
+        ids = flat[np.repeat(start[items] - (upto - n), n) + np.arange(upto[-1] if len(upto) else 0)]
+        return ids, np.diff(np.r_[0, upto[2 * ends + np.arange(len(ends))]])
+
+
+def _halves(word: str) -> tuple[str, str]:
+    """A word as (word, plain punctuation after its last letter)."""
+    core = word.rstrip(PLAIN_MARKS)
+    if not core or not core[-1].isalpha():
+        return word, ""
+    return core.lower() if core.isascii() and core.isalpha() else core, word[len(core) :]
 
 
 @cache

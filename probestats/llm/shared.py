@@ -35,6 +35,8 @@ def parts(batches: Iterator[pa.RecordBatch], text: str, chars: int = 8_000_000)
                 start, size = i, 0
             size += n
         yield batch.slice(start)
+        # what Arrow keeps of freed batches would stay with the worker, which serves other tasks, too
+        pa.default_memory_pool().release_unused()
 
 
 def crc_of_id(doc_id: str = "doc_id") -> Column:
