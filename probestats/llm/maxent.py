@@ -32,7 +32,6 @@ CLASSES = WAYS * WAYS
 CODE_BITS = 18
 END = 0  # hash of the token that closes every text
 GROUP_ROWS, CLASS_ROWS = 1 << 15, 1 << 16  # numbered with 16 bits
-CLASS_FEATURES = 3  # the bias, the word before and the word two before
 BLOCK = 256  # weight rows that travel together
 BATCH = 16_384
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -117,9 +116,9 @@ class Model:
 
 
 def _rows(features: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Weight rows of the two softmaxes, one line for each feature. The second has no use for the rarest features."""
+    """Weight rows of the two softmaxes, one line for each feature."""
     one = (features & np.uint64(GROUP_ROWS - 1)).astype(np.uint16)
-    two = (((features[:CLASS_FEATURES] >> np.uint64(20)) + group.astype(np.uint64) * np.uint64(40503)) & np.uint64(CLASS_ROWS - 1)).astype(np.uint16)
+    two = (((features >> np.uint64(20)) + group.astype(np.uint64) * np.uint64(40503)) & np.uint64(CLASS_ROWS - 1)).astype(np.uint16)
     return one, two
 
 
@@ -142,14 +141,21 @@ def _step(weights: np.ndarray, squares: np.ndarray, touched: np.ndarray, rows: n
     order = np.argsort(flat, kind="stable")
     ordered = flat[order]
     first = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
-    g = np.ascontiguousarray(np.add.reduceat(error.take(order % len(target), axis=1), first, axis=1).T)
+    sizes = np.diff(np.r_[first, len(flat)])
+    token = order % len(target)
+    # most rows have one token, whose error is taken as it is; only the others are summed
+    g = np.ascontiguousarray(error.T).take(token[first], axis=0)
+    many = sizes > 1
+    if many.any():
+        runs = np.cumsum(sizes[many]) - sizes[many]
+        g[many] = np.add.reduceat(error.take(token[np.repeat(many, sizes)], axis=1), runs, axis=1).T
     used = ordered[first]
     s = squares.take(used, axis=0) + g * g
     squares[used] = s
     g *= rate
     g /= np.sqrt(s, out=s)
     weights[used] += g
-    touched[used] += np.diff(np.r_[first, len(flat)])
+    touched[used] += sizes
 
 
 def _descend(docs: DataFrame, model: Model, rate: float) -> DataFrame:
