@@ -17,9 +17,9 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from probestats.llm.shared import crc_of_id, parts, small
+from probestats.llm.shared import crc_of_id, first_ids, parts
 from probestats.llm.wordgrams import char_ngrams, coded_words
 
 TABLE_BITS = 18
@@ -169,16 +169,12 @@ def _expected(crf: Crf, scores: np.ndarray, ends: np.ndarray) -> tuple[np.ndarra
 
 
 def sample(docs: DataFrame, lang: str, learn, rows_per_lang: int) -> list[tuple[str, str]]:
-    """(language, text) of the first ``rows_per_lang`` learnable rows of each language in hash order.
+    """(language, text) of the first ``rows_per_lang`` learnable ids of each language in hash order.
 
-    The rows are chosen by id first, so that texts are neither sorted nor shuffled. Of a language with many rows only
-    those with the smallest hashes, about twice as many as wanted, come to be ordered.
+    The ids are chosen first, so that texts are neither sorted nor shuffled.
     """
-    known = docs.where(learn & F.col(lang).isNotNull()).select("doc_id", F.col(lang).cast("string").alias("lang"), F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)).alias("hash"))
-    counts = small(known.groupBy(F.col("lang").alias("of")).agg(F.count("*").alias("n")))
-    few = known.join(counts, F.col("lang") == F.col("of")).where(F.col("hash") <= F.lit(float(1 << 40)) * 2 * rows_per_lang / F.col("n"))
-    order = Window.partitionBy("lang").orderBy("hash", "doc_id")
-    chosen = few.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= rows_per_lang).select(F.col("doc_id").alias("of"), "lang").distinct()
+    known = docs.where(learn & F.col(lang).isNotNull() & F.col("text").isNotNull()).select("doc_id", F.col(lang).cast("string").alias("lang"))
+    chosen = first_ids(known, "lang", rows_per_lang).select(F.col("doc_id").alias("of"), "lang")
     texts = docs.where(learn).select("doc_id", F.col("text").cast("string").alias("text"))
     # at most rows_per_lang rows for each language are broadcast
     found = texts.join(F.broadcast(chosen), F.col("doc_id") == F.col("of")).where("text IS NOT NULL")
@@ -243,7 +239,7 @@ def identify(docs: DataFrame, lang: str = "lang", rows_per_lang: int = 400) -> D
     """One row per document: doc_id, ``held_out``, ``lang_pred``, ``score``. Fits first, on a job's result.
 
     Learns from rows whose CRC-32 of doc_id modulo 4 is not 2 and whose ``lang`` is known: at most
-    ``rows_per_lang`` rows of each language, chosen by hash.
+    ``rows_per_lang`` ids of each language, chosen by hash; repeated rows are learned from once.
 
     NULL text and texts without a letter: ``und``, 0. NULL doc_id: predicted, never learned from, not held out.
     Repeated rows return each. Other columns are ignored. An empty table gives no rows; if nothing can be learned

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 #: Rows up to which a side is broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 200_000
@@ -47,3 +47,19 @@ def crc_of_id(doc_id: str = "doc_id") -> Column:
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` with a broadcast hint if it has at most ``rows`` rows (counted by a job); otherwise as it is."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def first_ids(rows: DataFrame, by: str, most: int) -> DataFrame:
+    """``by``, doc_id: the first ``most`` distinct ids of each value of ``by`` in hash order, all where there are fewer.
+
+    However often an id is repeated, it counts once. Ids are counted in 4,096 ranges of their hash first, so that only
+    those of the ranges that hold the first ``most`` come to be ordered.
+    """
+    hash_ = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40))
+    ids = rows.select(by, "doc_id").distinct().withColumn("_hash", hash_).withColumn("_range", F.shiftright("_hash", 28))
+    counts = ids.groupBy(F.col(by).alias("_of"), "_range").agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy("_of").orderBy("_range")) - F.col("_n")
+    last = counts.withColumn("_before", before).where(F.col("_before") < most).groupBy("_of").agg(F.max("_range").alias("_last"))
+    few = ids.join(small(last), F.col(by) == F.col("_of")).where(F.col("_range") <= F.col("_last"))
+    order = Window.partitionBy(by).orderBy("_hash", "doc_id")
+    return few.withColumn("_nth", F.row_number().over(order)).where(F.col("_nth") <= most).select(by, "doc_id")

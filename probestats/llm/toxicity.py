@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from probestats.llm.shared import crc_of_id, parts, small
+from probestats.llm.shared import crc_of_id, first_ids, parts, small
 from probestats.llm.wordgrams import char_ngrams, coded_words
 from probestats.operators.stage import stage
 
@@ -83,7 +83,7 @@ def log_ratios(rows: DataFrame, features: int, least: int = 3, least_ratio: floa
     """
 
     def batches(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in parts(found, "text"):
+        for batch in parts(found, "text", 4_000_000):
             toxic = batch.column("toxic").to_numpy(zero_copy_only=False).astype(bool)
             docs, grams = document_ngrams(batch.column("text"))
             own, where = np.unique(grams, return_inverse=True)
@@ -116,22 +116,21 @@ def log_ratios(rows: DataFrame, features: int, least: int = 3, least_ratio: floa
 
 
 def training_rows(rows: DataFrame, ngrams: np.ndarray, rows_per_class: int) -> list[tuple[bool, list[int]]]:
-    """Features of at most ``rows_per_class`` rows of each class, the first in hash order."""
+    """Features of at most ``rows_per_class`` ids of each class, the first in hash order."""
     sent = rows.sparkSession.sparkContext.broadcast(ngrams)
 
     def batches(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in parts(found, "text"):
+        for batch in parts(found, "text", 4_000_000):
             docs, at = document_ngrams(batch.column("text"), sent.value)
             ends = np.r_[0, np.cumsum(np.bincount(docs, minlength=batch.num_rows))].astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(at.astype(np.int32)))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), lists], ["doc_id", "toxic", "at"])
 
-    order = [F.xxhash64("doc_id"), "doc_id"]
     found = rows.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "toxic")
     out = []
     for toxic in (True, False):
         some = found.where(F.col("toxic") == toxic)
-        ids = some.select("doc_id").orderBy(*order).limit(rows_per_class).distinct()
+        ids = first_ids(some, "toxic", rows_per_class).select("doc_id")
         # at most rows_per_class ids are broadcast
         chosen = some.join(F.broadcast(ids.withColumnRenamed("doc_id", "_id")), F.col("doc_id") == F.col("_id"))
         # one row for each id, however often it is repeated
@@ -167,7 +166,7 @@ def score(docs: DataFrame, model: Toxicity) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def batches(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in parts(found, "text"):
+        for batch in parts(found, "text", 4_000_000):
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sent.value.scores(batch.column("text")))], ["doc_id", "score"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(batches, "doc_id long, score double")

@@ -2,7 +2,8 @@
 
 import numpy as np
 
-from probestats.llm import maxent
+from probestats.llm import language, maxent, toxicity
+from probestats.llm.shared import crc_of_id
 
 
 # --- language model -------------------------------------------------------------------------------------------
@@ -37,3 +38,28 @@ def test_a_step_sums_the_errors_of_every_row():
     want = weights + 0.4 * g / np.sqrt(1 + g * g)
     maxent._step(weights, squares, touched, rows, target, 0.4)
     assert np.allclose(weights, want, atol=1e-5) and touched.tolist() == np.bincount(rows.ravel(), minlength=64).tolist()
+
+
+# --- samples --------------------------------------------------------------------------------------------------
+
+
+def test_language_samples_hold_distinct_ids(spark):
+    """However often ids are repeated: all ids of a language with few, and as many as wanted of one with many."""
+    often = [(i, f"wort {i}", "de") for i in range(20) for _ in range(500)]
+    hot = [(1000, "le mot", "fr")] * 5000 + [(1000 + i, f"le mot {i}", "fr") for i in range(1, 300)]
+    blank = [(5000 + i, None if i % 10 else f"word {i}", "en") for i in range(200)]
+    docs = spark.createDataFrame(often + hot + blank, "doc_id long, text string, lang string")
+    found = language.sample(docs, "lang", crc_of_id() % 4 != 2, 15)
+    assert len(set(found)) == len(found)
+    by = {lang: sum(x == lang for x, _ in found) for lang in ("de", "en", "fr")}
+    assert by["fr"] == 15 and by["de"] == docs.where(crc_of_id() % 4 != 2).where("lang = 'de'").select("doc_id").distinct().limit(15).count()
+    assert by["en"] == min(15, docs.where(crc_of_id() % 4 != 2).where("lang = 'en' AND text IS NOT NULL").count())
+    assert len(language.sample(docs, "lang", crc_of_id() % 4 != 2, 1)) == 3
+
+
+def test_toxicity_samples_hold_distinct_ids(spark):
+    rows = [(i, "bad idiot", True) for i in range(30) for _ in range(1 if i else 3000)] + [(100 + i, "good idea", False) for i in range(3) for _ in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic boolean")
+    for most in (5, 20, 100):
+        found = toxicity.training_rows(docs, np.empty(0, np.uint64), most)
+        assert [sum(t == x for t, _ in found) for x in (True, False)] == [min(most, 30), 3]
