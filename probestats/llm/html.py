@@ -46,8 +46,11 @@ _MARKUP = re.compile(
 _ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
 _NAME = re.compile(r"[a-z]+")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
-#: A container is left for one of its children while the child holds this share of its score.
-DESCEND = 0.6
+#: Containers that are parts of a text, never the whole of it; cells are so inside an article only, as tables also lay out pages.
+PARTS, CELLS = frozenset(["blockquote", "figure"]), frozenset(["td", "th"])
+#: A container is left for an article in it that holds this share of its score, and for a child that nothing marks
+#: as an article while that child holds this share of the whole page's.
+ARTICLE_SHARE, UNMARKED_SHARE = 0.6, 0.85
 
 
 def _names(more: str) -> tuple[list[list[str]], bool]:
@@ -77,6 +80,7 @@ class Page:
 
     def __init__(self, source: str):
         self.parent, self.path = [-1], [0]
+        self.tag, self.article = [""], [False]  # of each container; article: is one or belongs to one
         self.paths: dict[tuple[int, str], int] = {}
         self.blocks: list[tuple[int, str, int]] = []  # container, text, characters in links
         self._read(source)
@@ -152,6 +156,8 @@ class Page:
                 parent, label = container, ".".join([tag, *sorted({"-".join(n) for n in names})])
                 container = len(self.parent)
                 self.parent.append(parent)
+                self.tag.append(tag)
+                self.article.append(article)
                 self.path.append(self.paths.setdefault((self.path[parent], label), len(self.paths) + 1))
             if more.endswith("/>") and tag not in BLOCKS:
                 continue
@@ -160,21 +166,31 @@ class Page:
         flush()
 
     def main(self) -> tuple[int, float]:
-        """The smallest container that holds most of the page's text outside of links, and its score."""
-        score = [0.0] * len(self.parent)
+        """The smallest container that holds the article, and its text outside of links.
+
+        Text that stands in a container itself, or in an article beside other text of it, is never left behind.
+        """
+        own = [0] * len(self.parent)
         for container, text, linked in self.blocks:
-            score[container] += len(text) - linked
+            own[container] += len(text) - linked
+        score, marked = list(own), [x if a else 0 for x, a in zip(own, self.article, strict=True)]
         children: dict[int, list[int]] = {}
         for c in range(len(self.parent) - 1, 0, -1):
             score[self.parent[c]] += score[c]
+            marked[self.parent[c]] += marked[c]
             children.setdefault(self.parent[c], []).append(c)
         at = 0
-        while children.get(at):
+        while children.get(at) and not own[at]:
             best = max(children[at], key=lambda c: (score[c], -c))
-            if score[best] < DESCEND * score[at] or not score[best]:
+            if not score[best] or self.tag[best] in PARTS or (self.tag[best] in CELLS and self.article[best]):
                 break
+            if score[best] < score[at]:
+                if self.article[at] or marked[best] < marked[at]:
+                    break
+                if score[best] < (ARTICLE_SHARE * score[at] if self.article[best] else UNMARKED_SHARE * score[0]):
+                    break
             at = best
-        return at, score[at]
+        return at, float(score[at])
 
     def path_text(self, number: int) -> str:
         """A path's labels from the outermost on."""

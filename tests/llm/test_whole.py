@@ -1,8 +1,9 @@
 """Each case here would have failed where an operator did less than its whole job."""
 
 import numpy as np
+import pytest
 
-from probestats.llm import language, maxent, toxicity
+from probestats.llm import html, language, maxent, toxicity
 from probestats.llm.shared import crc_of_id
 
 
@@ -63,3 +64,32 @@ def test_toxicity_samples_hold_distinct_ids(spark):
     for most in (5, 20, 100):
         found = toxicity.training_rows(docs, np.empty(0, np.uint64), most)
         assert [sum(t == x for t, _ in found) for x in (True, False)] == [min(most, 30), 3]
+
+
+# --- main text ------------------------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<div class=post><p>%(small)s</p><blockquote>%(large)s</blockquote></div>",
+        "<div class=page><p>%(small)s</p><blockquote>%(large)s</blockquote></div>",
+        "<article><div class=intro>%(small)s</div><div class=body>%(large)s</div></article>",
+        "<main><h1>%(small)s</h1><article><p>%(large)s</article></main>",
+        "<div class=page><div class=intro>%(small)s</div><div class=body>%(large)s</div></div>",
+        "<article><table><tr><td>%(small)s<td>%(large)s</table></article>",
+        "<div class=story><div>%(small)s</div><figure>%(large)s</figure></div>",
+        "<article class=one><p>%(small)s</article><article class=two><p>%(large)s</article>",
+    ],
+)
+def test_no_part_of_an_article_is_left(page):
+    small, large = " ".join(["few words here"] * 35), " ".join(["more words here"] * 65)
+    source = f"<body><nav>menu</nav><div class=sidebar>aside</div>{page % {'small': small, 'large': large}}<footer>foot</footer></body>"
+    for path in (html.vote(source)[0], "no>such"):
+        assert html.extract(source, path)[0] == f"{small} {large}"
+
+
+def test_boilerplate_beside_an_article_is_left():
+    text = "words of the article " * 20
+    for source in (f"<body><div><div>by whom and when</div><article><p>{text}</article></div></body>", f"<body><table><tr><td>menu<td class=text><p>{text}</table></body>"):
+        assert html.extract(source, html.vote(source)[0])[0] == text.strip()
