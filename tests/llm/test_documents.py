@@ -304,7 +304,7 @@ def test_measures():
     five = "a b c d e"
     assert quality.measure_text(f"{five} {five} x")[:5] == (11, 11, 0, 0, 10)
     assert quality.measure_text("a a a a a a a")[4] == 7
-    assert quality.measure_text("x # y\nx # y\n\n \nz|%")[1:6] == (8, 4, 1, 0, 3)
+    assert quality.measure_text("x # y\nx # y\n\n \nz|%")[1:6] == (9, 4, 1, 0, 3)
     assert quality.measure_text(None) == (0,) * 7
     assert quality.measure_text("é ü")[:2] == (1, 3)  # not a separator here
 
