@@ -1,6 +1,6 @@
 """SQL twins of the corpus queries, for DuckDB.
 
-Missing are those that SQL cannot express: parsing HTML, tokenizers, XXH64 and CRC-32 digests, and learned models.
+Missing are those that SQL cannot express: parsing HTML, tokenizers, XXH64 digests, runs, and learned models.
 """
 
 from __future__ import annotations
@@ -64,3 +64,95 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
        NOT (base_failed OR {_failed(WIDE)} > 0 OR (n_failed > base_failed::INT AND rate > 0.3)) AS kept
 FROM f JOIN rates ON f.host IS NOT DISTINCT FROM rates.host
 """
+
+
+TOP_K = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+pairs AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0
+)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM pairs QUALIFY rank <= 20
+"""
+
+
+def _way(script: str, cost: str | int, edits: str) -> str:
+    """A script, written as ten digits of cost and its edits, with further edits: the least text is the best script."""
+    return f"lpad((left({script}, 10)::BIGINT + {cost})::VARCHAR, 10, '0') || substr({script}, 11) || '{edits}'"
+
+
+def _least(*ways: str) -> str:
+    return f"list_min([{', '.join(ways)}])"
+
+
+def _stay(edits: str, initial: str, cost: str, *scripts: str) -> str:
+    """The row kept or given another role, behind any of the scripts."""
+    asked = f"NOT gone AND initial = '{initial}'" if edits == "K" else "NOT gone"
+    return f"CASE WHEN {asked} THEN {_least(*(_way(x, cost, edits) for x in scripts))} END"
+
+
+CONVERSATIONS = rf"""
+WITH RECURSIVE t AS (
+  SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, n: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS crcs
+),
+keyed AS (
+  SELECT *, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k, coalesce(role, ' ') AS r, coalesce(text, ' ') AS x FROM conversations
+),
+hashed AS (
+  SELECT conv_id, turn, r, x,
+         xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(k, ''), lambda c: ascii(c)::BIGINT)), lambda c, b: xor(c >> 8, crcs[(xor(c, b) & 255) + 1])), 4294967295) % 20 AS harm
+  FROM keyed, t
+),
+damaged AS (
+  SELECT conv_id, turn, CASE WHEN harm = 4 THEN 'user' ELSE r END AS role,
+         CASE harm WHEN 1 THEN '' WHEN 2 THEN regexp_replace(x, '[.!?]', '', 'g') ELSE x END AS text,
+         unnest(range(CASE WHEN harm = 3 THEN 2 ELSE 1 END)) AS copy
+  FROM hashed WHERE harm <> 0
+),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text), copy) AS i FROM damaged),
+judged AS (
+  SELECT *, left(role, 1) AS initial, NOT regexp_matches(text, '[^ 	-]') AS blank,
+         row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS seen,
+         NOT regexp_matches(text, '[.!?][ 	-]*$') AS cut, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS last_initial
+  FROM numbered
+),
+f AS (SELECT *, blank OR seen AS gone, CASE WHEN cut THEN 5 ELSE 0 END AS more FROM judged),
+ids AS (SELECT DISTINCT conv_id FROM conversations),
+-- the best scripts that lead to each last initial, inserted messages included
+best AS (
+  SELECT conv_id, 0::BIGINT AS i, '0000000000' AS e, NULL::VARCHAR AS s, '0000000005I' AS u, '0000000010II' AS a FROM ids
+  UNION ALL
+  SELECT conv_id, i, e, s, u1 AS u, {_least("a0", _way("u1", 5, "I"))} AS a FROM (
+    SELECT *, {_least("u0", _way("e", 5, "I"), _way("s", 5, "I"), _way("a0", 5, "I"))} AS u1 FROM (
+      SELECT b.conv_id, f.i, {_way("b.e", 2, "D")} AS e,
+             {_least(_way("b.s", 2, "D"), _stay("K", "s", "more", "b.e"))} AS s,
+             {_least(_way("b.u", 2, "D"), _stay("K", "u", "more", "b.e", "b.s", "b.a"), _stay("R", "u", "more + 1", "b.e", "b.s", "b.a"))} AS u0,
+             {_least(_way("b.a", 2, "D"), _stay("K", "a", "more", "b.u"), _stay("R", "a", "more + 1", "b.u"))} AS a0
+      FROM best b JOIN f ON b.conv_id IS NOT DISTINCT FROM f.conv_id AND f.i = b.i + 1
+    )
+  )
+),
+chosen AS (
+  SELECT conv_id, left(least(e, a), 10)::BIGINT AS cost, substr(least(e, a), 11) AS audit FROM best QUALIFY i = max(i) OVER (PARTITION BY conv_id)
+),
+edits AS (
+  SELECT conv_id, j, c, count(*) FILTER (WHERE c <> 'I') OVER w AS i, count(*) FILTER (WHERE c <> 'D') OVER w AS nth, count(*) FILTER (WHERE c <> 'D') OVER (PARTITION BY conv_id) AS n
+  FROM (SELECT conv_id, unnest(range(1, length(audit) + 1)) AS j, substr(audit, j, 1) AS c FROM chosen) WINDOW w AS (PARTITION BY conv_id ORDER BY j)
+),
+messages AS (
+  SELECT e.conv_id, j, CASE WHEN c = 'K' THEN role WHEN (nth - n) % 2 = 0 THEN 'assistant' ELSE 'user' END || ':' || CASE WHEN c = 'I' THEN '' ELSE text END AS message
+  FROM edits e LEFT JOIN f ON e.conv_id IS NOT DISTINCT FROM f.conv_id AND e.i = f.i WHERE c <> 'D'
+),
+repaired AS (SELECT conv_id, string_agg(message, chr(10) ORDER BY j) AS whole FROM messages GROUP BY conv_id),
+counts AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE blank) AS blank, count(*) FILTER (WHERE NOT blank AND seen) AS duplicate,
+         count(*) FILTER (WHERE NOT gone AND cut) AS truncated, count(*) FILTER (WHERE last_initial IS NOT NULL AND last_initial || initial NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM f GROUP BY conv_id
+)
+SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+       cost, audit, sha256(coalesce(whole, '')) AS repaired_sha256
+FROM chosen c LEFT JOIN counts n ON c.conv_id IS NOT DISTINCT FROM n.conv_id LEFT JOIN repaired r ON c.conv_id IS NOT DISTINCT FROM r.conv_id
+"""

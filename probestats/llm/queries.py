@@ -7,8 +7,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from probestats.llm import decontamination, html, language, maxent, packing, quality, sharding, simhash, toxicity, warc
-from probestats.llm.oracles import QUALITY, WARC
+from probestats.llm import conversations, decontamination, html, language, maxent, packing, periodic, quality, sharding, simhash, topk, toxicity, warc
+from probestats.llm.oracles import CONVERSATIONS, QUALITY, TOP_K, WARC
 from probestats.llm.shared import table
 from probestats.operators.stage import own_folder
 
@@ -69,9 +69,22 @@ def op10_maxent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maxent.score(table(spark, sf_dir, "documents"))
 
 
+def op11_survivor_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    return conversations.repair(conversations.damage(rows), rows)
+
+
+def op12_recompression_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.summarize(table(spark, sf_dir, "documents"), repeat_tails=True)
+
+
+def op13_segment_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(table(spark, sf_dir, "embeddings"))
+
+
 def llm_queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_host_paths, op2_harmonic_packing, op3_decontamination, op4_simhash, op5_feistel_sharding, op6_warc, op7_host_quality, op8_crf_language, op9_nb_toxicity, op10_maxent)}
+    return {f.__name__: f for f in (op1_host_paths, op2_harmonic_packing, op3_decontamination, op4_simhash, op5_feistel_sharding, op6_warc, op7_host_quality, op8_crf_language, op9_nb_toxicity, op10_maxent, op11_survivor_viterbi, op12_recompression_runs, op13_segment_topk)}
 
 
 def llm_oracles() -> dict[str, str]:
-    return {"op6_warc": WARC, "op7_host_quality": QUALITY}
+    return {"op6_warc": WARC, "op7_host_quality": QUALITY, "op11_survivor_viterbi": CONVERSATIONS, "op13_segment_topk": TOP_K}
