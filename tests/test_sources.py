@@ -1,8 +1,11 @@
 """Readers and writers on small generated files."""
 
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import EqualTo, GreaterThan, GreaterThanOrEqual, In, IsNotNull, LessThan, LessThanOrEqual
 
 from probestats.operators import align
 from probestats.sources import binary, sinks, tables
@@ -97,7 +100,7 @@ def test_binary_matrices(spark, tmp_path, order, orientation):
     stored = data if orientation == "samples_first" else data.T
     (tmp_path / "deep").mkdir()
     np.save(tmp_path / "deep" / "setA.npy", np.asarray(stored, order=order))
-    out = binary.read_matrices(spark, str(tmp_path), cohort="cases", orientation=orientation, width=3, chunk_bytes=30)
+    out = binary.read_matrices(spark, str(tmp_path), cohort="cases", orientation=orientation, chunk_bytes=30)
     rows = {(int(r.sample_id), r.feature_pos): r.sq_err for r in out.collect()}
     assert len(rows) == 35 and out.select("dataset").distinct().first()[0] == "setA"
     for (i, j), v in rows.items():
@@ -105,6 +108,92 @@ def test_binary_matrices(spark, tmp_path, order, orientation):
         assert v is None if (np.isnan(want) or want == -1) else v == want
 
 
+class CountingReader(binary.NpyReader):
+    """Counts the bytes that are read behind the header."""
+
+    def _open(self, path):
+        file, counts = super()._open(path), self.__dict__.setdefault("read_bytes", [])
+
+        class File:
+            def __enter__(self):
+                return self
+
+            def __exit__(self, *_):
+                file.close()
+
+            def read(self, n):
+                return file.read(n)
+
+            def read_at(self, n, start):
+                counts.append(n)
+                return file.read_at(n, start)
+
+        return File()
+
+
+def _read(root, filters, **options):
+    columns = options.pop("columns", ["sample_id", "feature_pos", "sq_err"])
+    reader = CountingReader({"path": str(root), "cohort": "cases", "chunkbytes": "4000", **options}, columns)
+    assert not list(reader.pushFilters(filters))
+    found = [row for part in reader.partitions() for batch in reader.read(part) for row in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
+    return found, sum(reader.__dict__.get("read_bytes", []))
+
+
+@pytest.mark.parametrize("order", ["C", "F"])
+def test_binary_reads_only_wanted_rows(tmp_path, order):
+    """200 samples of 300 half-precision values in two files."""
+    data = np.arange(60_000, dtype=np.float16).reshape(200, 300) % 1000
+    for name in ("a", "b"):
+        np.save(tmp_path / f"{name}.npy", np.asarray(data, order=order))
+    total = 2 * data.nbytes
+    assert _read(tmp_path, [])[1] == total
+    rows, read = _read(tmp_path, [EqualTo(("dataset",), "b"), In(("sample_id",), ("7", "8", "150", "x", "007", "400"))])
+    assert {(int(s), f): v for s, f, v in rows} == {(s, f): float(data[s, f]) for s in (7, 8, 150) for f in range(300)} and len(rows) == 900
+    assert read == 3 * 600 if order == "C" else read <= data.nbytes
+    rows, read = _read(tmp_path, [GreaterThanOrEqual(("feature_pos",), 40), LessThan(("feature_pos",), 50), EqualTo(("dataset",), "a"), IsNotNull(("sample_id",))])
+    assert sorted((int(s), f) for s, f, _ in rows) == [(s, f) for s in range(200) for f in range(40, 50)]
+    assert read == 200 * 10 * 2
+    rows, read = _read(tmp_path, [GreaterThan(("feature_pos",), 297), LessThanOrEqual(("feature_pos",), 299), In(("feature_pos",), (3, 298, 500))])
+    assert len(rows) == 400 and {f for _, f, _ in rows} == {298} and read == 2 * 200 * 2
+    for nothing in ([EqualTo(("cohort",), "controls")], [EqualTo(("dataset",), "c")], [EqualTo(("sample_id",), "-1")], [LessThan(("feature_pos",), 0)]):
+        assert _read(tmp_path, nothing) == ([], 0)
+    rows, read = _read(tmp_path, [], columns=["sample_id"])
+    assert len(rows) == 120_000 and read == 0
+
+
+def test_binary_filters_reach_the_source(spark, tmp_path):
+    np.save(tmp_path / "a.npy", np.arange(12.0).reshape(3, 4))
+    out = binary.read_matrices(spark, str(tmp_path), cohort="cases").where("sample_id = '1' and feature_pos >= 2 and sq_err > 6")
+    assert [(r.sample_id, r.feature_pos, r.sq_err) for r in out.collect()] == [("1", 3, 7.0)]
+    text = out._jdf.queryExecution().executedPlan().toString()
+    left = re.findall(r"Filter \((.*)\)\n", text)
+    assert len(left) == 1 and "sq_err" in left[0] and "feature_pos" not in left[0] and "sample_id" not in left[0]
+    assert binary.read_matrices(spark, str(tmp_path), cohort="cases", columns=("sample_id", "feature_pos")).columns == ["sample_id", "feature_pos"]
+    with pytest.raises(Exception, match="unknown columns"):
+        binary.read_matrices(spark, str(tmp_path), cohort="cases", columns=("x",)).count()
+
+
+@pytest.mark.parametrize("version", [(1, 0), (2, 0), (3, 0)])
+def test_binary_headers_of_any_version_and_length(spark, tmp_path, version):
+    """Headers padded to far more than a page; the third version holds text outside of Latin-1."""
+    data, pad = np.arange(6, dtype=">f4").reshape(2, 3), 9_000
+    note = "日本" if version == (3, 0) else ""
+    head = (str({"descr": ">f4", "fortran_order": False, "shape": (2, 3), "note": note}) + " " * pad + "\n").encode("utf-8")
+    size = len(head).to_bytes(2 if version == (1, 0) else 4, "little")
+    (tmp_path / "x.npy").write_bytes(b"\x93NUMPY" + bytes(version) + size + head + data.tobytes())
+    rows = binary.read_matrices(spark, str(tmp_path), cohort="cases").collect()
+    assert {(int(r.sample_id), r.feature_pos): r.sq_err for r in rows} == {(i, j): float(data[i, j]) for i in range(2) for j in range(3)}
+
+
+def test_binary_rejects_other_files(spark, tmp_path):
+    (tmp_path / "x.npy").write_bytes(b"no matrix at all")
+    with pytest.raises(Exception, match="not a matrix file"):
+        binary.read_matrices(spark, str(tmp_path), cohort="cases").count()
+    np.save(tmp_path / "x.npy", np.array([["a", "b"]]))
+    with pytest.raises(Exception, match="holds no numbers"):
+        binary.read_matrices(spark, str(tmp_path), cohort="cases").count()
+
+
 def test_binary_must_be_a_matrix(spark, tmp_path):
     np.save(tmp_path / "v.npy", np.arange(3.0))
     with pytest.raises(Exception, match="2-D"):
