@@ -29,7 +29,7 @@ def resolve_duplicates(rows: DataFrame, keys: Sequence[str], value: str, how: st
     if how == "mean":
         return rows.groupBy(*keys).agg(F.avg(value).alias(value))
     if how == "median":
-        found = exact_quantiles(rows, keys, value, {value: 0.5}).select(*keys, value)
+        found = exact_quantiles(rows, keys, value, {value: 0.5}, small_groups=True).select(*keys, value)
         return rows.select(*keys).distinct().join(found, list(keys), "left")
     raise ValueError(f"unknown way to resolve duplicates: {how}")
 

@@ -22,7 +22,7 @@ def roc_auc(
 ) -> DataFrame:
     """Area under the ROC curve per group, ties counted half; NULL where one class is absent."""
     positive = F.when(F.col(label) == 1, 1).otherwise(0)
-    steps = running_totals(
+    steps, _ = running_totals(
         rows.where(F.col(score).isNotNull()), list(by), score, {"pos": positive, "neg": 1 - positive}, hot_rows=hot_rows
     )
     below = F.col("neg_cum") - F.col("neg") / F.lit(2.0)

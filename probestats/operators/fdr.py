@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from probestats.operators.ordered import CELL, join_lookup, null_safe_join, running_totals
+from probestats.operators.ordered import CELL, Cells, join_lookup, null_safe_join, running_totals
 
 
 def bh_fdr(
@@ -25,21 +25,30 @@ def bh_fdr(
     """
     keys = list(by)
     filled = tests.withColumn("_p", F.coalesce(F.col(p), F.lit(1.0)))
-    levels = running_totals(filled.select(*keys, "_p"), keys, "_p", {"n": F.lit(1)}, hot_rows=hot_rows).select(
-        *keys, CELL, "_p", "n", (F.col("_p") * F.col("n_total") / F.col("n_cum")).alias("_raw")
-    )
-    later = W.partitionBy(*keys).orderBy(F.col(CELL).desc()).rowsBetween(W.unboundedPreceding, -1)
-    tails = levels.groupBy(*keys, CELL).agg(F.min("_raw").alias("_least")).select(
-        *keys, CELL, F.min("_least").over(later).alias("_tail")
-    )
-    down = W.partitionBy(*keys, CELL).orderBy(F.col("_p").desc()).rowsBetween(W.unboundedPreceding, W.currentRow)
-    q = F.least(F.min("_raw").over(down), F.col("_tail"), F.lit(1.0))
-    lookup = null_safe_join(levels, tails, [*keys, CELL]).select(
-        *keys, "_p", F.col("n").alias("_n"), F.greatest(q, F.lit(0.0)).alias(name)
-    )
+    totals, cells = running_totals(filled.select(*keys, "_p"), keys, "_p", {"n": F.lit(1)}, hot_rows=hot_rows)
+    levels = totals.select(*keys, CELL, "_p", "n", (F.col("_p") * F.col("n_total") / F.col("n_cum")).alias("_raw"))
+    if cells is None:  # one cell a key
+        down = W.partitionBy(*keys).orderBy(F.col("_p").desc()).rowsBetween(W.unboundedPreceding, W.currentRow)
+        least = levels.withColumn("_q", F.min("_raw").over(down))
+    else:
+        down = W.partitionBy(*keys, CELL).orderBy(F.col("_p").desc()).rowsBetween(W.unboundedPreceding, W.currentRow)
+        tails = _later_minimum(levels, keys, cells)
+        least = null_safe_join(levels, tails, [*keys, CELL]).withColumn("_q", F.least(F.min("_raw").over(down), F.col("_tail")))
+    q = F.greatest(F.least(F.col("_q"), F.lit(1.0)), F.lit(0.0))
+    lookup = least.select(*keys, "_p", F.col("n").alias("_n"), q.alias(name))
     return join_lookup(filled, lookup, [*keys, "_p"], size="_n", hot_rows=hot_rows).drop("_p")
 
 
+def _later_minimum(levels: DataFrame, keys: Sequence[str], cells: Cells) -> DataFrame:
+    """Per cell the least ``_raw`` of all later cells: over the ranges of the first cut, then inside each."""
+    least = levels.groupBy(*keys, CELL).agg(F.min("_raw").alias("_least")).withColumn("_top", cells.top())
+    after = W.partitionBy(*keys, "_top").orderBy(F.col(CELL).desc()).rowsBetween(W.unboundedPreceding, -1)
+    own = least.withColumn("_inside", F.min("_least").over(after))
+    later = W.partitionBy(*keys).orderBy(F.col("_top").desc()).rowsBetween(W.unboundedPreceding, -1)
+    coarse = least.groupBy(*keys, "_top").agg(F.min("_least").alias("_of_top")).withColumn("_beyond", F.min("_of_top").over(later)).drop("_of_top")
+    return null_safe_join(own, coarse, [*keys, "_top"]).select(*keys, CELL, F.least("_inside", "_beyond").alias("_tail"))
+
+
 def ks_table(stats: DataFrame, *, keys: Sequence[str] = ("feature_pos",)) -> DataFrame:
     """Tests with their q-values, smallest p first, NULL p last, ties by key."""
     return bh_fdr(stats, "p_ks").orderBy(F.col("p_ks").asc_nulls_last(), *keys)

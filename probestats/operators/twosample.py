@@ -43,7 +43,7 @@ def ks_statistic(
     )
     known = F.col("_v").isNotNull().cast("int")
     weights = {"case": F.col("_case") * known, "ctrl": (1 - F.col("_case")) * known}
-    steps = running_totals(data, keys, "_v", weights, hot_rows=hot_rows)
+    steps, _ = running_totals(data, keys, "_v", weights, hot_rows=hot_rows)
     # products of two counts outgrow 64 bits
     wide = {c: F.col(c).cast("decimal(19,0)") for c in ("case_cum", "ctrl_cum", "case_total", "ctrl_total")}
     gap = F.abs(wide["case_cum"] * wide["ctrl_total"] - wide["ctrl_cum"] * wide["case_total"]).cast("decimal(38,0)")

@@ -1,5 +1,7 @@
 """Hot groups must give what small groups give: every key is forced through the cells (hot_rows=0)."""
 
+import re
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -50,7 +52,7 @@ def test_global_quantiles(skewed):
 def test_running_totals(skewed, hot_rows):
     rows, pdf = skewed
     data = rows.where("v is not null")
-    got = ordered.running_totals(data, ["k"], "v", {"n": F.lit(1), "pos": F.col("label")}, hot_rows=hot_rows).toPandas()
+    got = ordered.running_totals(data, ["k"], "v", {"n": F.lit(1), "pos": F.col("label")}, hot_rows=hot_rows)[0].toPandas()
     known = pdf.dropna(subset="v").groupby(["k", "v"]).agg(n=("label", "size"), pos=("label", "sum")).reset_index()
     known["n_cum"], known["pos_cum"] = known.groupby("k").n.cumsum(), known.groupby("k").pos.cumsum()
     known["n_total"] = known.groupby("k").n.transform("sum")
@@ -60,10 +62,61 @@ def test_running_totals(skewed, hot_rows):
 
 
 def test_cells_never_fall_as_values_grow(spark):
-    values = sorted([0.0, -0.0, 1e-300, -1e-300, 5e-324, 1.0, 1.0000001, -1.0, 1e308, -1e308, float("inf"), float("-inf"), 3.0, 2.9999999])
-    rows = spark.createDataFrame([(v,) for v in values], "v double")
-    cells = [r[0] for r in rows.orderBy("v").select(ordered.value_cell(F.col("v"))).collect()]
-    assert cells == sorted(cells)
+    inf, nan = float("inf"), float("nan")
+    values = [None, -inf, -1e308, -1.0, -1e-300, -0.0, 0.0, 5e-324, 1e-300, 1.0, 1.0000001, 2.9999999, 3.0, 1e308, inf, nan]
+    rows = spark.createDataFrame([(v, i) for i, v in enumerate(values)], "v double, i int")
+    cells = ordered.find_cells(rows, [], "v", hot_rows=0)
+    found = cells.add(rows, "v").withColumn("top", cells.top()).orderBy("i").collect()
+    assert [r[ordered.CELL] for r in found] == sorted(r[ordered.CELL] for r in found)
+    assert [r["top"] for r in found] == sorted(r["top"] for r in found)
+    assert len({r[ordered.CELL] for r in found}) > 10
+
+
+@pytest.mark.parametrize("keyed", [False, True])
+def test_an_outlier_does_not_widen_the_cells(spark, keyed):
+    """999,999 doubles in [1, 1 + 8e-9] and one far away."""
+    n = 1_000_000
+    v = F.when(F.col("id") == 0, F.lit(1.00004)).otherwise(1 + F.col("id") * 8e-15)
+    rows = spark.range(0, n, 1, 8).select(v.alias("v"), F.lit(7).alias("k"))
+    keys = ["k"] if keyed else []
+    cells = ordered.find_cells(rows, keys, "v", hot_rows=10_000)
+    sizes = cells.add(rows, "v").groupBy(ordered.CELL).agg(F.count("*").alias("n"), F.countDistinct("v").alias("d")).collect()
+    assert max(r["n"] for r in sizes if r["d"] > 1) <= 10_000 and 100 <= len(sizes) <= 3 * ordered.RANGES
+    totals, _ = ordered.running_totals(rows, keys, "v", {"n": F.lit(1)}, hot_rows=10_000)
+    assert totals.where("n_total <> 1000000").isEmpty() and totals.agg(F.max("n_cum"), F.count("*")).first()[0] == n
+
+
+def test_quantiles_read_the_rows_twice(spark, tmp_path):
+    """Groups far larger than the sketch: one scan sketches, one looks into the brackets, which hold few of the values."""
+    rows = spark.range(0, 300_000, 1, 4).select((F.col("id") % 3).alias("k"), F.xxhash64("id").cast("double").alias("v"))
+    path = str(tmp_path / "rows")
+    rows.write.parquet(path)
+    for keys in ([], ["k"]):
+        got = ordered.exact_quantiles(spark.read.parquet(path), keys, "v", {"a": 0.25, "b": 0.5}, sketch=4096)
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        # the scan for the sketches is done; one more is left, besides that of the few brackets (_n, _b)
+        assert len(re.findall(r"FileScan parquet \[[^\]]*\bv#", plan)) == 1
+        want = rows.groupBy(*keys).agg(F.percentile("v", [0.25, 0.5]).alias("q"), F.count("*").alias("n"))
+        found, wanted = ([list(map(float, x)) for x in sorted(rows)] for rows in (((r["n"], r["a"], r["b"]) for r in got.collect()), ((r["n"], *r["q"]) for r in want.collect())))
+        np.testing.assert_allclose(found, wanted, rtol=1e-12)
+
+
+@pytest.mark.parametrize("sketch", [8, 200, 4096])
+@pytest.mark.parametrize("small_groups", [False, True])
+def test_quantiles_for_any_sketch(skewed, sketch, small_groups):
+    rows, pdf = skewed
+    probs = {"lo": 0.0, "some": 0.31, "mid": 0.5, "end": 1.0}
+    got = ordered.exact_quantiles(rows, ["k"], "v", probs, sketch=sketch, small_groups=small_groups, hot_rows=500).toPandas().set_index("k").sort_index()
+    np.testing.assert_allclose(got[list(probs)].to_numpy(), pdf.groupby("k")["v"].quantile(list(probs.values())).unstack().to_numpy(), rtol=1e-12)
+
+
+def test_hot_keys_that_a_lookup_lacks_are_not_moved(spark):
+    rows = spark.range(0, 9_000, 1, 6).select(F.when(F.col("id") % 3 == 0, F.col("id") % 100).otherwise(-1).alias("k"), "id")
+    lookup = spark.range(0, 50).select(F.col("id").alias("k"), (F.col("id") * 2).alias("double"))
+    out = ordered.join_lookup(rows, lookup, ["k"], hot_rows=1_000)
+    assert out.count() == 1_500 and out.where("double <> 2 * k").isEmpty()
+    text = out._jdf.queryExecution().executedPlan().toString()
+    assert "LeftAnti, BuildRight" in text and "Union" in text  # rows of key -1 meet a broadcast on both ways
 
 
 @pytest.mark.parametrize("limit", [None, 777])

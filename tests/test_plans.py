@@ -5,7 +5,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from probestats.operators import fdr, folds, rank, score, twosample
+from probestats.operators import evaluate, fdr, folds, ordered, rank, score, twosample
 from probestats.plans import catalog, tables as t
 from probestats.sources.tables import select_datasets
 
@@ -16,18 +16,31 @@ def plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-def window_partitions(text: str) -> list[str]:
-    return re.findall(r"windowspecdefinition\((.*?)(?: ASC| DESC|,? specifiedwindowframe)", text)
-
-
-def test_tests_and_ranks_never_sort_all_rows_in_one_task(spark):
-    rows = t.two_groups(spark, SF)
-    text = plan(fdr.bh_fdr(twosample.ks_pvalue(twosample.ks_statistic(rows), method="limit")))
-    text += plan(folds.capped_sample(t.table(spark, SF, "lineitem").select("l_orderkey"), 10, ["l_orderkey"]))
-    # windows without a key only run over cell totals
-    for windows in re.findall(r"Window \[(.*)\], \[", text):
-        for spec in re.findall(r"windowspecdefinition\(([^)]*)\)", windows):
-            assert "_cell" in spec or "feature_pos" in spec or "unboundedfollowing" in spec, spec
+def windows_over_all(text: str) -> list[str]:
+    """Orders of the windows that have no key."""
+    specs = re.findall(r"windowspecdefinition\((.*?)specifiedwindowframe", text)
+    return [x for x in specs if re.match(r"(\S+ (ASC|DESC)|$)", x.strip())]
+
+
+def test_tests_and_ranks_never_sort_all_rows_in_one_task(spark, monkeypatch):
+    """Windows without a key run over the ranges of a first cut, which are at most RANGES; smaller tables than HOT_ROWS aside."""
+    texts, write = [], ordered.stage
+    monkeypatch.setattr(ordered, "stage", lambda df, name: texts.append(plan(df)) or write(df, name))
+    rows = t.two_groups(spark, SF).withColumn("p", F.col("score") / 1e6)
+    for out in (
+        fdr.bh_fdr(rows, "p", hot_rows=100),
+        evaluate.roc_auc(rows.withColumn("label", (F.col("cohort") == "cases").cast("int")), hot_rows=100),
+        ordered.row_ranks(rows, [], "score", hot_rows=100),
+        ordered.exact_quantiles(rows, [], "score", {"m": 0.5}, sketch=200),
+    ):
+        texts.append(plan(out))
+        found = [x for text in texts for x in windows_over_all(text)]
+        assert any("Window [" in text for text in texts)
+        assert all(x.startswith(("_top#", "j#")) or not x.strip() for x in found), found
+        texts.clear()
+    assert ordered.RANGES <= 4096
+    text = plan(folds.capped_sample(t.table(spark, SF, "lineitem").select("l_orderkey"), 10, ["l_orderkey"]))
+    assert all(x.startswith("_cell#") or not x.strip() for x in windows_over_all(text))
 
 
 def test_scan_reads_only_what_is_needed(spark):
@@ -37,9 +50,9 @@ def test_scan_reads_only_what_is_needed(spark):
 
 
 def test_levels_are_shuffled_once(spark):
-    df = twosample.ks_statistic(t.two_groups(spark, SF))
-    df.collect()
-    assert "ReusedExchange" in plan(df)
+    """Where no key is hot: values summed up by (key, value), then a window by key; one scan, nothing joined."""
+    text = plan(twosample.ks_statistic(t.two_groups(spark, SF)))
+    assert text.count("Exchange hashpartitioning") == 2 and text.count("FileScan") == 1 and "Join" not in text
 
 
 def test_dataset_filter_reaches_the_scan(spark, tmp_path):
