@@ -209,6 +209,16 @@ class Page:
                 return None
         return at
 
+    def left_behind(self, container: int, number: int) -> bool:
+        """Whether ``container`` encloses all containers at the path ``number`` and text outside of links besides."""
+        inside, at_path = [container == 0], [self.path[0] == number]
+        for c in range(1, len(self.parent)):
+            inside.append(inside[self.parent[c]] or c == container)
+            at_path.append(at_path[self.parent[c]] or self.path[c] == number)
+        if at_path[container] or any(there and not within for there, within in zip(at_path, inside, strict=True)):
+            return False
+        return any(inside[c] and not at_path[c] and len(text) > linked for c, text, linked in self.blocks)
+
     def text(self, number: int) -> str | None:
         """Text of all containers at a path in page order; None if there is none."""
         if number not in self.path:
@@ -227,13 +237,17 @@ def vote(source: str | None) -> tuple[str, float]:
 
 
 def extract(source: str | None, path: str | None) -> tuple[str, bool]:
-    """Text at the host's path and True, or at the page's own best path and False."""
+    """Text at the host's path and True, or at the page's own best path and False.
+
+    The page's own container is taken, too, where it encloses all of the host's path and has text outside of links beside it.
+    """
     page = Page(source or "")
     number = page.number(path) if path is not None else None
     found = page.text(number) if number is not None else None
-    if found:
+    own = page.main()[0]
+    if found and not page.left_behind(own, number):
         return found, True
-    return page.text(page.path[page.main()[0]]) or "", False
+    return page.text(page.path[own]) or "", False
 
 
 def _host(url: str = "url"):

@@ -47,8 +47,8 @@ class Crf:
     def emissions(self, words: list[str]) -> np.ndarray:
         """Score of each language for each distinct word."""
         out = np.zeros((len(words), len(self.langs)))
-        for start in range(0, len(words), 50_000):
-            some = words[start : start + 50_000]
+        for start in range(0, len(words), 20_000):
+            some = words[start : start + 20_000]
             rows, starts, scale, ratios = self.features(some)
             out[start : start + len(some)] = np.add.reduceat(self.grams[rows], starts, axis=0) * scale[:, None] + ratios @ self.lexicon_weight
         return out
@@ -204,7 +204,7 @@ def predict(docs: DataFrame, crf: Crf) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(crf)
 
     def batches(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in parts(found, "text", 4_000_000):
+        for batch in parts(found, "text", 2_000_000):
             lang, score = _tell(sent.value, batch.column("text"))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(lang, pa.string()), pa.array(score)], ["doc_id", "lang_pred", "score"])
 
@@ -259,7 +259,7 @@ def keep_identified(docs: DataFrame, lang: str = "lang", least: float = 0.5, row
     sent = docs.sparkSession.sparkContext.broadcast(learn(docs, lang, rows_per_lang))
 
     def batches(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in parts(found, "text", 4_000_000):
+        for batch in parts(found, "text", 2_000_000):
             told, score = _tell(sent.value, batch.column("text"))
             yield batch.filter(pa.array((told != "und") & (score >= least)))
 

@@ -39,7 +39,8 @@ class WordTokenizer:
     Each distinct word is tokenized once and the texts' ids are put together from the words' ids. Words are
     remembered between batches by a digest of 128 bits, in arrays, and forgotten when they are more than ``most``.
     A word after whose last letter stands plain punctuation is two, since letters and punctuation are never in one
-    token; words of A-Z are lowered, as the tokenizer does.
+    token; words of A-Z are lowered, as the tokenizer does. A letter that lowers to more than a letter (as the dotted
+    capital I, whose dot joins what follows) keeps its word whole.
     """
 
     def __init__(self, path: str, most: int = 1_000_000):
@@ -103,7 +104,7 @@ class WordTokenizer:
 def _halves(word: str) -> tuple[str, str]:
     """A word as (word, plain punctuation after its last letter)."""
     core = word.rstrip(PLAIN_MARKS)
-    if not core or not core[-1].isalpha():
+    if not core or not core[-1].isalpha() or len(core[-1].lower()) > 1:
         return word, ""
     return core.lower() if core.isascii() and core.isalpha() else core, word[len(core) :]
 

@@ -77,7 +77,9 @@ def number_rows(rows: DataFrame, order: list[str], cells: int | None = None) ->
     ranges before. Only the ``cells`` counts meet in one task.
     """
     cells = cells or max(8, rows.sparkSession.sparkContext.defaultParallelism, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    ranged = stage(rows.repartitionByRange(cells, *order).withColumn("cell", F.spark_partition_id()), "ranges")
+    # equal rows may lie in different ranges: which of them comes first does not show
+    salted = rows.withColumn("salt", F.monotonically_increasing_id())
+    ranged = stage(salted.repartitionByRange(cells, *order, "salt").withColumn("cell", F.spark_partition_id()).drop("salt"), "ranges")
     before = Window.orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
     starts = ranged.groupBy("cell").count().select("cell", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("start"))
     inside = F.row_number().over(Window.partitionBy("cell").orderBy(*order))

@@ -83,7 +83,7 @@ def log_ratios(rows: DataFrame, features: int, least: int = 3, least_ratio: floa
     """
 
     def batches(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in parts(found, "text", 4_000_000):
+        for batch in parts(found, "text", 2_000_000):
             toxic = batch.column("toxic").to_numpy(zero_copy_only=False).astype(bool)
             docs, grams = document_ngrams(batch.column("text"))
             own, where = np.unique(grams, return_inverse=True)
@@ -120,7 +120,7 @@ def training_rows(rows: DataFrame, ngrams: np.ndarray, rows_per_class: int) -> l
     sent = rows.sparkSession.sparkContext.broadcast(ngrams)
 
     def batches(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in parts(found, "text", 4_000_000):
+        for batch in parts(found, "text", 2_000_000):
             docs, at = document_ngrams(batch.column("text"), sent.value)
             ends = np.r_[0, np.cumsum(np.bincount(docs, minlength=batch.num_rows))].astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(at.astype(np.int32)))
@@ -166,7 +166,7 @@ def score(docs: DataFrame, model: Toxicity) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def batches(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in parts(found, "text", 4_000_000):
+        for batch in parts(found, "text", 2_000_000):
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sent.value.scores(batch.column("text")))], ["doc_id", "score"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(batches, "doc_id long, score double")

@@ -20,6 +20,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, Filter, In, InputPartition, IsNotNull, WriterCommitMessage
 from pyspark.sql.types import Row
 
+from probestats.llm.shared import BROADCAST_ROWS, small
+from probestats.operators.ordered import hot_keys
+from probestats.operators.stage import stage
+
 SCHEMA = (
     "record_id string, record_type string, target_uri string, date string, refers_to string, payload_digest string, payload_length long, payload binary"
 )
@@ -30,6 +34,7 @@ FIELDS = {
 }
 IDENTICAL = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _HEAD = 8192
+_LIST = "_files-"
 _END = b"\r\n\r\n"
 
 
@@ -168,6 +173,20 @@ class Files(InputPartition):
     files: list[tuple[str, int]]
 
 
+def committed(system, root: str) -> dict[str, list]:
+    """The lists of files that committed writes left, by name, without those that a later write replaced."""
+    from pyarrow import fs
+
+    names = [x.base_name for x in system.get_file_info(fs.FileSelector(root, allow_not_found=True)) if x.type == fs.FileType.File]
+    found = {}
+    for name in names:
+        if name.startswith(_LIST) and name.endswith(".json"):
+            with system.open_input_stream(f"{root}/{name}") as f:
+                found[name] = json.loads(f.read())
+    gone = {name for x in found.values() for name in x["replaces"]}
+    return {name: x["files"] for name, x in found.items() if name not in gone}
+
+
 class WarcReader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
         self.path, self.verify = options["path"], options.get("verify", "false") == "true"
@@ -191,14 +210,13 @@ class WarcReader(DataSourceReader):
                 yield f
 
     def partitions(self) -> list[InputPartition]:
-        """Files of about ``splitBytes`` together; a committed write's list of files counts, if there is one."""
+        """Files of about ``splitBytes`` together; the lists of committed writes count, if there are some."""
         from pyarrow import fs
 
         system, root = file_system(self.path)
-        listed = f"{root}/_files.json"
-        if system.get_file_info(listed).type == fs.FileType.File:
-            with system.open_input_stream(listed) as f:
-                files = [(f"{root}/{name}", size) for name, size in json.loads(f.read())]
+        lists = committed(system, root)
+        if lists:
+            files = sorted((f"{root}/{name}", size) for found in lists.values() for name, size in found)
         else:
             found = system.get_file_info(fs.FileSelector(root, recursive=True))
             files = sorted((x.path, x.size) for x in found if x.type == fs.FileType.File and x.path.endswith((".warc", ".warc.gz")))
@@ -239,10 +257,14 @@ class Written(WriterCommitMessage):
 
 
 class WarcWriter(DataSourceWriter):
-    """Writes files under names of their own; only those of tasks that ended well get on the list of files."""
+    """Writes files under names of their own; only those of tasks that ended well get on the write's list of files.
 
-    def __init__(self, options: dict[str, str]):
-        self.path, self.most = options["path"], int(options.get("maxfilebytes", 256 << 20))
+    An append adds its list to those of earlier writes. An overwrite's list names those that it replaces, which are void as
+    soon as it is there; then they and their files are deleted.
+    """
+
+    def __init__(self, options: dict[str, str], overwrite: bool = False):
+        self.path, self.most, self.overwrite = options["path"], int(options.get("maxfilebytes", 256 << 20)), overwrite
 
     def write(self, rows: Iterator[Row]) -> Written:
         system, root = file_system(self.path)
@@ -267,8 +289,14 @@ class WarcWriter(DataSourceWriter):
     def commit(self, messages: list[WriterCommitMessage | None]) -> None:
         system, root = file_system(self.path)
         system.create_dir(root, recursive=True)
-        with system.open_output_stream(f"{root}/_files.json") as f:
-            f.write(json.dumps(sorted(x for m in messages if m for x in m.files)).encode())
+        old = committed(system, root) if self.overwrite else {}
+        files = sorted(x for m in messages if m for x in m.files)
+        with system.open_output_stream(f"{root}/{_LIST}{uuid.uuid4().hex}.json") as f:
+            f.write(json.dumps({"files": files, "replaces": sorted(old)}).encode())
+        for name, replaced in old.items():
+            for file, _ in replaced:
+                system.delete_file(f"{root}/{file}")
+            system.delete_file(f"{root}/{name}")
 
     def abort(self, messages: list[WriterCommitMessage | None]) -> None:
         system, root = file_system(self.path)
@@ -290,7 +318,7 @@ class WarcSource(DataSource):
         return WarcReader({k.lower(): v for k, v in self.options.items()})
 
     def writer(self, schema, overwrite: bool) -> DataSourceWriter:
-        return WarcWriter({k.lower(): v for k, v in self.options.items()})
+        return WarcWriter({k.lower(): v for k, v in self.options.items()}, overwrite)
 
 
 def register(spark: SparkSession) -> None:
@@ -307,9 +335,16 @@ def page_records(pages: DataFrame) -> DataFrame:
     """
     payload = F.encode(F.coalesce(F.col("html"), F.lit("")), "utf-8")
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), payload.alias("payload")).withColumn("sha", F.unhex(F.sha1("payload")))
-    # only payloads that occur again are joined back; ids are gathered before the shuffle
+    # only payloads that occur again are joined back, by digest and id; beyond a broadcast's size the frequent ones still are
     again = rows.groupBy("sha").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select(F.col("sha").alias("of"), "first")
-    joined = rows.join(again, F.col("sha") == F.col("of"), "left")
+    again = stage(again, "again")
+    on = F.col("sha") == F.col("of")
+    hot = hot_keys(rows.select("sha"), ["sha"]) if again.count() > BROADCAST_ROWS else None
+    if hot is None:
+        joined = rows.join(small(again), on, "left")
+    else:
+        often = F.broadcast(again.join(F.broadcast(hot.select(F.col("sha").alias("of"))), "of"))
+        joined = rows.join(often, on).unionByName(rows.join(often, on, "left_anti").join(again, on, "left"))
     revisit = F.coalesce(F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first")), F.lit(False))
     urn = lambda c: F.concat(F.lit("<urn:page:"), c.cast("string"), F.lit(">"))
     return joined.select(

@@ -297,6 +297,25 @@ def test_decontamination_of_odd_tables(spark, odd_docs, no_docs):
     assert Counter((r["doc_id"], r["item_id"]) for r in many.collect()) == got
 
 
+def test_equal_rows_are_numbered_in_many_ranges(spark):
+    rows_ = spark.range(0, 50_000, 1, 4).select(F.lit(7).alias("doc_id"))
+    numbered, n = sharding.number_rows(rows_, ["doc_id"], cells=8)
+    assert n == 50_000 and numbered.agg(F.min("row"), F.max("row"), F.countDistinct("row")).first()[:] == (0, n - 1, n)
+    found = sharding.shard(spark.createDataFrame([], "doc_id long, text string"))
+    assert found.count() == 0 and "slot" in found.columns
+
+
+def test_words_that_end_in_a_dotted_capital():
+    import tokenizers
+
+    whole = tokenizers.Tokenizer.from_file(TOKENIZER)
+    texts = ["İ, x", "aİ. b", "İ.,", "İstanbul, İ;", "ß. ǅ, ŉ! É,", "ΣΑΣ. İİ:"]
+    ids, sizes = packing.WordTokenizer(TOKENIZER)(pa.array(texts))
+    ends = np.cumsum(sizes)
+    for text, a, b in zip(texts, np.r_[0, ends[:-1]], ends, strict=True):
+        assert ids[a:b].tolist() == whole.encode(text, add_special_tokens=False).ids + [packing.END]
+
+
 # --- quality --------------------------------------------------------------------------------------------------
 
 

@@ -6,8 +6,10 @@ import hashlib
 import io
 import uuid
 from collections import Counter
+from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
 from probestats.llm import html, shared, warc
 
@@ -43,6 +45,35 @@ def test_host_overrules_a_page(spark):
     assert found[11]["text"] == "something else that is very long here"
 
 
+def test_the_hosts_path_leaves_no_article_text_behind(spark):
+    """A page's own container that encloses the host's path and holds more of the article is taken."""
+    usual = "<body><div class=page><article><p>{}</p></article></div></body>".format("Usual words of an article. " * 12)
+    ends = "<body><div class=page><p>{}</p><article><p>{}</p></article></div></body>".format("First part of it. " * 40, "The end of the text. " * 12)
+    teaser = "<body><div class=page><div class=body><p>{}</p></div><article><p>{}</p></article></div></body>".format("The whole story, told here. " * 100, "Read also this.")
+    pages = spark.createDataFrame([(i, "http://a.org/x", usual) for i in range(5)] + [(8, "http://a.org/y", ends), (9, "http://a.org/z", teaser)], "page_id long, url string, html string")
+    got = {r["page_id"]: r for r in html.main_text(pages).collect()}
+    assert got[0]["agreed"] and got[0]["path"] == "body>div.page>article"
+    assert got[8]["text"] == " ".join(("First part of it. " * 40 + "The end of the text. " * 12).split())
+    assert got[9]["text"].startswith("The whole story") and got[9]["n_chars"] > 2700
+
+
+def test_appends_add_and_overwrites_replace(spark, folder):
+    kinds = "record_id string, record_type string, payload binary"
+    warc.register(spark)
+
+    def write(mode, *ids):
+        rows = spark.createDataFrame([(f"<urn:page:{i}>", "response", bytes([i])) for i in ids], kinds)
+        columns = [F.col(c) if c in rows.columns else F.lit(None).cast(k).alias(c) for c, k in (x.split(" ") for x in warc.SCHEMA.split(", "))]
+        rows.select(*columns).write.format("warc").mode(mode).save(folder)
+        return sorted(bytes(r["payload"])[0] for r in spark.read.format("warc").load(folder).collect())
+
+    assert write("append", 1, 2) == [1, 2]
+    assert write("append", 3) == [1, 2, 3]
+    assert write("overwrite", 4) == [4]
+    assert write("append", 5, 6) == [4, 5, 6]
+    assert len(list(Path(folder).glob("*.warc.gz"))) <= 3  # replaced files are gone
+
+
 def test_odd_pages(spark):
     deep = "<div>" * 5000 + "deep text" + "</div>" * 5000
     rows = [
