@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from probestats.functions.keys import block_of
 from probestats.functions.missing import is_missing, nan_to_null
+from probestats.operators.blocks import arrays_by_position
 from probestats.operators.ordered import exact_quantiles, null_safe_join
 
 SEGMENT_WIDTH = 10_000
@@ -22,18 +23,14 @@ SAMPLE = ("cohort", "dataset", "sample_id")
 def to_blocks(betas: DataFrame, *, value: str = "beta", width: int = SEGMENT_WIDTH) -> DataFrame:
     """Long matrix to one array per sample and segment: a value stands at its feature's place in the segment.
 
-    Arrays of a segment all end with its last feature that any sample has; absent features are NULL. A segment has
-    at most ``width`` features, which bounds what one group collects; a (sample, feature) given twice raises.
+    Arrays of a segment all end with its last feature that any sample has; absent features are NULL. A
+    (sample, feature) given twice raises.
     """
-    entry = F.struct((F.col("feature_pos") % width).cast("int").alias("pos"), F.col(value).alias("value"))
-    segments = betas.groupBy(block_of(F.col("feature_pos"), width).alias("segment_id")).agg(F.max(F.col("feature_pos") % width).alias("_last"))
-    return (
-        betas.withColumn("segment_id", block_of(F.col("feature_pos"), width))
-        .groupBy(*SAMPLE, "segment_id")
-        .agg(F.map_from_entries(F.collect_list(entry)).alias("_by_pos"))
-        .join(segments, "segment_id")
-        .select(*SAMPLE, "segment_id", F.transform(F.sequence(F.lit(0), F.col("_last").cast("int")), lambda i: F.try_element_at("_by_pos", i)).alias("values"))
-    )
+    segment, place = block_of(F.col("feature_pos"), width), F.col("feature_pos") % width
+    segments = betas.groupBy(segment.alias("segment_id")).agg((F.max(place) + 1).cast("int").alias("_size"))
+    blocks = arrays_by_position(betas.withColumn("segment_id", segment), [*SAMPLE, "segment_id"], place, F.col(value), width)
+    # one row per segment: features / segment width
+    return blocks.join(F.broadcast(segments), "segment_id").select(*SAMPLE, "segment_id", F.slice("values", F.lit(1), F.col("_size")).alias("values"))
 
 
 def to_long(blocks: DataFrame, *, values: str = "values", value: str = "beta", width: int = SEGMENT_WIDTH) -> DataFrame:
@@ -122,7 +119,9 @@ def reconstruct(
         missing = np.isnan(x) | (x == 0)
         if net is None:
             return np.full(x.shape, np.nan)
-        predicted = _forward(np.where(missing, 0.0, x), net)
+        # a last segment may end before its network does: what it lacks counts as missing
+        more = max(0, net[0]["weight"].shape[1] - x.shape[1])
+        predicted = _forward(np.pad(np.where(missing, 0.0, x), ((0, 0), (0, more))), net)[:, : x.shape[1]]
         if half_precision:
             predicted = predicted.astype(np.float16).astype(np.float64)
         found = (predicted - x) ** 2

@@ -10,6 +10,7 @@ from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, functions as F
 
+from probestats.operators.blocks import arrays_by_position
 from probestats.operators.ordered import running_totals
 from probestats.operators.performance import model_columns
 from probestats.operators.stage import stage
@@ -62,17 +63,12 @@ def fold_vectors(
     ranked = ranked.where(F.col("rank") <= max_k)
     size = ranked.groupBy(F.col("fold").alias("model_fold")).agg(F.max("rank").alias("_size"))
     chosen = ranked.select(F.col("fold").alias("model_fold"), "feature_pos", "rank")
-    values = rows.join(F.broadcast(chosen), "feature_pos").groupBy("model_fold", *sample, "fold", "label").agg(
-        F.map_from_entries(F.collect_list(F.struct("rank", F.coalesce(value, F.lit(missing))))).alias("_by_rank")
-    )
-    return values.join(F.broadcast(size), "model_fold").select(
-        "model_fold",
-        *sample,
-        "label",
-        (F.col("fold") == F.col("model_fold")).alias("held_out"),
-        F.transform(
-            F.sequence(F.lit(1), F.col("_size")), lambda r: F.coalesce(F.try_element_at(F.col("_by_rank"), r), F.lit(missing))
-        ).alias("values"),
+    # at most max_k rows per fold
+    values = rows.join(F.broadcast(chosen), "feature_pos").withColumn("_v", F.coalesce(value, F.lit(missing)))
+    arrays = arrays_by_position(values, ["model_fold", *sample, "fold", "label"], F.col("rank") - 1, F.col("_v"), max_k)
+    kept = F.transform(F.slice("values", F.lit(1), F.col("_size")), lambda x: F.coalesce(x, F.lit(missing)))
+    return arrays.join(F.broadcast(size), "model_fold").select(
+        "model_fold", *sample, "label", (F.col("fold") == F.col("model_fold")).alias("held_out"), kept.alias("values")
     )
 
 

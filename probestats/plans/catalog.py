@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from probestats.functions.keys import case_label, dataset_stem, split_genes
+from probestats.functions.keys import block_of, case_label, dataset_stem, split_genes
 from probestats.functions.missing import fill_missing, is_missing, sentinel_to_null
 from probestats.functions.tails import neg_log10
 from probestats.operators import (
@@ -233,10 +233,10 @@ def matrix_checks(spark, d):
     return errors.check_matrix(rows, models, n_features=64, width=16)
 
 
-def _weights(spark, d):
-    """A small network per segment, its numbers given by rule."""
-    sizes = [(1, 16, 6), (2, 6, 3), (3, 3, 6), (4, 6, 16)]
-    segments = t.matrix(spark, d).select((F.col("feature_pos") / 16).cast("int").alias("segment_id")).distinct()
+def _weights(rows, width):
+    """A network per segment of the rows' features, its numbers given by rule."""
+    sizes = [(1, width, 6), (2, 6, 3), (3, 3, 6), (4, 6, width)]
+    segments = rows.select(block_of(F.col("feature_pos"), width).alias("segment_id")).distinct()
     layers = F.array(*[F.struct(F.lit(a).alias("layer"), F.lit(b).alias("n_in"), F.lit(c).alias("n_out")) for a, b, c in sizes])
     rows = segments.withColumn("_l", F.explode(layers)).select("segment_id", "_l.*")
 
@@ -270,7 +270,15 @@ def autoencoder_error(spark, d):
         "cohort", "dataset", "sample_id", "feature_pos",
         F.when((F.col("sample_id") * 7 + F.col("feature_pos")) % 13 > 1, F.col("value")).alias("beta"),
     )
-    return study.evaluate_matrix(betas, _weights(spark, d), width=16).select("sample_id", "feature_pos", r("sq_err"))
+    return study.evaluate_matrix(betas, _weights(betas, 16), width=16).select("sample_id", "feature_pos", r("sq_err"))
+
+
+@query
+def autoencoder_wide(spark, d):
+    """Networks of full width: segments of 10,000 features, one for each order number, most of them absent in a sample."""
+    rows = t.wide_matrix(spark, d)
+    found = study.evaluate_matrix(rows, _weights(rows, errors.SEGMENT_WIDTH)).where(F.col("sq_err").isNotNull())
+    return found.select("cohort", "dataset", "sample_id", "feature_pos", r("sq_err"))
 
 
 # --- two-sample tests ------------------------------------------------------------------------------

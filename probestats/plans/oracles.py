@@ -218,6 +218,16 @@ x0 AS (
 ),{_layer(1, 'x0', 16, 6)},{_layer(2, 'y1', 6, 3)},{_layer(3, 'y2', 3, 6)},{_layer(4, 'y3', 6, 16)}
 SELECT sample_id, feature_pos, round(pow(y4.x - beta, 2), 6) AS sq_err FROM x0 JOIN y4 USING (sample_id, seg, i)"""
 
+_SQL["autoencoder_wide"] = f"""
+WITH w AS (
+  SELECT CASE l_returnflag WHEN 'A' THEN 'cases' ELSE 'controls' END AS cohort, 'ds_' || l_linestatus AS dataset, l_linenumber AS line,
+         CAST(l_orderkey % 25000 AS INTEGER) AS feature_pos, min(l_extendedprice) / 100000 AS beta
+  FROM lineitem GROUP BY ALL
+),
+x0 AS (SELECT *, (cohort, dataset, line) AS sample_id, feature_pos // 10000 AS seg, feature_pos % 10000 AS i, beta AS x FROM w WHERE beta <> 0),
+{_layer(1, 'x0', 10000, 6)},{_layer(2, 'y1', 6, 3)},{_layer(3, 'y2', 3, 6)},{_layer(4, 'y3', 6, 10000)}
+SELECT cohort, dataset, line AS sample_id, feature_pos, round(pow(y4.x - beta, 2), 6) AS sq_err FROM x0 JOIN y4 USING (sample_id, seg, i)"""
+
 # --- two-sample tests ------------------------------------------------------------------------------
 
 _SQL["ks_stat"] = f"WITH {TWO_GROUPS}{KS.format(rows='s')} SELECT feature_pos, n_case, n_ctrl, gap, {_r('d')} FROM ks"

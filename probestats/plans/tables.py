@@ -53,6 +53,16 @@ def two_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def wide_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Beta matrix of many features: one sample per line number, return flag and line status, one feature per order number."""
+    return table(spark, sf_dir, "lineitem").groupBy(
+        F.when(F.col("l_returnflag") == "A", "cases").otherwise("controls").alias("cohort"),
+        F.concat(F.lit("ds_"), "l_linestatus").alias("dataset"),
+        F.col("l_linenumber").alias("sample_id"),
+        (F.col("l_orderkey") % 25_000).cast("int").alias("feature_pos"),
+    ).agg((F.min("l_extendedprice") / 100_000).alias("beta"))
+
+
 def part_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A p-value per part, keyed by the bare part number."""
     return table(spark, sf_dir, "part").select(
