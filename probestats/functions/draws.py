@@ -25,3 +25,31 @@ def draw_cell(key: Column) -> Column:
 def draw32(seed: int, *parts: Column) -> Column:
     """Uniform integer in [0, 2**32)."""
     return F.conv(F.substring(draw_key(seed, *parts), 1, 8), 16, 10).cast("bigint")
+
+
+#: Times that a permuted number may lie outside before it is an error; each time is one in sqrt(n).
+WALKS = 64
+
+
+def permuted(x: Column, n: Column, seed: int, *key: Column) -> Column:
+    """Place of ``x`` in a permutation of 0 .. n - 1 that seed and key choose.
+
+    The numbers stand on a grid of a rows and b columns, the smallest near-square one that holds n. Four times, rows
+    or columns are shifted by a draw that the other coordinate decides, which moves every place to another one. A number
+    that comes to lie beyond n is moved on until it does not (cycle walking). So a prefix of a permutation costs as many
+    draws as it has numbers, whatever n.
+    """
+    a = F.ceil(F.sqrt(n.cast("double")))
+    b = F.ceil(n / a)
+
+    def moved(number: Column) -> Column:
+        row, column = F.floor(number / b).cast("bigint"), number % b
+        for turn in range(0, 4, 2):
+            row = (row + draw32(seed, *key, F.lit(turn), column)) % a
+            column = (column + draw32(seed, *key, F.lit(turn + 1), row)) % b
+        return (row * b + column).cast("bigint")
+
+    once = moved(x)
+    walked = F.aggregate(F.sequence(F.lit(1), F.lit(WALKS)), once, lambda at, _: F.when(at < n, at).otherwise(moved(at)))
+    inside = F.when(once < n, once).otherwise(walked)
+    return F.when(inside < n, inside).otherwise(F.raise_error(F.lit("a permuted number stays outside")).cast("bigint"))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from probestats.functions.keys import strip
 from probestats.functions.missing import nan_to_null
-from probestats.operators.ordered import exact_quantiles, row_ranks
+from probestats.operators.ordered import exact_quantiles, join_lookup, row_ranks
 
 
 def keep_first(rows: DataFrame, keys: Sequence[str], order: Sequence[str | Column]) -> DataFrame:
@@ -69,8 +69,10 @@ def align_to_manifest(wide: DataFrame, samples: DataFrame, features: DataFrame)
     places = known.select("feature_pos", F.explode(names.scalar()).alias("_set")).select(
         "_set.cohort", "_set.dataset", "feature_pos"
     )
-    # a large dataset is one key here: Spark broadcasts the samples if they are few, else splits the skew
-    joined = places.join(present, ["cohort", "dataset", "feature_pos"], "left").join(samples, ["cohort", "dataset"])
+    # a dataset is one key here, with a row for each feature: a large one meets a broadcast of its sample ids
+    whole = places.join(present, ["cohort", "dataset", "feature_pos"], "left")
+    sized = samples.withColumn("_n", known.agg(F.count(F.lit(1))).scalar())
+    joined = join_lookup(whole, sized, ["cohort", "dataset"], size="_n")
     cells = F.transform(
         F.col("sample_ids"),
         lambda s, i: F.struct(s.alias("sample_id"), F.get(F.col("values"), i).alias("beta")),

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from probestats.functions.draws import draw32, draw_cell, draw_key
+from probestats.functions.draws import draw_cell, draw_key, permuted
 from probestats.functions.keys import split_genes, strip, strip_zeros
 from probestats.functions.tails import hypergeometric_tail, neg_log10
 from probestats.operators.align import keep_first
@@ -146,32 +146,29 @@ def _with_profile(annotated: DataFrame) -> DataFrame:
 
 
 def _term_profiles(profiles: DataFrame, gene_sets: DataFrame) -> DataFrame:
+    """profile, ``terms``: the terms that share a gene with it. One row per profile that has some.
+
+    Terms are gathered by gene and then by profile, at most all terms there are, so that a gene or profile that many
+    rows have meets one row, which a hot key's rows get by broadcast.
+    """
     genes = profiles.where(F.col("profile") != "").select("profile", F.explode(F.split("profile", ";")).alias("gene"))
-    return genes.join(_upper_sets(gene_sets), "gene").select("term", "profile").distinct()
+    by_gene = _upper_sets(gene_sets).groupBy("gene").agg(F.collect_list("term").alias("terms"))
+    hits = join_lookup(genes, by_gene, ["gene"]).select("profile", F.explode("terms").alias("term"))
+    return hits.groupBy("profile").agg(F.collect_set("term").alias("terms"))
 
 
 def term_incidence(annotated: DataFrame, gene_sets: DataFrame) -> DataFrame:
     """(term, CpG) wherever they share a gene."""
     features = _with_profile(annotated)
-    return _term_profiles(features.select("profile").distinct(), gene_sets).join(features, "profile").select("term", "CpG")
+    links = _term_profiles(features.select("profile").distinct(), gene_sets)
+    return join_lookup(features, links, ["profile"]).select(F.explode("terms").alias("term"), "CpG")
 
 
 def permutation_draws(spark, n_perm: int, size: Column, universe: Column, *, seed: int = 7) -> DataFrame:
-    """(perm, idx): ``size`` different numbers of [0, universe) per permutation, every subset equally likely.
-
-    The s-th draw looks at one number more than the one before; if it hits a number already taken, the new
-    number itself is taken. Exactly ``size`` draws, whatever the universe.
-    """
+    """(perm, idx): ``size`` different numbers of [0, universe) per permutation: the first of a keyed permutation."""
     perms = spark.range(1, n_perm + 1).select(F.col("id").alias("perm"), size.alias("_k"), universe.alias("_n"))
-
-    def take(taken: Column, s: Column) -> Column:
-        newest = F.col("_n") - F.col("_k") + s
-        hit = draw32(seed, F.col("perm"), s) % (newest + 1)
-        return F.array_append(taken, F.when(F.array_contains(taken, hit), newest).otherwise(hit))
-
-    steps = F.when(F.col("_k") > 0, F.sequence(F.lit(0).cast("bigint"), F.col("_k") - 1)).otherwise(F.array().cast("array<bigint>"))
-    picks = F.aggregate(steps, F.array().cast("array<bigint>"), take)
-    return perms.select("perm", F.explode(picks).alias("idx"))
+    steps = F.when(F.col("_k") > 0, F.sequence(F.lit(0).cast("bigint"), F.col("_k") - 1))
+    return perms.select("perm", "_n", F.explode(steps).alias("_s")).select("perm", permuted(F.col("_s"), F.col("_n"), seed, F.col("perm")).alias("idx"))
 
 
 def permutation_enrichment(
@@ -206,8 +203,9 @@ def permutation_enrichment(
     drawn = indexed.join(draws, "idx").select("perm", "profile")
     for number, rows in ((0, chosen), (-1, features)):
         drawn = drawn.unionByName(rows.select(F.lit(number).cast("bigint").alias("perm"), "profile"))
-    counts = drawn.groupBy("perm", "profile").agg(F.count(F.lit(1)).alias("_c"))
-    hits = counts.join(links, "profile").groupBy("term", "perm").agg(F.sum("_c").alias("_c"))
+    counts = stage(drawn.groupBy("perm", "profile").agg(F.count(F.lit(1)).alias("_c")), "drawn")
+    found = join_lookup(counts, links, ["profile"]).select("perm", "_c", F.explode("terms").alias("term"))
+    hits = found.groupBy("term", "perm").agg(F.sum("_c").alias("_c"))
     # a term has at most n_perm + 2 rows here
     own = F.when(F.col("perm") == 0, F.col("_c"))
     observed = hits.withColumn("_x", F.coalesce(F.max(own).over(W.partitionBy("term")), F.lit(0)))

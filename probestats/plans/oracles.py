@@ -597,13 +597,20 @@ WITH RECURSIVE {ANNOTATED},
 ix AS (SELECT CpG, row_number() OVER (ORDER BY md5('7:' || CpG), CpG) - 1 AS idx FROM ad),
 sl AS (SELECT CpG FROM ad ORDER BY p_ks, CpG LIMIT 100),
 nk AS (SELECT (SELECT count(*) FROM ad) AS n, (SELECT count(*) FROM sl) AS k),
+gr AS (SELECT n, k, ceil(sqrt(n))::BIGINT AS a, ceil(n / ceil(sqrt(n)))::BIGINT AS b FROM nk),
+-- the first numbers of a permutation of a grid of a times b places, moved on while they lie beyond n
 pk AS (
-  SELECT perm, 0::BIGINT AS s, []::BIGINT[] AS picks FROM (SELECT unnest(range(1, 5001)) AS perm)
+  SELECT perm, x, TRUE AS beyond FROM (SELECT unnest(range(1, 5001)) AS perm) CROSS JOIN (SELECT unnest(range(0, k)) AS x FROM nk)
   UNION ALL
-  SELECT perm, s + 1, list_append(picks, CASE WHEN list_contains(picks, h % (n - k + s + 1)) THEN n - k + s ELSE h % (n - k + s + 1) END)
-  FROM (SELECT *, {_draw("'7'", 'perm', 's')} AS h FROM pk, nk WHERE s < k)
+  SELECT perm, r2 * b + (c1 + {_draw("'7'", 'perm', '3', 'r2')}) % b, r2 * b + (c1 + {_draw("'7'", 'perm', '3', 'r2')}) % b >= n FROM (
+    SELECT *, (r1 + {_draw("'7'", 'perm', '2', 'c1')}) % a AS r2 FROM (
+      SELECT *, (x % b + {_draw("'7'", 'perm', '1', 'r1')}) % b AS c1 FROM (
+        SELECT *, (x // b + {_draw("'7'", 'perm', '0', 'x % b')}) % a AS r1 FROM pk, gr WHERE beyond
+      )
+    )
+  )
 ),
-dr AS (SELECT perm, unnest(picks) AS idx FROM pk, nk WHERE s = k),
+dr AS (SELECT perm, x AS idx FROM pk WHERE NOT beyond),
 tf AS (SELECT DISTINCT term, CpG FROM gs JOIN fg USING (gene)),
 ob AS (SELECT term, count(CpG) AS k_cpg, count(CpG) FILTER (CpG IN (FROM sl)) AS x_obs FROM tm LEFT JOIN tf USING (term) GROUP BY term),
 ct AS (SELECT term, perm, count(*) AS c FROM dr JOIN ix USING (idx) JOIN tf USING (CpG) GROUP BY ALL),
