@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
 from pyspark.ml import Estimator
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
@@ -14,6 +15,7 @@ from probestats.operators.blocks import arrays_by_position
 from probestats.operators.ordered import running_totals
 from probestats.operators.performance import model_columns
 from probestats.operators.stage import stage
+from probestats.operators.trees import ExtraTrees
 
 DEFAULT_GRID = range(1, 501)
 
@@ -36,20 +38,17 @@ def roc_auc(
     )
 
 
-def classifiers(seed: int = 42, trees: int = 100, depth: int = 30, rounds: int = 100) -> dict[str, Callable[[], Estimator]]:
-    """The classifier suite, from MLlib.
+def classifiers(seed: int = 42, trees: int = 100, depth: int = 30, rounds: int = 100) -> dict[str, Callable[[], Estimator | ExtraTrees]]:
+    """The classifier suite, from MLlib, and extremely randomised trees of our own.
 
     Names say what is fitted. MLlib's boosted trees always bin their features, so both boosting variants are
-    binned ones; it has no trees with random split points, and forests on all rows stand in for those. ``depth``
-    is at most 30, which is as deep as MLlib's trees go.
+    binned ones. ``depth`` is at most 30, which is as deep as MLlib's trees go.
     """
     return {
         "RandomForest": lambda: RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed),
         "BinnedBoostingDepth3": lambda: GBTClassifier(maxIter=rounds, maxDepth=3, stepSize=0.1, seed=seed),
         "BinnedBoostingDepth5": lambda: GBTClassifier(maxIter=rounds, maxDepth=5, maxBins=256, stepSize=0.1, seed=seed),
-        "ForestOnAllRows": lambda: RandomForestClassifier(
-            numTrees=trees, maxDepth=depth, bootstrap=False, featureSubsetStrategy="sqrt", seed=seed
-        ),
+        "ExtraTrees": lambda: ExtraTrees(trees, depth, seed),
     }
 
 
@@ -82,7 +81,7 @@ def k_sweep(
     *,
     folds: Sequence[int],
     grid: Sequence[int] = DEFAULT_GRID,
-    models: dict[str, Callable[[], Estimator]] | None = None,
+    models: dict[str, Callable[[], Estimator | ExtraTrees]] | None = None,
     threads: int = 4,
     sink: str | None = None,
 ) -> DataFrame:
@@ -107,12 +106,14 @@ def k_sweep(
         )
 
     def auc_of(ks: Sequence[int]) -> DataFrame:
-        jobs = [(f, m, k) for k in ks for f in folds for m in models]
+        together = {name: model for name in models if isinstance(model := models[name](), ExtraTrees)}
+        jobs = [(f, m, k) for k in ks for f in folds for m in models if m not in together]
         with ThreadPoolExecutor(threads) as pool:
             parts = list(pool.map(held_out_scores, jobs))
-        scores = parts[0]
-        for part in parts[1:]:
-            scores = scores.unionByName(part)
+        for name, model in together.items():  # all folds and sizes at once
+            found = model.held_out_scores(vectors, folds, ks)
+            parts.append(found.select("fold", F.lit(name).alias("model"), "k", "label", "score"))
+        scores = reduce(DataFrame.unionByName, parts)
         # written once: the models are not applied again by every pass of the AUC
         return roc_auc(stage(scores, "held_out"), ["fold", "model", "k"]).select("fold", "model", "k", "auc")
 
