@@ -6,6 +6,8 @@ partitioning or retries, and any engine with md5 gives the same one.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 
@@ -42,14 +44,22 @@ def permuted(x: Column, n: Column, seed: int, *key: Column) -> Column:
     a = F.ceil(F.sqrt(n.cast("double")))
     b = F.ceil(n / a)
 
+    def draw(turn: int, other: Column) -> Column:
+        return draw32(seed, *key, F.lit(turn), other)
+
     def moved(number: Column) -> Column:
-        row, column = F.floor(number / b).cast("bigint"), number % b
-        for turn in range(0, 4, 2):
-            row = (row + draw32(seed, *key, F.lit(turn), column)) % a
-            column = (column + draw32(seed, *key, F.lit(turn + 1), row)) % b
-        return (row * b + column).cast("bigint")
-
-    once = moved(x)
-    walked = F.aggregate(F.sequence(F.lit(1), F.lit(WALKS)), once, lambda at, _: F.when(at < n, at).otherwise(moved(at)))
-    inside = F.when(once < n, once).otherwise(walked)
-    return F.when(inside < n, inside).otherwise(F.raise_error(F.lit("a permuted number stays outside")).cast("bigint"))
+        column = number % b
+        first = (F.floor(number / b).cast("bigint") + draw(0, column)) % a
+        return _named(first, lambda row: _named((column + draw(1, row)) % b, lambda col: _named((row + draw(2, col)) % a, lambda r: r * b + (col + draw(3, r)) % b)))
+
+    def walked(once: Column) -> Column:
+        steps = F.sequence(F.lit(1), F.lit(WALKS))
+        outside = F.raise_error(F.lit("a permuted number stays outside")).cast("bigint")
+        return F.aggregate(steps, once, lambda at, _: F.when(at < n, at).otherwise(moved(at)), lambda at: F.when(at < n, at).otherwise(outside))
+
+    return _named(moved(x), lambda once: F.when(once < n, once).otherwise(walked(once)))
+
+
+def _named(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value worked out once, however often it is used."""
+    return F.get(F.transform(F.array(value.cast("bigint")), lambda v: use(v).cast("bigint")), F.lit(0))

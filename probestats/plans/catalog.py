@@ -349,7 +349,7 @@ def ks_table_betas(spark, d):
 
 @query
 def top_tests(spark, d):
-    tests = twosample.ks_pvalue(twosample.ks_statistic(t.two_groups(spark, d)), method="limit")
+    tests = twosample.ks_pvalue(twosample.ks_statistic(t.two_groups(spark, d)))
     return fdr.top_tests(tests.withColumn("p_ks", F.round("p_ks", 9)), 15).select("feature_pos", r("p_ks"))
 
 
@@ -394,7 +394,7 @@ def box_stats(spark, d):
 @query
 def top_feature_boxes(spark, d):
     rows = t.two_groups(spark, d)
-    tests = twosample.ks_pvalue(twosample.ks_statistic(rows), method="limit").withColumn("p_ks", F.round("p_ks", 9))
+    tests = twosample.ks_pvalue(twosample.ks_statistic(rows)).withColumn("p_ks", F.round("p_ks", 9))
     out = describe.top_feature_boxes(rows, stage(tests, "ks"))
     return out.select("cohort", "feature_pos", "n", *[r(c) for c in ("q1", "median", "q3", "whisker_low", "whisker_high")])
 
@@ -663,15 +663,19 @@ def perm_enrichment(spark, d):
 
 @query
 def run_summary(spark, d):
-    """Heads of the report's tables, one under the other."""
-    tests = twosample.ks_pvalue(twosample.ks_statistic(t.two_groups(spark, d)), method="limit").withColumn("p_ks", F.round("p_ks", 9))
-    perf = _perf(spark, d).withColumn("auc_plot", F.round("auc_plot", 9))
+    """Heads of the report's tables, one under the other; of both modes where there are two."""
+    sources = {"scores": (t.two_groups(spark, d), "score"), "betas": (t.matrix(spark, d), "value")}
+    tests = {mode: twosample.ks_pvalue(twosample.ks_statistic(rows, value=value)).withColumn("p_ks", F.round("p_ks", 9)) for mode, (rows, value) in sources.items()}
+    perf = {"scores": _perf(spark, d), "betas": performance.combine(_main(spark, d))}
+    perf = {mode: rows.withColumn("auc_plot", F.round("auc_plot", 9)) for mode, rows in perf.items()}
     ora_rows = _ora(spark, d)[1].withColumn("p", F.round("p", 9))
     parts = study.run_summary({"term": "nation_1", "top_n": 100}, perf, tests, ora_rows)
     number = {"performance": ("auc_plot", F.concat_ws("/", "model", "k")), "tests": ("p_ks", F.col("feature_pos").cast("string")), "ora": ("p", F.col("term"))}
-    out = parts["parameters"].select(F.lit("parameters").alias("section"), F.concat_ws("=", "name", "value").alias("subject"), F.lit(None).cast("double").alias("number"))
+    none = F.lit(None).cast("string").alias("mode")
+    out = parts["parameters"].select(F.lit("parameters").alias("section"), none, F.concat_ws("=", "name", "value").alias("subject"), F.lit(None).cast("double").alias("number"))
     for section, (value, subject) in number.items():
-        out = out.unionByName(parts[section].select(F.lit(section).alias("section"), subject.alias("subject"), F.round(value, 6).alias("number")))
+        mode = F.col("mode") if "mode" in parts[section].columns else none
+        out = out.unionByName(parts[section].select(F.lit(section).alias("section"), mode, subject.alias("subject"), F.round(value, 6).alias("number")))
     return out
 
 

@@ -325,7 +325,7 @@ WITH RECURSIVE {MATRIX}, v AS (SELECT feature_pos, cohort, CASE WHEN (sample_id
 {KS.format(rows='v')}{WALK}{BH.format(rows='kx')} {_TEST_TABLE}"""
 
 _SQL["top_tests"] = f"""
-WITH {TWO_GROUPS}{KS.format(rows='s')} SELECT feature_pos, {_r('p_ks')} FROM kp ORDER BY round(kp.p_ks, 9), feature_pos LIMIT 15"""
+WITH RECURSIVE {TWO_GROUPS}{KS.format(rows='s')}{WALK} SELECT feature_pos, {_r('p_ks')} FROM kx ORDER BY round(kx.p_ks, 9), feature_pos LIMIT 15"""
 
 _SQL["score_tests"] = f"""
 WITH RECURSIVE {NORMALIZED}{BASELINE}, v AS (SELECT feature_pos, cohort, round(score, 9) AS score FROM z)
@@ -369,8 +369,8 @@ SELECT {by}, n, {_rs('q1', 'median', 'q3', 'whisker_low', 'whisker_high')} FROM
 _SQL["box_stats"] = f"WITH {TWO_GROUPS}, {_boxes('s', 'cohort, feature_pos', 'score')}"
 
 _SQL["top_feature_boxes"] = f"""
-WITH {TWO_GROUPS}{KS.format(rows='s')},
-top AS (SELECT feature_pos FROM kp ORDER BY round(p_ks, 9), feature_pos LIMIT 10),
+WITH RECURSIVE {TWO_GROUPS}{KS.format(rows='s')}{WALK},
+top AS (SELECT feature_pos FROM kx ORDER BY round(p_ks, 9), feature_pos LIMIT 10),
 ts AS (SELECT * FROM s WHERE feature_pos IN (FROM top)), {_boxes('ts', 'cohort, feature_pos', 'score')}"""
 
 
@@ -631,10 +631,14 @@ WITH {CLEAN} SELECT sample_id, feature_pos, round(CAST(CAST(coalesce(sq_err, 0)
 _SQL["neg_log_p"] = f"WITH {ANNOTATED} SELECT feature, round(-log10(p_ks), 6) AS neg_log10_p FROM pt"
 
 _SQL["run_summary"] = f"""
-WITH {TWO_GROUPS}{KS.format(rows='s')}, {COMBINED.replace('cb AS', 'cbx AS')}, {ORA.replace('sl AS', 'slx AS').replace('FROM sl)', 'FROM slx)')},
+WITH RECURSIVE {COMBINED.replace('cb AS', 'cbx AS')}, {ORA.replace('sl AS', 'slx AS').replace('FROM sl)', 'FROM slx)')},
 p1 AS (SELECT model || '/' || k AS subject, round(auc_plot, 9) AS v FROM cbx ORDER BY v DESC, model, k LIMIT 10),
-p2 AS (SELECT feature_pos::VARCHAR AS subject, round(p_ks, 9) AS v FROM kp ORDER BY v, feature_pos LIMIT 15),
+p1b AS (SELECT model || '/' || k AS subject, round(auc_main, 9) AS v FROM mn ORDER BY v DESC, model, k LIMIT 10),
+p2 AS (WITH RECURSIVE {TWO_GROUPS}{KS.format(rows='s')}{WALK} SELECT feature_pos::VARCHAR AS subject, round(p_ks, 9) AS v FROM kx ORDER BY v, feature_pos LIMIT 15),
+p2b AS (WITH RECURSIVE {MATRIX}, v AS (SELECT feature_pos, cohort, value AS score FROM m){KS.format(rows='v')}{WALK}
+        SELECT feature_pos::VARCHAR AS subject, round(p_ks, 9) AS v FROM kx ORDER BY v, feature_pos LIMIT 15),
 p3 AS (SELECT term AS subject, round(p, 9) AS v FROM orx ORDER BY v, term_order LIMIT 20)
-SELECT 'parameters' AS section, unnest(['term=nation_1', 'top_n=100']) AS subject, NULL::DOUBLE AS number
-UNION ALL SELECT 'performance', subject, round(v, 6) FROM p1 UNION ALL SELECT 'tests', subject, round(v, 6) FROM p2
-UNION ALL SELECT 'ora', subject, round(v, 6) FROM p3"""
+SELECT 'parameters' AS section, NULL::VARCHAR AS mode, unnest(['term=nation_1', 'top_n=100']) AS subject, NULL::DOUBLE AS number
+UNION ALL SELECT 'performance', 'scores', subject, round(v, 6) FROM p1 UNION ALL SELECT 'performance', 'betas', subject, round(v, 6) FROM p1b
+UNION ALL SELECT 'tests', 'scores', subject, round(v, 6) FROM p2 UNION ALL SELECT 'tests', 'betas', subject, round(v, 6) FROM p2b
+UNION ALL SELECT 'ora', NULL, subject, round(v, 6) FROM p3"""

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -104,20 +105,34 @@ def enrichment(
     )
 
 
+#: What a study runs on: the scores, and the raw values they come from.
+MODES = ("scores", "betas")
+
+
+def _heads(of_modes: DataFrame | Mapping[str, DataFrame], head: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The head of each mode's table, one under the other; a single table is that of the scores."""
+    tables = {MODES[0]: of_modes} if isinstance(of_modes, DataFrame) else of_modes
+    heads = [head(rows).select(F.lit(mode).alias("mode"), "*") for mode, rows in tables.items()]
+    return reduce(DataFrame.unionByName, heads)
+
+
 def run_summary(
     parameters: dict[str, object],
-    performance_rows: DataFrame | None = None,
-    tests: DataFrame | None = None,
+    performance_rows: DataFrame | Mapping[str, DataFrame] | None = None,
+    tests: DataFrame | Mapping[str, DataFrame] | None = None,
     ora: DataFrame | None = None,
 ) -> dict[str, DataFrame]:
-    """One DataFrame per report section; sections without input are left out."""
-    spark = next(df for df in (performance_rows, tests, ora) if df is not None).sparkSession
+    """One DataFrame per report section; sections without input are left out.
+
+    Performance and tests come by mode (``MODES``): the ten best models and sizes and the 15 smallest p of each.
+    """
+    given = [df for x in (performance_rows, tests, ora) if x is not None for df in ([x] if isinstance(x, DataFrame) else x.values())]
     pairs = [(name, str(value)) for name, value in parameters.items()]
-    sections = {"parameters": spark.createDataFrame(pairs, "name string, value string")}
+    sections = {"parameters": given[0].sparkSession.createDataFrame(pairs, "name string, value string")}
     if performance_rows is not None:
-        sections["performance"] = performance.top_model_k(performance_rows, 10)
+        sections["performance"] = _heads(performance_rows, lambda rows: performance.top_model_k(rows, 10))
     if tests is not None:
-        sections["tests"] = fdr.top_tests(tests, 15)
+        sections["tests"] = _heads(tests, lambda rows: fdr.top_tests(rows, 15))
     if ora is not None:
         sections["ora"] = ora.orderBy("p", "term_order").limit(20)
     return sections
