@@ -27,6 +27,21 @@ def write_matrix(rows: DataFrame, path: str) -> None:
     )
 
 
+def write_bucketed(rows: DataFrame, table: str, *, buckets: int, path: str | None = None) -> DataFrame:
+    """Long matrix as a table of ``buckets`` buckets by feature, each sorted by it. Returns the table as it is read.
+
+    Tables of one number of buckets join by feature, and aggregate by it, where their buckets lie: betas, errors, scores
+    and baselines meet without an exchange. Joins on sample and feature do so as well if the session has
+    ``spark.sql.requireAllClusterKeysForCoPartition`` off. ``path`` places the table outside of the warehouse.
+    """
+    # dealt as the buckets are, so that a bucket is one file
+    writer = rows.repartition(buckets, "feature_pos").write.mode("overwrite").format("parquet").bucketBy(buckets, "feature_pos").sortBy("feature_pos")
+    if path is not None:
+        writer = writer.option("path", path)
+    writer.saveAsTable(table)
+    return rows.sparkSession.table(table)
+
+
 def write_table(rows: DataFrame, path: str, *, export: bool = False) -> None:
     """Result table: Parquet, or CSV with a header for export."""
     writer = rows.write.mode("overwrite")
