@@ -239,6 +239,55 @@ def test_keep_first_of_odd_documents(odd_docs, no_docs):
     assert similar.keep_first(no_docs).count() == 0
 
 
+@pytest.mark.parametrize("number", [0, 10**9])
+def test_no_link_is_missed_where_few_words_repeat(spark, monkeypatch, number):
+    """Fingerprints of such texts are far apart at the threshold; the bands are those of ever more documents."""
+    from random import Random
+
+    bands = similar.bands_for
+    monkeypatch.setattr(similar, "bands_for", lambda n: bands(max(n, number)))
+    rng = Random(5)
+    texts, pairs = {}, []
+    for i in range(40):
+        words = [f"w{rng.randrange(20)}" for _ in range(1000)]
+        longer = words + [f"new{i}x{k}" for k in range(248)]
+        texts |= {2 * i: " ".join(words), 2 * i + 1: " ".join(longer)}
+        a, b = (set(similar.shingle_set(texts[2 * i + k].encode(), 5).tolist()) for k in (0, 1))
+        if len(a & b) >= 0.8 * len(a | b):
+            pairs.append((2 * i, 2 * i + 1))
+    assert len(pairs) > 30
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in similar.similar_groups(docs).collect()}
+    assert got == slow_components(sorted(texts), pairs)
+
+
+@pytest.mark.parametrize("size", [1, 2, 7, 30, 33, 100, 517, 5000])
+def test_prefixes_of_similar_sets_share_enough(size):
+    rng = np.random.default_rng(size)
+    for threshold in (0.8, 0.9):
+        for larger in {size, int(size / threshold)}:
+            # as little in common as the threshold allows, and the differences first in hash order
+            both = next(c for c in range(size + 1) if c >= threshold * (size + larger - c) - 1e-9)
+            for first in (True, False):
+                values = np.sort(rng.choice(2**62, size + larger - both, replace=False).astype(np.uint64))
+                unlike = size + larger - 2 * both
+                other, shared_ = (values[:unlike], values[unlike:]) if first else (values[len(values) - unlike :], values[: len(values) - unlike])
+                a = np.sort(np.r_[other[: size - both], shared_])[: similar.prefix(size, threshold)]
+                b = np.sort(np.r_[other[size - both :], shared_])[: similar.prefix(larger, threshold)]
+                in_both = len(np.intersect1d(a, b))
+                assert in_both >= similar.common(size, threshold)
+                assert similar.common(similar._least(larger, threshold), threshold) <= in_both
+
+
+def test_only_documents_with_rare_shingles_of_other_groups_are_candidates(spark):
+    """Texts that share some of their words, which very many hold, are never compared."""
+    hot = " ".join(f"line{i}" for i in range(60))
+    docs = spark.createDataFrame([(i, hot + " " + " ".join(f"own{i}x{k}" for k in range(340))) for i in range(300)], "doc_id long, text string")
+    rows = similar.prints(docs, 2, 5, 0.8)
+    named = rows.select("key", F.col("doc_id").alias("node"), F.col("doc_id").alias("component_id"))
+    assert similar.unlinked(rows, named, 0.8).count() == 0
+
+
 def test_bands_reach_the_recall():
     for n in (100, 10**6, 10**10):
         bits, bands = similar.bands_for(n)
