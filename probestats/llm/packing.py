@@ -1,13 +1,14 @@
 """Harmonic packing of tokenized documents into sequences of fixed capacity.
 
 Pieces are classed by the reciprocal of their share of the capacity: pieces of class k are at most capacity / k
-and more than capacity / (k + 1) long, and a bin of class k takes exactly k of them. Documents may be cut, so each
-is cut at class limits: full sequences first, then capacity / 2, / 4, ... as its remaining length asks. Every piece
-then fills its share exactly, and a bin of k pieces has no padding.
-
-Workers class and number their own pieces; only the counts per worker and class (a few numbers each) are added up,
-and then each worker knows the bins of its pieces. What is left in a class (fewer than k pieces) is laid into
-sequences of 2^b pieces, whose lengths are powers of two and need no padding.
+and more than capacity / (k + 1) long, and a bin of class k takes exactly k of them. Of a document full sequences are
+cut off first. A tail that would leave much of its share empty is cut once or twice at the upper limit of some class
+(``cut_plan``), and the last part goes to the class it belongs to.
+
+Workers fill bins of their own with a fixed number of pieces each and know sequence and offset at once. What is left
+open at their ends (fewer than k pieces a class) is numbered over all workers by adding up counts, a few numbers for
+each worker, and fills bins of k again. Fewer than k pieces a class remain then in the whole, a number that depends on
+the capacity alone; they are laid first-fit, longest first.
 """
 
 from __future__ import annotations
@@ -115,80 +116,149 @@ def tokenizer(path: str) -> WordTokenizer:
     return WordTokenizer(path)
 
 
+@cache
+def cut_plan(capacity: int, most: int = 2) -> list[list[int]]:
+    """For up to ``most`` cuts, and then for fewer: the length to cut off the front of each length below ``capacity``, a class limit, or 0 for none.
+
+    A piece of class k wastes the difference to capacity / k. Cuts are made where each saves more than a 256th of the
+    capacity.
+    """
+    length = np.arange(1, capacity + 1)
+    plain = np.r_[0, capacity / (capacity // length) - length]
+    limits = np.unique(capacity // length)[:-1]
+    cost, plans = plain, []
+    for _ in range(most):
+        before, cost, first = cost, plain.copy(), np.zeros(capacity + 1, np.int64)
+        for limit in limits.tolist():
+            rest = np.arange(limit + 1, capacity)
+            with_cut = plain[limit] + before[rest - limit] + capacity / 256
+            better = with_cut < cost[rest]
+            first[rest[better]], cost[rest[better]] = limit, with_cut[better]
+        plans.insert(0, first[:capacity].tolist())
+    return plans
+
+
 def cuts(n: int, capacity: int) -> list[int]:
-    """Lengths of a document's pieces: full sequences, then the binary digits of the rest, largest first."""
+    """Lengths of a document's pieces: full sequences, then the tail in one to three."""
     rest = n % capacity
-    return [capacity] * (n // capacity) + [1 << b for b in reversed(range(rest.bit_length())) if rest >> b & 1]
+    out = [capacity] * (n // capacity)
+    for plan in cut_plan(capacity):
+        if plan[rest]:
+            out.append(plan[rest])
+            rest -= plan[rest]
+    return [*out, rest] if rest else out
+
+
+PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
+NAMES = [c.split()[0] for c in PIECE.split(", ")]
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int, keep_ids: bool = False) -> DataFrame:
-    """Every document's pieces, with the worker that cut them and their number among its pieces of that length."""
+    """Every document's pieces with class ``k``, worker, sequence_id and offset. In a worker's open bins sequence_id is NULL and ``nth`` counts its pieces of the class."""
 
     def batches(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenize = tokenizer(tokenizer_path)
-        worker, counts = TaskContext.get().partitionId(), {}
+        worker, bins = TaskContext.get().partitionId(), 0
+        held: dict[int, list[tuple]] = {}  # the open bins: fewer than k pieces each
         for batch in parts(found, "text"):
             ids, sizes = tokenize(batch.column("text"))
             ids = ids.astype("<u4", copy=False)
-            rows, kept, at = [], [], 0
+            rows, size, at = [], 0, 0
             for doc, n in zip(batch.column("doc_id").to_pylist(), sizes.tolist(), strict=True):
                 start = 0
                 for length in cuts(n, capacity):
                     piece = ids[at + start : at + start + length]
-                    nth = counts[length] = counts.get(length, -1) + 1
-                    rows.append((doc, start, length, zlib.crc32(piece), n, worker, nth))
-                    if keep_ids:
-                        kept.append(piece)
+                    k = capacity // length
+                    bin_ = held.setdefault(k, [])
+                    bin_.append((doc, start, length, zlib.crc32(piece), n, piece.copy() if keep_ids else None))
                     start += length
+                    if len(bin_) == k:
+                        offset = 0
+                        for nth, p in enumerate(held.pop(k)):
+                            rows.append((*p[:5], k, worker, nth, (bins << 22 | worker) * 4, offset, p[5]))
+                            offset += p[2]
+                        bins, size = bins + 1, size + offset
                 at += n
-                if keep_ids and len(kept) > 50_000:
-                    yield _as_batch(rows, kept)
-                    rows, kept = [], []
+                if keep_ids and size > 1_000_000:
+                    yield _as_batch(rows, keep_ids)
+                    rows, size = [], 0
             if rows:
-                yield _as_batch(rows, kept if keep_ids else None)
+                yield _as_batch(rows, keep_ids)
+        rows = [(*p[:5], k, worker, nth, None, None, p[5]) for k, bin_ in held.items() for nth, p in enumerate(bin_)]
+        if rows:
+            yield _as_batch(rows, keep_ids)
 
-    kind = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, worker long, nth long" + (", ids array<int>" if keep_ids else "")
+    kind = f"{PIECE}, k long, worker long, nth long, sequence_id long, offset long" + (", ids array<int>" if keep_ids else "")
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(batches, kind)
 
 
-def _as_batch(rows: list[tuple], kept: list[np.ndarray] | None) -> pa.RecordBatch:
-    columns = [pa.array(c, pa.int64()) for c in zip(*rows, strict=True)]
-    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "worker", "nth"]
-    if kept is not None:
+def _as_batch(rows: list[tuple], keep_ids: bool) -> pa.RecordBatch:
+    *columns, kept = zip(*rows, strict=True)
+    arrays = [pa.array(c, pa.int64()) for c in columns]
+    names = [*NAMES, "k", "worker", "nth", "sequence_id", "offset"]
+    if keep_ids:
         ends = np.r_[0, np.cumsum([len(x) for x in kept])].astype(np.int32)
-        columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(kept).astype(np.int32))))
+        arrays.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(kept).astype(np.int32))))
         names.append("ids")
-    return pa.RecordBatch.from_arrays(columns, names)
+    return pa.RecordBatch.from_arrays(arrays, names)
+
+
+def first_fit(lengths: list[int], capacity: int) -> list[tuple[int, int]]:
+    """(bin, offset) of each piece: the longest first, each in the first bin with room for it."""
+    used: list[int] = []
+    out = [(0, 0)] * len(lengths)
+    for i in sorted(range(len(lengths)), key=lambda i: -lengths[i]):
+        bin_ = next((b for b, u in enumerate(used) if u + lengths[i] <= capacity), len(used))
+        if bin_ == len(used):
+            used.append(0)
+        out[i] = (bin_, used[bin_])
+        used[bin_] += lengths[i]
+    return out
+
+
+def _rest(rows: DataFrame, capacity: int) -> DataFrame:
+    """Sequences of the last pieces of all classes: fewer than k each, so a few thousand in all."""
+
+    def batches(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in found if b.num_rows]
+        if not held:
+            return
+        all_ = pa.Table.from_batches(held).sort_by([("k", "ascending"), ("at", "ascending")])
+        placed = first_fit(all_.column("length").to_pylist(), capacity)
+        all_ = all_.drop_columns(["k", "at"])
+        all_ = all_.add_column(5, "sequence_id", pa.array([b * 4 + 2 for b, _ in placed], pa.int64()))
+        yield from all_.add_column(6, "offset", pa.array([o for _, o in placed], pa.int64())).combine_chunks().to_batches()
+
+    kind = f"{PIECE}, sequence_id long, offset long" + (", ids array<int>" if "ids" in rows.columns else "")
+    return rows.repartition(1).mapInArrow(batches, kind)
 
 
 def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, keep_ids: bool = False) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset (and ``ids``). Runs jobs.
 
-    ``capacity`` must be a power of two. No sequence needs padding.
+    ``capacity`` must be a power of two. Sequences are at most that long; what is missing is padding.
 
     NULL and empty texts are the closing id alone. Repeated rows are packed each. A NULL doc_id stays NULL. Other
     columns are ignored. An empty table gives no rows.
     """
     if capacity & (capacity - 1):
         raise ValueError("capacity must be a power of two")
+    kept = ["ids"] if keep_ids else []
+    out = [*NAMES, "sequence_id", "offset", *kept]
     found = stage(pieces(docs, tokenizer_path, capacity, keep_ids), "pieces")
-    counts = found.groupBy("length", "worker").agg(F.count("*").alias("n"))
-    by_class = Window.partitionBy("length")
+    left = found.where("sequence_id IS NULL")
+    counts = left.groupBy("k", "worker").agg(F.count("*").alias("n"))
+    by_class = Window.partitionBy("k")
     earlier = by_class.orderBy("worker").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.select("length", "worker", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"), F.sum("n").over(by_class).alias("all"))
-    placed = found.join(small(stage(counts, "counts")), ["length", "worker"]).withColumn("at", F.col("before") + F.col("nth"))
-    per_bin = F.expr(f"{capacity} div length")
-    placed = placed.withColumn("k", per_bin).withColumn("bin", F.expr("at div k")).withColumn("slot", F.expr("at % k"))
-    placed = placed.withColumn("left", F.when((F.col("bin") + 1) * F.col("k") > F.col("all"), F.expr("all % k")))
-    # the last bin's pieces: 2^b of them together for each binary digit b of their number, most significant first
-    digits = list(reversed(range(capacity.bit_length() - 1)))
-    chunk = F.coalesce(*(F.when(F.col("slot") < F.shiftleft(F.shiftright("left", b), b), F.lit(b)) for b in digits))
-    start = F.coalesce(*(F.when(F.col("chunk") == b, F.shiftleft(F.shiftright("left", b + 1), b + 1)) for b in digits), F.lit(0))
-    placed = placed.withColumn("chunk", chunk).withColumn("first", start)
-    classes = capacity.bit_length()
-    sequence = (F.col("bin") * classes + F.log2("k").cast("long")) * classes + F.coalesce(F.col("chunk") + 1, F.lit(0))
-    out = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", sequence.alias("sequence_id"), ((F.col("slot") - F.col("first")) * F.col("length")).alias("offset")]
-    return placed.select(*out, *(["ids"] if keep_ids else []))
+    counts = counts.select("k", "worker", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"), F.sum("n").over(by_class).alias("all"))
+    left = left.drop("sequence_id", "offset").join(small(stage(counts, "counts")), ["k", "worker"])
+    left = left.withColumn("at", F.col("before") + F.col("nth")).withColumn("bin", F.expr("at div k"))
+    whole = (F.col("bin") + 1) * F.col("k") <= F.col("all")
+    before = Window.partitionBy("k", "bin").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)  # k pieces
+    filled = left.where(whole).withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0)))
+    filled = filled.withColumn("sequence_id", (F.col("bin") * (capacity + 1) + F.col("k")) * 4 + 1)
+    rest = _rest(left.where(~whole).select(*NAMES, *kept, "k", "at"), capacity)
+    return found.where("sequence_id IS NOT NULL").select(out).union(filled.select(out)).union(rest.select(out))
 
 
 def sequences(packed: DataFrame) -> DataFrame:
