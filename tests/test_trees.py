@@ -98,3 +98,29 @@ def test_trees_equal_the_recursive_ones(spark, depth):
             trees = [grown(x, y, held, k, fold, tree, model) for tree in range(model.trees)]
             want = sorted((int(y[i]), round(sum(t[i] for t in trees) / model.trees, 9)) for i in np.flatnonzero(held))
             assert sorted((r["label"], round(r["score"], 9)) for r in found if (r["fold"], r["k"]) == (fold, k)) == want
+
+
+def _noise(spark, n=240, k=4):
+    rng = np.random.default_rng(5)
+    x, y = np.round(rng.normal(size=(n, k)), 2), rng.integers(0, 2, n)
+    data = [(1, int(y[i]), i % 4 == 0, x[i].tolist()) for i in range(n)]
+    return spark.createDataFrame(data, "model_fold int, label int, held_out boolean, values array<double>").repartition(4)
+
+
+def test_small_nodes_are_finished_by_one_task(spark, monkeypatch):
+    """Trees of noise are deep; written tables, and so jobs, must not follow their depth."""
+    from probestats.operators import trees
+
+    names, plain = [], trees.stage
+    monkeypatch.setattr(trees, "stage", lambda df, name: (names.append(name), plain(df, name))[1])
+    assert ExtraTrees(trees=2, seed=4).held_out_scores(_noise(spark), (1,), (4,)).count() == 60
+    assert len(names) <= 4
+
+
+def test_trees_do_not_depend_on_who_grows_a_node(spark):
+    vectors = _noise(spark)
+    found = []
+    for few_rows in (0, 30, 10_000):  # level by level, mixed, at once
+        rows = ExtraTrees(trees=2, depth=7, seed=4, few_rows=few_rows).held_out_scores(vectors, (1,), (4,)).collect()
+        found.append(sorted((r["label"], round(r["score"], 9)) for r in rows))
+    assert len(found[0]) == 60 and found[0] == found[1] == found[2]
