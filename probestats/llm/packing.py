@@ -31,6 +31,8 @@ from probestats.operators.stage import stage
 
 END = 1  # closes every document
 PLAIN_MARKS = ".,;:!?"
+#: Words that are tokenized in one call: what the tokenizer returns takes some 1,000 bytes a word.
+CALL_WORDS = 4096
 DIGEST = np.dtype([("a", "<u8"), ("b", "<u8")])
 
 
@@ -53,7 +55,7 @@ class WordTokenizer:
 
     def _forget(self) -> None:
         self._keys = np.empty(0, DIGEST)  # sorted by their first half
-        self._start, self._size = np.empty(0, np.int64), np.empty(0, np.int64)
+        self._start, self._size = np.empty(0, np.int64), np.empty(0, np.int32)
         self._flat = np.empty(0, np.uint32)
 
     def _places(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -65,10 +67,15 @@ class WordTokenizer:
                 self._forget()
                 known = np.zeros(len(keys), bool)
             new = np.flatnonzero(~known)
-            ids = [e.ids for e in self._tokenizer.encode_batch_fast([words[i] for i in new], add_special_tokens=False)]
-            size = np.fromiter(map(len, ids), np.int64, len(ids))
+            sizes, found = [], [self._flat]
+            for at in range(0, len(new), CALL_WORDS):
+                some = [words[i] for i in new[at : at + CALL_WORDS].tolist()]
+                ids = [e.ids for e in self._tokenizer.encode_batch_fast(some, add_special_tokens=False)]
+                sizes.append(np.fromiter(map(len, ids), np.int32, len(ids)))
+                found.append(np.fromiter(chain.from_iterable(ids), np.uint32))
+            size = np.concatenate(sizes)
             start = len(self._flat) + np.cumsum(size) - size
-            self._flat = np.concatenate([self._flat, np.fromiter(chain.from_iterable(ids), np.uint32)])
+            self._flat = np.concatenate(found)
             order = np.argsort(keys["a"][new], kind="stable")
             where = np.searchsorted(self._keys["a"], keys["a"][new][order])
             self._keys = np.insert(self._keys, where, keys[new][order])
@@ -88,18 +95,23 @@ class WordTokenizer:
         split = pc.ascii_split_whitespace(texts.fill_null("").cast(pa.large_string()))
         coded = split.flatten().dictionary_encode()
         parts_: dict[str, int] = {"": 0}
-        halves = [(parts_.setdefault(c, len(parts_)), parts_.setdefault(t, len(parts_))) for c, t in map(_halves, coded.dictionary.to_pylist())]
+        halves = np.fromiter((parts_.setdefault(half, len(parts_)) for w in coded.dictionary.to_pylist() for half in _halves(w)), np.int32)
         start, size = self._places(list(parts_))
+        del parts_
         flat = np.append(self._flat, np.uint32(END))
-        start, size = np.append(start, len(flat) - 1), np.append(size, 1)
+        start, size = np.append(start, len(flat) - 1), np.append(size, np.int32(1))
         ends = np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False))
-        words = coded.indices.to_numpy(zero_copy_only=False)
-        items = np.array(halves, np.int64).reshape(-1, 2)[words].ravel()
+        items = halves.reshape(-1, 2)[coded.indices.to_numpy(zero_copy_only=False)].ravel()
+        del split, coded, halves
         items = np.insert(items, 2 * ends, len(start) - 1)
         n = size[items]
-        upto = np.cumsum(n)
-        ids = flat[np.repeat(start[items] - (upto - n), n) + np.arange(upto[-1] if len(upto) else 0)]
-        return ids, np.diff(np.r_[0, upto[2 * ends + np.arange(len(ends))]])
+        upto = np.cumsum(n)  # 64 bits: a text may have any length
+        sizes = np.diff(np.r_[0, upto[2 * ends + np.arange(len(ends))]])
+        kind = np.int32 if max(len(flat), sizes.sum()) < 1 << 30 else np.int64
+        where = np.repeat(start.astype(kind)[items] - (upto - n).astype(kind), n)
+        del items, n, upto
+        where += np.arange(len(where), dtype=kind)
+        return flat[where], sizes
 
 
 def _halves(word: str) -> tuple[str, str]:
@@ -160,7 +172,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int, keep_ids: bool =
         tokenize = tokenizer(tokenizer_path)
         worker, bins = TaskContext.get().partitionId(), 0
         held: dict[int, list[tuple]] = {}  # the open bins: fewer than k pieces each
-        for batch in parts(found, "text"):
+        for batch in parts(found, "text", 2_000_000):  # the worker may hold other stages' memory
             ids, sizes = tokenize(batch.column("text"))
             ids = ids.astype("<u4", copy=False)
             rows, size, at = [], 0, 0

@@ -486,3 +486,26 @@ def test_tokens_of_a_slice():
     hashes, _, numbers, ends = maxent.tokens(texts)
     want = [xxhash.xxh64_intdigest(w) for w in ("É".encode(), b"ab", b"ab", b"ab", "éé x".encode())]
     assert hashes[numbers].view(np.uint64).tolist() == [*want, 0, 0, 0] and ends.tolist() == [6, 7, 8]
+
+
+def test_tokenizer_gets_few_words_a_call():
+    """What the tokenizer returns takes much memory a word, so a slice of new words must not go to it at once."""
+    import public_tokenizers
+    import pyarrow as pa
+
+    from probestats.llm import packing
+
+    tokenize = packing.WordTokenizer(public_tokenizers.path("word_bpe_49k.json"))
+    plain, calls = tokenize._tokenizer, []
+
+    class Counted:
+        def encode_batch_fast(self, words, **how):
+            calls.append(len(words))
+            return plain.encode_batch_fast(words, **how)
+
+    tokenize._tokenizer = Counted()
+    texts = [" ".join(f"w{i}x{j}." for j in range(500)) for i in range(20)] + [None, ""]
+    ids, sizes = tokenize(pa.array(texts, pa.string()))
+    want = [[*plain.encode(t or "", add_special_tokens=False).ids, 1] for t in texts]
+    assert sizes.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+    assert sum(calls) > 10_000 and max(calls) <= 5000
