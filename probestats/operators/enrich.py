@@ -140,18 +140,22 @@ def top_terms(ora: DataFrame, n: int = 20) -> DataFrame:
 
 
 def _with_profile(annotated: DataFrame) -> DataFrame:
-    """Features with the sorted text of their genes: those with equal genes hit the same terms."""
+    """CpG, ``profile`` and ``genes``: features with equal sets of genes hit the same terms.
+
+    The profile is a digest, so that what is carried by every gene and draw has 16 bytes, however many genes there are.
+    """
     genes = F.array_sort(F.array_distinct(F.transform("genes", F.upper)))
-    return annotated.select("CpG", F.array_join(genes, ";").alias("profile"))
+    return annotated.select("CpG", F.unhex(F.md5(F.array_join(genes, ";"))).alias("profile"), genes.alias("genes"))
 
 
-def _term_profiles(profiles: DataFrame, gene_sets: DataFrame) -> DataFrame:
+def _term_profiles(features: DataFrame, gene_sets: DataFrame) -> DataFrame:
     """profile, ``terms``: the terms that share a gene with it. One row per profile that has some.
 
     Terms are gathered by gene and then by profile, at most all terms there are, so that a gene or profile that many
     rows have meets one row, which a hot key's rows get by broadcast.
     """
-    genes = profiles.where(F.col("profile") != "").select("profile", F.explode(F.split("profile", ";")).alias("gene"))
+    profiles = stage(features.groupBy("profile").agg(F.first("genes").alias("genes")), "profiles")  # read twice
+    genes = profiles.select("profile", F.explode("genes").alias("gene")).where("gene <> ''")
     by_gene = _upper_sets(gene_sets).groupBy("gene").agg(F.collect_list("term").alias("terms"))
     hits = join_lookup(genes, by_gene, ["gene"]).select("profile", F.explode("terms").alias("term"))
     return hits.groupBy("profile").agg(F.collect_set("term").alias("terms"))
@@ -160,8 +164,8 @@ def _term_profiles(profiles: DataFrame, gene_sets: DataFrame) -> DataFrame:
 def term_incidence(annotated: DataFrame, gene_sets: DataFrame) -> DataFrame:
     """(term, CpG) wherever they share a gene."""
     features = _with_profile(annotated)
-    links = _term_profiles(features.select("profile").distinct(), gene_sets)
-    return join_lookup(features, links, ["profile"]).select(F.explode("terms").alias("term"), "CpG")
+    links = stage(_term_profiles(features, gene_sets), "links")
+    return join_lookup(features.drop("genes"), links, ["profile"]).select(F.explode("terms").alias("term"), "CpG")
 
 
 def permutation_draws(spark, n_perm: int, size: Column, universe: Column, *, seed: int = 7) -> DataFrame:
@@ -190,7 +194,8 @@ def permutation_enrichment(
     shuffled = features.withColumn("_draw", draw_key(seed, F.col("CpG")))
     keyed = row_ranks(shuffled, [], "_draw", ["CpG"], cells=[draw_cell(F.col("_draw"))], few_cells=True)
     indexed = keyed.select((F.col("row_rank") - 1).alias("idx"), "profile")
-    links = _term_profiles(features.select("profile").distinct(), gene_sets)
+    links = stage(_term_profiles(features, gene_sets), "links")
+    features = features.drop("genes")
     draws = permutation_draws(
         spark,
         n_perm,

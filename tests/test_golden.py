@@ -352,3 +352,10 @@ def test_permutations(spark):
     assert out["u"].mean_perm == pytest.approx(k * 20 / n, abs=0.3)
     assert (out["v"].mean_perm, out["v"].sd_perm, out["v"].p_emp) == (0, 0, 1)
     assert all(r.fdr_emp >= r.p_emp for r in out.values())
+
+
+def test_profiles_are_short(spark):
+    """What every gene and draw of a feature carries does not grow with its genes."""
+    rows = spark.createDataFrame([("cg1", [f"gene{i}" for i in range(500)]), ("cg2", [f"GENE{i}" for i in range(499, -1, -1)]), ("cg3", [])], "CpG string, genes array<string>")
+    found = {r["CpG"]: bytes(r["profile"]) for r in enrich._with_profile(rows).collect()}
+    assert {len(p) for p in found.values()} == {16} and found["cg1"] == found["cg2"] != found["cg3"]
