@@ -11,6 +11,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 #: Rows up to which a side is broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 200_000
+#: Bytes up to which rows go to Python in one Arrow batch. Spark takes 64 MB, or 10,000 rows; the executor's writer and
+#: the worker each hold such a batch, and parts of it a second time.
+BATCH_BYTES = 4_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,11 +40,18 @@ def give_back() -> None:
     _trim()(0)
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """From now on the session's batches for Python end at ``BATCH_BYTES``; a row is never cut."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def parts(batches: Iterator[pa.RecordBatch], text: str, chars: int = 4_000_000) -> Iterator[pa.RecordBatch]:
     """The same rows in slices with about ``chars`` bytes of text, so that memory follows the text, not the rows.
 
-    A row is never cut: one text of any length is one slice at least.
+    A row is never cut: one text of any length is one slice at least. What a worker's earlier tasks have freed goes back
+    to the system before the first slice.
     """
+    give_back()
     for batch in batches:
         if not batch.num_rows:
             continue
