@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from probestats.functions.missing import finite_or_null
 from probestats.functions.tails import kolmogorov_tail
 from probestats.operators.ordered import join_lookup, running_totals
+from probestats.operators.stage import stage
 
 EXACT_UP_TO = 10_000
 #: Numbers of one walk's arrays, which a core's cache should hold.
@@ -199,7 +200,8 @@ def ks_pvalue(
     auto    exact while both sides have at most ``exact_up_to`` values, finite beyond
     limit   the limit law of the distance, as a plain expression
 
-    All but ``limit`` run once per distinct (n_case, n_ctrl, gap), spread over ``tasks`` tasks.
+    All but ``limit`` run once per distinct (n_case, n_ctrl, gap), spread over ``tasks`` tasks. They run jobs: ``stats``, one
+    row per test, are written once, as they are read three times and each reading would sort all values again.
     """
     if method not in ("auto", "exact", "finite", "limit"):
         raise ValueError(f"unknown method: {method}")
@@ -207,6 +209,7 @@ def ks_pvalue(
         return stats.withColumn("p_ks", kolmogorov_tail(F.col("d"), F.col("n_case"), F.col("n_ctrl")))
 
     key = ["n_case", "n_ctrl", "gap"]
+    stats = stage(stats, "ks_statistics")
     tested = stats.where(F.col("gap").isNotNull())
     exact = F.greatest("n_case", "n_ctrl") <= exact_up_to if method == "auto" else F.lit(method == "exact")
     tasks = tasks or int(stats.sparkSession.conf.get("spark.sql.shuffle.partitions"))

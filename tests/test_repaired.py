@@ -134,3 +134,20 @@ def test_the_full_sweep_is_the_default():
     assert list(evaluate.DEFAULT_GRID) == list(range(1, 501))
     suite = evaluate.classifiers()
     assert len(suite) == 4 and suite["RandomForest"]().getMaxDepth() == 30 and suite["RandomForest"]().getNumTrees() == 100
+
+
+@pytest.mark.parametrize("method", ["auto", "exact", "finite"])
+def test_ks_statistics_are_worked_out_once(spark, method):
+    """The statistics stand for a sort of all values, which p-values must not repeat for each of their readings."""
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    rows = [(i, 5, 7, i if i else None, i / 35 if i else None) for i in range(20)]
+    plain = spark.createDataFrame(rows, "feature_pos long, n_case long, n_ctrl long, gap long, d double")
+    stats = plain.mapInArrow(counted, plain.schema)
+    found = {r["feature_pos"]: r["p_ks"] for r in twosample.ks_pvalue(stats, method=method).collect()}
+    assert made.value == len(rows) == len(found) and found[0] is None and all(0 <= p <= 1 for i, p in found.items() if i)
