@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from probestats.llm.components import components
-from probestats.llm.shared import parts
+from probestats.llm.shared import parts, small
 from probestats.operators.stage import stage
 
 BITS = 64
@@ -147,17 +147,19 @@ def links_in_blocks(fps: np.ndarray, sizes: np.ndarray, radius: int) -> np.ndarr
     return np.array(found, np.int64).reshape(-1, 2)
 
 
-def deal(rows: DataFrame, by: list[str], most: int, spread: str) -> DataFrame:
+def deal(rows: DataFrame, by: list[str], most: int, spread: str, lone: bool = False) -> DataFrame:
     """Rows in groups (``by``, p, q) of about ``most`` at most, in which any two rows of a key meet. Single rows go.
 
     A larger key is dealt by a hash of ``spread`` into parts of about half of that, and every two parts are a group,
-    so no task's memory follows a key's size and no pair is missed.
+    so no task's memory follows a key's size and no pair is missed. With ``lone`` single rows stay, and only larger keys
+    are looked up, which are few, so that rows are not shuffled here (this runs a job): for keys that seldom stand alone.
     """
-    sizes = rows.groupBy(*by).agg(F.count("*").alias("_n")).where("_n > 1")
+    sizes = rows.groupBy(*by).agg(F.count("*").alias("_n")).where(F.col("_n") > (most if lone else 1))
     cut = F.when(F.col("_n") <= most, 1).otherwise(F.ceil(F.col("_n") / (most // 2))).cast("int")
     mine = F.pmod(F.xxhash64(spread, F.lit(7)), F.col("_cut")).cast("int")
     others = F.when(F.col("_cut") == 1, F.array(F.lit(0))).otherwise(F.array_except(F.sequence(F.lit(0), F.col("_cut") - 1), F.array(F.col("_mine"))))
-    dealt = rows.join(sizes, by).withColumn("_cut", cut).withColumn("_mine", mine).withColumn("_other", F.explode(others))
+    dealt = rows.join(small(stage(sizes, "sizes")), by, "left") if lone else rows.join(sizes, by)
+    dealt = dealt.withColumn("_cut", F.coalesce(cut, F.lit(1)) if lone else cut).withColumn("_mine", mine).withColumn("_other", F.explode(others))
     return dealt.withColumn("p", F.least("_mine", "_other")).withColumn("q", F.greatest("_mine", "_other")).drop("_n", "_cut", "_mine", "_other")
 
 
@@ -167,12 +169,13 @@ def grouped(rows: DataFrame, by: list[str]) -> DataFrame:
     return rows.repartition(tasks, *by).sortWithinPartitions(*by)
 
 
-def links(keyed: DataFrame, radius: int, block: int) -> DataFrame:
+def links(keyed: DataFrame, radius: int, block: int, lone: bool = False) -> DataFrame:
     """Links (a, b) between ``node``s that share a block (choice, bits), with all components of the full relation.
 
-    ``keyed`` has a row for each node and block, with the fingerprint's words in ``words`` (array<long>).
+    ``keyed`` has a row for each node and block, with the fingerprint's words in ``words`` (array<long>). ``lone`` is
+    that of ``deal``.
     """
-    dealt = deal(keyed, ["choice", "bits"], block, "node")
+    dealt = deal(keyed, ["choice", "bits"], block, "node", lone)
     by = ["choice", "bits", "p", "q"]
 
     def out(rows: np.ndarray) -> pa.RecordBatch:
@@ -180,6 +183,8 @@ def links(keyed: DataFrame, radius: int, block: int) -> DataFrame:
         sizes = np.diff(np.r_[starts, len(rows)])
         order = np.argsort(-sizes, kind="stable")
         order = order[sizes[order] > 1]
+        if not len(order):
+            return pa.RecordBatch.from_arrays([pa.array([], pa.int64())] * 2, ["a", "b"])
         sizes, starts = sizes[order], starts[order]
         at = np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
         linked = links_in_blocks(rows[at, 5:].view(np.uint64), sizes, radius)

@@ -309,6 +309,55 @@ def test_only_documents_with_rare_shingles_of_other_groups_are_candidates(spark)
     assert similar.unlinked(rows, named, 0.8).count() == 0
 
 
+def test_prefixes_are_shuffled_once(spark, monkeypatch):
+    """Also where no side of a join is small, rows of shingles meet once, and not before that."""
+    texts = [" ".join(f"word{i}x{k}" for k in range(60)) + f" the end {i % 7} of all is said" for i in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found, stage = [], similar.stage
+    monkeypatch.setattr(similar, "small", lambda df, rows=0: df)
+    monkeypatch.setattr(similar, "stage", lambda df, name: found.append((name, df._jdf.queryExecution().executedPlan().toString())) or stage(df, name))
+    made = stage(similar.prints(docs, 2, 5, 0.8), "prints")
+    similar.unlinked(made, made.select("key", F.col("doc_id").alias("node"), F.col("doc_id").alias("component_id")), 0.8)
+    assert found and sum(plan.count("Exchange hashpartitioning(shingle") for name, plan in found if name not in ("hot", "met")) == 1
+
+
+@pytest.mark.parametrize("least", [1, 3])
+def test_frequent_shingles_make_the_same_candidates(spark, monkeypatch, least):
+    """Counted before the shuffle or after it; of two copies one counts, and a group's own shingles are none."""
+    common = " ".join(f"line{i}" for i in range(60))
+    texts = {i: common + " " + " ".join(f"own{i // 2 if i < 40 else i}x{k}" for k in range(20 + i % 3)) for i in range(400)} | {400: common + " a", 401: common + " a"}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    rows_ = similar.stage(similar.prints(docs, 2, 5, 0.8), "prints")
+    nodes = rows_.groupBy("key").agg(F.min("doc_id").alias("node"))
+    named = similar.stage(nodes.withColumn("component_id", F.when(F.col("node") < 20, F.expr("node div 2 * 2")).otherwise(F.col("node"))), "named")
+    monkeypatch.setattr(similar, "HOT_COUNT", 10**9)
+    want = sorted(rows(similar.unlinked(rows_, named, 0.8)), key=str)
+    monkeypatch.setattr(similar, "HOT_COUNT", least)
+    assert want and sorted(rows(similar.unlinked(rows_, named, 0.8)), key=str) == want
+    assert 401 not in {r["node"] for r in want}
+
+
+def test_rows_a_document_do_not_grow_with_the_number_of_documents(spark, monkeypatch, no_docs):
+    seen, banded, bands = [], similar._banded, similar.bands_for
+    monkeypatch.setattr(similar, "bands_for", lambda n: bands(15_000_000))
+    monkeypatch.setattr(similar, "_banded", lambda nodes, bits, n: seen.append((bits, n)) or banded(nodes, bits, n))
+    similar.similar_groups(no_docs.select("doc_id", "text"))
+    assert seen == [(18, similar.MOST_BANDS)] and similar.MOST_BANDS >= bands(250_000)[1]
+
+
+@pytest.mark.parametrize("most", [32, 4096])
+def test_blocks_with_lone_rows_are_shuffled_once(spark, most):
+    chain = [(1 << (i % 20)) ^ (i // 20 << 40) for i in range(300)]
+    nodes = spark.createDataFrame([(c - 2**63, 0) for c in chain] + [(c - 2**63, 1 + i) for i, c in enumerate(chain)], "node long, bits long")
+    keyed = similar.stage(nodes.withColumn("words", F.array("node")).withColumn("choice", F.lit(0)), "keyed")
+    found = simhash.links(keyed, 3, most, lone=True)
+    assert found._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    got = {tuple(sorted((r["a"], r["b"]))) for r in found.collect()}
+    want = slow_components(chain, [(a, b) for i, a in enumerate(chain) for b in chain[i + 1 :] if (a ^ b).bit_count() <= 3])
+    assert slow_components(chain, [(a + 2**63, b + 2**63) for a, b in got]) == want
+    assert simhash.links(keyed.where("bits > 0"), 3, most, lone=True).count() == 0
+
+
 def test_bands_reach_the_recall():
     for n in (100, 10**6, 10**10):
         bits, bands = similar.bands_for(n)
