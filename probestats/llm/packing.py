@@ -33,6 +33,8 @@ END = 1  # closes every document
 PLAIN_MARKS = ".,;:!?"
 #: Words that are tokenized in one call: what the tokenizer returns takes some 1,000 bytes a word.
 CALL_WORDS = 4096
+#: Words of letters that are one text of such a call, which takes less than half the time of as many texts.
+TEXT_WORDS = 64
 DIGEST = np.dtype([("a", "<u8"), ("b", "<u8")])
 
 
@@ -51,6 +53,12 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self._tokenizer, self._most = Tokenizer.from_file(path), most
+        suffix = getattr(self._tokenizer.model, "end_of_word_suffix", None)
+        self._closes = None  # of tokenizers that mark a word's last token: whether an id is such a token's
+        if suffix:
+            vocab = self._tokenizer.get_vocab()
+            self._closes = np.zeros(max(vocab.values()) + 1, bool)
+            self._closes[[i for token, i in vocab.items() if token.endswith(suffix)]] = True
         self._forget()
 
     def _forget(self) -> None:
@@ -67,15 +75,13 @@ class WordTokenizer:
                 self._forget()
                 known = np.zeros(len(keys), bool)
             new = np.flatnonzero(~known)
-            sizes, found = [], [self._flat]
-            for at in range(0, len(new), CALL_WORDS):
-                some = [words[i] for i in new[at : at + CALL_WORDS].tolist()]
-                ids = [e.ids for e in self._tokenizer.encode_batch_fast(some, add_special_tokens=False)]
-                sizes.append(np.fromiter(map(len, ids), np.int32, len(ids)))
-                found.append(np.fromiter(chain.from_iterable(ids), np.uint32))
-            size = np.concatenate(sizes)
+            plain = np.fromiter((self._closes is not None and w.isascii() and w.isalpha() for w in map(words.__getitem__, new.tolist())), bool, len(new))
+            new = np.r_[new[plain], new[~plain]]
+            some = [words[i] for i in new.tolist()]
+            (one, ids), (other, more) = self._joined(some[: plain.sum()]), self._single(some[plain.sum() :])
+            size = np.r_[one, other]
             start = len(self._flat) + np.cumsum(size) - size
-            self._flat = np.concatenate(found)
+            self._flat = np.concatenate([self._flat, ids, more])
             order = np.argsort(keys["a"][new], kind="stable")
             where = np.searchsorted(self._keys["a"], keys["a"][new][order])
             self._keys = np.insert(self._keys, where, keys[new][order])
@@ -84,6 +90,24 @@ class WordTokenizer:
             at, _ = self._find(keys)
         return self._start[at], self._size[at]
 
+    def _single(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Number of ids of each word, and all ids."""
+        sizes, found = [np.empty(0, np.int32)], [np.empty(0, np.uint32)]
+        for at in range(0, len(words), CALL_WORDS):
+            ids = [e.ids for e in self._tokenizer.encode_batch_fast(words[at : at + CALL_WORDS], add_special_tokens=False)]
+            sizes.append(np.fromiter(map(len, ids), np.int32, len(ids)))
+            found.append(np.fromiter(chain.from_iterable(ids), np.uint32))
+        return np.concatenate(sizes), np.concatenate(found)
+
+    def _joined(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same of words of letters, in texts of many: their ids end where a token closes a word."""
+        texts = [" ".join(words[at : at + TEXT_WORDS]) for at in range(0, len(words), TEXT_WORDS)]
+        ids = np.concatenate([np.empty(0, np.uint32), *(self._single(texts[at : at + CALL_WORDS // TEXT_WORDS])[1] for at in range(0, len(texts), CALL_WORDS // TEXT_WORDS))])
+        ends = np.flatnonzero(self._closes[ids]) if len(ids) else np.empty(0, np.int64)
+        if len(ends) != len(words) or len(ids) and ends[-1] != len(ids) - 1:  # some word is more than one to the tokenizer
+            return self._single(words)
+        return np.diff(np.r_[-1, ends]).astype(np.int32), ids
+
     def _find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if not len(self._keys):
             return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
@@ -94,14 +118,13 @@ class WordTokenizer:
         """All ids one after the other, with ``END`` after each text, and the number of ids of each text."""
         split = pc.ascii_split_whitespace(texts.fill_null("").cast(pa.large_string()))
         coded = split.flatten().dictionary_encode()
-        parts_: dict[str, int] = {"": 0}
-        halves = np.fromiter((parts_.setdefault(half, len(parts_)) for w in coded.dictionary.to_pylist() for half in _halves(w)), np.int32)
-        start, size = self._places(list(parts_))
+        parts_, halves = all_halves(coded.dictionary)
+        start, size = self._places(parts_)
         del parts_
         flat = np.append(self._flat, np.uint32(END))
         start, size = np.append(start, len(flat) - 1), np.append(size, np.int32(1))
         ends = np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False))
-        items = halves.reshape(-1, 2)[coded.indices.to_numpy(zero_copy_only=False)].ravel()
+        items = halves[coded.indices.to_numpy(zero_copy_only=False)].ravel()
         del split, coded, halves
         items = np.insert(items, 2 * ends, len(start) - 1)
         n = size[items]
@@ -122,6 +145,40 @@ def _halves(word: str) -> tuple[str, str]:
     return core.lower() if core.isascii() and core.isalpha() else core, word[len(core) :]
 
 
+def all_halves(words: pa.LargeStringArray) -> tuple[list[str], np.ndarray]:
+    """Different strings, and the numbers among them of each word's ``_halves``; words are no slice of a larger array.
+
+    Most words end in a letter of A-Z, a digit or the like, or do before plain punctuation: they are halved in columns.
+    """
+    core = pc.utf8_rtrim(words, PLAIN_MARKS)
+    length, whole = (pc.binary_length(x).to_numpy(zero_copy_only=False) for x in (core, words))
+    _, ends, data = core.buffers()
+    ends = np.frombuffer(ends, np.int64)[core.offset + 1 :][: len(core)]
+    last = np.zeros(len(core), np.uint8)
+    if length.any():
+        last[length > 0] = np.frombuffer(data, np.uint8)[ends[length > 0] - 1]
+    is_letter = (last | 32) - 97 < 26  # of 8 bits: what is less than 97 wraps around
+    front = pc.if_else(pa.array(is_letter), core, words)
+    front = pc.if_else(pc.ascii_is_alpha(core), pc.utf8_lower(core), front)
+    cut = np.flatnonzero(is_letter & (length < whole))
+    back = dict(zip(cut.tolist(), (w[n - m :] for w, n, m in zip(words.take(pa.array(cut)).to_numpy(zero_copy_only=False), length[cut].tolist(), whole[cut].tolist(), strict=True)), strict=True))
+    if (other := np.flatnonzero(last > 127)).size:
+        fronts = []
+        for i, w in zip(other.tolist(), words.take(pa.array(other)).to_numpy(zero_copy_only=False), strict=True):
+            half, back[i] = _halves(w)
+            fronts.append(half)
+        front = pc.replace_with_mask(front, pa.array(last > 127), pa.array(fronts, front.type))
+    backs = list(dict.fromkeys(["", *back.values()]))
+    coded = pa.concat_arrays([front, pa.array(backs, front.type)]).dictionary_encode()
+    at = coded.indices.to_numpy(zero_copy_only=False)
+    number = dict(zip(backs, at[len(words) :].tolist(), strict=True))
+    out = np.full((len(words), 2), number[""], np.int32)
+    out[:, 0] = at[: len(words)]
+    if back:
+        out[list(back), 1] = [number[x] for x in back.values()]
+    return coded.dictionary.to_numpy(zero_copy_only=False).tolist(), out  # pyarrow's own lists take ten times as long
+
+
 @cache
 def tokenizer(path: str) -> WordTokenizer:
     """One tokenizer per Python worker, which serves many tasks."""

@@ -358,6 +358,32 @@ def test_blocks_with_lone_rows_are_shuffled_once(spark, most):
     assert simhash.links(keyed.where("bits > 0"), 3, most, lone=True).count() == 0
 
 
+def test_halves_in_columns_equal_those_of_single_words():
+    from random import Random
+
+    letters = ["a", "B", "z", "Z", "@", "[", "`", "{", "1", ".", ",", ";", "!", "?", ":", "é", "É", "İ", "ß", "K", "\u0307", "漢", "\U0001f600", "-", "_", "\x00", "　"]
+    draw = Random(3)
+    made = {"".join(draw.choice(letters) for _ in range(draw.randint(1, 6))) for _ in range(20_000)} | {"...", "aİ."}
+    for words in (sorted(made), ["..."], []):
+        found, at = packing.all_halves(pa.array(words, pa.large_string()))
+        assert [(found[i], found[j]) for i, j in at.tolist()] == [packing._halves(w) for w in words] and len(set(found)) == len(found)
+
+
+def test_words_of_letters_are_tokenized_many_in_a_text(monkeypatch):
+    """The tokenizer gets fewer texts than words, and gives what it gives for the whole text."""
+    from tokenizers import Tokenizer
+
+    words = [f"{a}{b}{c}ing" for a in "bcdfgh" for b in "aeiou" for c in "lmnprst"] + ["don't", "12", "naïve", "x-ray"]
+    plain, own = Tokenizer.from_file(TOKENIZER), packing.WordTokenizer(TOKENIZER)
+    seen, single = [], own._single
+    monkeypatch.setattr(own, "_single", lambda texts: seen.append(len(texts)) or single(texts))
+    text = " ".join(words)
+    assert own(pa.array([text]))[0].tolist() == [*plain.encode(text, add_special_tokens=False).ids, 1] and sum(seen) < len(words) / 10
+    monkeypatch.setattr(own, "_closes", np.ones_like(own._closes))  # ends that cannot be told: one by one
+    other = "unbelievably " + text.replace("ing", "ings")
+    assert own(pa.array([other]))[0].tolist() == [*plain.encode(other, add_special_tokens=False).ids, 1]
+
+
 def test_bands_reach_the_recall():
     for n in (100, 10**6, 10**10):
         bits, bands = similar.bands_for(n)
