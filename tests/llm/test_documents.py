@@ -224,6 +224,40 @@ def test_components_of_chains_and_stars(spark):
     assert got == {**{i: 0 for i in range(51)}, **{i: 1000 for i in range(1000, 1200)}}
 
 
+@given(st.lists(st.tuples(st.integers(-30, 30), st.integers(-30, 30))))
+@settings(max_examples=60, deadline=None)
+def test_forest_of_one_task(edges):
+    a, b = np.array(edges, np.int64).reshape(-1, 2).T
+    want = slow_components({x for e in edges for x in e}, edges)
+    node, root = components.forest(a, b)
+    assert dict(zip(node.tolist(), root.tolist(), strict=True)) == {k: v for k, v in want.items() if k != v}
+
+
+@pytest.mark.parametrize("most", [7, components.LOCAL])
+def test_components_whatever_a_task_joins(spark, most):
+    """Chains, rings, stars and random edges over many files: most edges cross tasks and parts of tasks."""
+    rng = np.random.default_rng(5)
+    chain = rng.permutation(400).tolist()
+    edges = list(zip(chain, chain[1:], strict=False)) + [(1000 + i, 1000 + (i + 1) % 60) for i in range(60)] + [(-3, i) for i in range(2000, 2200)] + rng.integers(3000, 3200, (90, 2)).tolist()
+    spread = spark.createDataFrame([tuple(e) for e in edges], "x long, y long").repartition(40)
+    got = rows(components.components(spread, "x", "y", most))
+    want = slow_components({x for e in edges for x in e}, edges)
+    assert len(got) == len({r["node"] for r in got}) and {r["node"]: r["root"] for r in got} == {k: v for k, v in want.items() if v != k or k in {b for a, b in want.items() if a != b}}
+
+
+def test_components_of_a_small_graph_take_few_jobs(spark):
+    """Every plan costs the driver memory; the rounds that a small graph took before ran some 50 jobs."""
+    chain = np.random.default_rng(5).permutation(3000).tolist()
+    edges = spark.createDataFrame(list(zip(chain, chain[1:], strict=False)), "a long, b long")
+    spark.sparkContext.setJobGroup("few", "components of a small graph")
+    try:
+        found = components.components(edges, "a", "b")
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("few")) <= 12
+    assert found.count() == 3000 and {r["root"] for r in found.collect()} == {0}
+
+
 def test_near_duplicates_of_odd_documents(spark, odd_docs, no_docs):
     found = rows(simhash.near_duplicates(odd_docs))
     assert len(found) == odd_docs.count()
