@@ -1,7 +1,8 @@
 """Connected components of a graph of any size, by alternating large-star and small-star steps.
 
 Each step is a plan of many exchanges, and the driver pays for every plan: threads, generated classes, metrics. So
-edges that lie in one task are joined there first: a graph of a few partitions is done after one step or none.
+edges that lie in one task are joined there first: a graph of a few partitions is done after one step or none. What
+the plans of a step leave in the driver is dropped before the next one.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from probestats.llm.shared import free_driver
 from probestats.operators.stage import stage
 
 #: Edges that a task joins at a time.
@@ -93,7 +95,9 @@ def components(edges: DataFrame, left: str, right: str, most: int = LOCAL) -> Da
     """
     first = edges.select(F.col(left).alias("a"), F.col(right).alias("b")).where("a <> b").distinct()
     now = stage(_joined(first, most), "edges")
+    free_driver(now.sparkSession)
     while not _settled(now):
         now = stage(_joined(_star(_star(now, small=False), small=True), most), "stars")
+        free_driver(now.sparkSession)
     roots = now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(roots)

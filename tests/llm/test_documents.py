@@ -1,6 +1,7 @@
 """Operators on documents against brute force, round trips and odd inputs."""
 
 import math
+import time
 import zlib
 from collections import Counter
 
@@ -258,6 +259,20 @@ def test_components_of_a_small_graph_take_few_jobs(spark):
     assert found.count() == 3000 and {r["root"] for r in found.collect()} == {0}
 
 
+def test_near_duplicates_leave_little_in_the_driver(spark, monkeypatch):
+    """Shuffles and broadcasts of plans that are done go while the chain runs; names of all documents are never broadcast."""
+    small, stage, left, sides = similar.small, similar.stage, [], []
+    tracker = spark.sparkContext._jsc.sc().env().mapOutputTracker()
+    monkeypatch.setattr(similar, "small", lambda df, *rows: sides.append(df.columns) or small(df, *rows))
+    monkeypatch.setattr(similar, "stage", lambda df, name: left.append(tracker.shuffleStatuses().size()) or stage(df, name))
+    texts = [" ".join(f"word{i % 40}x{k}" for k in range(30)) + f" end {i}" for i in range(60)]
+    kept = similar.keep_first(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert kept.count() == 40
+    assert sides and not any("_node" in columns for columns in sides)
+    time.sleep(1)  # Spark's cleaner works beside
+    assert tracker.shuffleStatuses().size() <= 8 and max(left) <= left[0] + 40
+
+
 def test_near_duplicates_of_odd_documents(spark, odd_docs, no_docs):
     found = rows(simhash.near_duplicates(odd_docs))
     assert len(found) == odd_docs.count()
