@@ -13,8 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from probestats.llm.shared import free_driver
-from probestats.operators.stage import stage
+from probestats.operators.stage import free_driver, stage
 
 #: Edges that a task joins at a time.
 LOCAL = 250_000

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import ctypes
-import gc
 from collections.abc import Iterator
 from functools import cache
 
@@ -41,16 +40,6 @@ def give_back() -> None:
     _trim()(0)
 
 
-def free_driver(spark: SparkSession) -> None:
-    """Collects the driver's garbage, so that Spark drops the shuffles and broadcasts of plans that are done.
-
-    Spark finds them only when the driver's JVM collects its garbage, and a heap with room seldom does: in a long chain
-    of plans it would grow to its limit first, and its threads and native memory with it.
-    """
-    gc.collect()  # Python's DataFrames hold their plans in the JVM
-    spark.sparkContext._jvm.System.gc()
-
-
 def bound_batches(spark: SparkSession) -> None:
     """From now on the session's batches for Python end at ``BATCH_BYTES``; a row is never cut."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
